@@ -95,11 +95,11 @@ def fit(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, seed: int = 7) ->
         if np.abs(step).max() < 1e-6:
             break
     sg, sb = g @ w, b @ w
-    cuts = np.quantile(np.concatenate([sg, sb]), np.linspace(0, 1, 401))
-    # among the quantiles that separate best, the middle one
+    cuts = np.quantile(np.concatenate([sg, sb]), np.linspace(0, 1, 4001))
+    # between the lowest and the highest of the quantiles that separate best
     right = np.array([(sg >= c).mean() + (sb < c).mean() for c in cuts])
     best = cuts[right >= right.max() - 1e-9]
-    threshold = float(best[len(best) // 2])
+    threshold = float(best[0] + best[-1]) / 2
     s, y = np.concatenate([sg, sb]) - threshold, np.concatenate([np.ones(len(sg)), np.zeros(len(sb))])
     slope = 1.0
     for _ in range(50):
@@ -134,3 +134,16 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     out = rows.mapInArrow(apply, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that reach CUT. Features are made twice, so that texts need no shuffle."""
+    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = train(staged(pairs.mapInArrow(features, "doc_id long, x array<double>"), "features"), labels, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", 4 << 20):
+            found = next(features(iter([pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"])])))
+            yield batch.filter(pa.array(model.score(found.column("x").flatten().to_numpy().reshape(-1, len(NAMES))) >= CUT))
+
+    return docs.mapInArrow(run, docs.schema) if model else docs

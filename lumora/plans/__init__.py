@@ -1 +1,4 @@
-"""Part of the lumora engine."""
+"""Queries of the engine; importing them registers them."""
+
+from lumora.plans import creators, ops, text  # noqa: F401
+from lumora.plans.registry import QUERIES, SQL  # noqa: F401

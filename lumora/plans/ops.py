@@ -12,7 +12,8 @@ from lumora.operators import latest, metrics, tasklog
 from lumora.plans.registry import Tables, query
 from lumora.streaming import activity
 
-K = F.from_json("props", "k long")["k"]
+def k_of_props():
+    return F.from_json("props", "k long")["k"]
 
 
 @query("select event_type, count(*) as n from events group by 1")
@@ -69,7 +70,7 @@ def activity_after_cursor(t: Tables):
 
 @query("select event_type, count(json_extract(props, '$.k')) as known, sum(json_extract(props, '$.k')::bigint)::bigint as total, max(json_extract(props, '$.k')::bigint) as largest from events group by 1")
 def json_payload_agg(t: Tables):
-    return t.events.withColumn("k", K).groupBy("event_type").agg(F.count("k").alias("known"), F.sum("k").alias("total"), F.max("k").alias("largest"))
+    return t.events.withColumn("k", k_of_props()).groupBy("event_type").agg(F.count("k").alias("known"), F.sum("k").alias("total"), F.max("k").alias("largest"))
 
 
 @query("select user_id, round(count(*) filter (where event_type = 'error') / greatest(1, count(*)), 6) as ratio from events group by 1")
@@ -146,12 +147,12 @@ def daily_counter_sum(t: Tables):
 
 @query("select event_id, json_extract(props, '$.k')::bigint as k from events where event_type = 'purchase'")
 def typed_json_scan(t: Tables):
-    return t.events.where("event_type = 'purchase'").select("event_id", K.alias("k"))
+    return t.events.where("event_type = 'purchase'").select("event_id", k_of_props().alias("k"))
 
 
 @query("select distinct json_extract(props, '$.k')::bigint as k from events")
 def distinct_json_keys(t: Tables):
-    return t.events.select(K.alias("k")).distinct()
+    return t.events.select(k_of_props().alias("k")).distinct()
 
 
 @query("select event_id from events where event_type is distinct from 'view' and props ilike '%K%' and json_extract(props, '$.migrated') is null")

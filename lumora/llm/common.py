@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 NULL_ID = np.iinfo(np.int64).max  # stands for a null id in numpy arrays: larger than every other
 _scratch: list[str] = []
@@ -40,12 +41,28 @@ def staged(df: DataFrame, name: str, **partition) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far; only call it when no DataFrame that reads them is still needed."""
-    jvm = spark._jvm
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables; only when no DataFrame that reads them is still needed."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _scratch.remove(name)
+
+
+def scratch() -> list[str]:
+    """Scratch folders made so far and not deleted."""
+    return list(_scratch)
+
+
+def smallest_hashed(df: DataFrame, key: str, n: int, rows: int | None = None) -> DataFrame:
+    """The n rows of the smallest hashed key: a bounded sample that any layout of df gives alike.
+
+    Rows above a hash that leaves about 4 n are filtered first, so that no task sends n rows of its own. rows: those of df.
+    """
+    rows = df.count() if rows is None else rows
+    h = F.shiftrightunsigned(F.xxhash64(key), 1)
+    few = df if rows <= 4 * n else df.where(h < int(4 * n / rows * (1 << 63)))
+    return few.orderBy(h, key).limit(n)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -133,15 +150,25 @@ class Words:
         self.counts = np.diff(self.first)
         self._word = word
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, most: int = 1 << 20) -> np.ndarray:
+        """64-bit hashes of the words; `most` bytes at a time, as each byte takes several 8-byte numbers."""
         lens = self.ends - self.starts
         if not len(lens):
             return np.zeros(0, np.uint64)
-        d = self.data[self._word].astype(np.uint64)
-        at = np.cumsum(lens) - lens
-        pos = np.arange(len(d)) - np.repeat(at, lens)
-        powers = np.cumprod(np.full(int(lens.max()), _B, np.uint64))
-        return mix(np.add.reduceat((d + np.uint64(1)) * powers[pos], at) + lens.astype(np.uint64) * _COEF[0])
+        letters, powers = self.data[self._word], np.cumprod(np.full(int(lens.max()), _B, np.uint64))
+        end = np.cumsum(lens)
+        out, a = np.empty(len(lens), np.uint64), 0
+        while a < len(lens):
+            base = end[a] - lens[a]
+            b = max(a + 1, int(np.searchsorted(end, base + most)))
+            at = end[a:b] - lens[a:b] - base
+            pos = np.arange(end[b - 1] - base) - np.repeat(at, lens[a:b])
+            v = letters[base : end[b - 1]].astype(np.uint64)
+            v += np.uint64(1)
+            v *= powers[pos]
+            out[a:b] = mix(np.add.reduceat(v, at) + lens[a:b].astype(np.uint64) * _COEF[0])
+            a = b
+        return out
 
     def texts(self) -> np.ndarray:
         """By word, the text that it is in."""

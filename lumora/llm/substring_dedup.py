@@ -43,11 +43,14 @@ def _blocks(groups: int, shards: int, k: int):
             key, group, at = windows(words.hashes(), text, k)
             doc = ids[order][text[at]]
             by_key = np.argsort(key, kind="stable")  # in each key by doc_id, as texts are
-            key, group, doc = key[by_key], group[by_key] % np.uint64(groups), doc[by_key]
-            first = np.ones(len(key), bool)
-            first[1:] = key[1:] != key[:-1]
-            smallest = doc[first][np.cumsum(first) - 1] if len(key) else doc
+            new = np.ones(len(key), bool)
+            new[1:] = key[by_key][1:] != key[by_key][:-1]
+            smallest = np.empty(len(key), np.int64)
+            smallest[by_key] = doc[by_key][new][np.cumsum(new) - 1]
             later = doc > smallest
+            first = np.zeros(len(key), bool)  # in the order of documents, so that the doc_ids of a block compress
+            first[by_key[new]] = True
+            group %= np.uint64(groups)
             out = [(b, d, k_) for b, k_, d in split_by(group[first].astype(np.int64), key[first], doc[first])]
             out += [(-1 - b, d, k_) for b, k_, d in split_by(doc[later] % shards, key[later], doc[later])]
             if out:
@@ -62,7 +65,8 @@ def _confirm(shards: int):
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         if bucket < 0:
-            return pa.table({"shard": pa.array([-1 - bucket] * table.num_rows, pa.int32()), "docs": table.column("docs"), "keys": table.column("keys")})
+            docs, keys = (b"".join(table.column(c).to_pylist()) for c in ("docs", "keys"))
+            return pa.table({"shard": pa.array([-1 - bucket], pa.int32()), "docs": pa.array([docs], pa.binary()), "keys": pa.array([keys], pa.binary())})
         docs, keys = joined(table.column("docs"), np.int64), joined(table.column("keys"), np.uint64)
         order = np.lexsort((docs, keys))
         docs, keys = docs[order], keys[order]
@@ -107,7 +111,18 @@ def covered(ids: np.ndarray, h: np.ndarray, first: np.ndarray, found: list[tuple
     return np.cumsum(mask[:-1]) > 0
 
 
-def _remove(k: int):
+def cut_out(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> str:
+    """A text without the words that are gone and the white space behind them; the rest as it is."""
+    if not gone.any():
+        return data.tobytes().decode()
+    edge = np.zeros(len(data) + 1, np.int64)
+    edge[starts[gone]] += 1
+    np.add.at(edge, np.append(starts[1:], len(data))[gone], -1)
+    keep = np.cumsum(edge)[:-1] == 0
+    return data[keep].tobytes().decode().rstrip()
+
+
+def _remove(k: int, clean: bool = False):
     def run(docs: pa.Table, keys: pa.Table) -> pa.Table:
         ids, column = ids_of(docs.column("doc_id").combine_chunks()), docs.column("text")
         words = Words(column)
@@ -123,29 +138,36 @@ def _remove(k: int):
                 gone = covered(ids, h, words.first, found)
         total = np.concatenate([[0], np.cumsum(gone)])
         data, off = utf8(column)
-        kept = []
+        kept, cleaned = [], []
         for t in range(docs.num_rows):
             own = data[off[t] : off[t + 1]].tobytes().split()
             a, b = words.first[t], words.first[t + 1]
             if total[b] > total[a]:
                 own = [w for w, g in zip(own, gone[a:b].tolist(), strict=True) if not g]
             kept.append(b" ".join(own).decode())
+            if clean:
+                cleaned.append(cut_out(data[off[t] : off[t + 1]], words.starts[a:b] - off[t], words.ends[a:b] - off[t], gone[a:b]))
         out = {"n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(total[words.first[1:]] - total[words.first[:-1]], pa.int64()), "kept_text": pa.array(kept, pa.string())}
+        if clean:
+            out["clean_text"] = pa.array(cleaned, pa.string())
         rest = {c: docs.column(c) for c in docs.column_names if c not in ("_shard", "text", *out)}
         return pa.table({**rest, **out})
 
     return run
 
 
-def dedup(docs: DataFrame, k: int = K) -> DataFrame:
-    """The columns of docs but text, with n_words, n_removed and kept_text (the kept words joined by one space)."""
+def dedup(docs: DataFrame, k: int = K, clean: bool = False) -> DataFrame:
+    """The columns of docs but text, with n_words, n_removed and kept_text (the kept words joined by one space).
+
+    clean: also clean_text, the text with only the removed words and the white space behind them cut out.
+    """
     n = partitions(docs.sparkSession)
-    groups, shards = 4 * n, next_prime(6 * n)
+    groups, shards = 2 * n, next_prime(2 * n)
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = pairs.mapInArrow(_blocks(groups, shards, k), "bucket int, docs binary, keys binary")
     confirmed = blocks.groupBy("bucket").applyInArrow(_confirm(shards), "shard int, docs binary, keys binary")
     shard = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))), F.lit(shards)).cast("int")
-    left = docs.drop("n_words", "n_removed", "kept_text").withColumn("_shard", shard)
+    left = docs.drop("n_words", "n_removed", "kept_text", "clean_text").withColumn("_shard", shard)
     fields = [f for f in left.schema.fields if f.name not in ("_shard", "text")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_words long", "n_removed long", "kept_text string"])
-    return left.groupBy("_shard").cogroup(confirmed.groupBy("shard")).applyInArrow(_remove(k), schema)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_words long", "n_removed long", "kept_text string", *(["clean_text string"] if clean else [])])
+    return left.groupBy("_shard").cogroup(confirmed.groupBy("shard")).applyInArrow(_remove(k, clean), schema)

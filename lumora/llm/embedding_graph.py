@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.common import staged
+from lumora.llm.common import smallest_hashed, staged
 from lumora.llm.components import components
 
 THRESHOLD = 0.95
@@ -189,7 +189,7 @@ def links_of(nodes: DataFrame, threshold: float, overlap: int) -> DataFrame:
     """nodes(node, unit), all of one length, to links (u, v) with u < v."""
     total = nodes.count()
     # bounded: SAMPLE vectors
-    sample = _matrix(pa.table({"u": [r["unit"] for r in nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("unit").collect()]}).column("u")) if total else np.zeros((0, 1))
+    sample = _matrix(pa.table({"u": [r["unit"] for r in smallest_hashed(nodes, "node", SAMPLE, total).select("unit").collect()]}).column("u")) if total else np.zeros((0, 1))
     if not len(sample):
         return nodes.sparkSession.createDataFrame([], "u long, v long")
     centroids = kmeans(sample, max(1, min(CLUSTERS, -(-total // (SHARD // 2)), len(sample))))
@@ -219,7 +219,7 @@ def links_of(nodes: DataFrame, threshold: float, overlap: int) -> DataFrame:
 
 def audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int = AUDIT) -> float:
     """Share of the links of at most `queries` nodes that were found, by brute force over all nodes."""
-    rows = nodes.orderBy(F.xxhash64("node", F.lit(1))).limit(queries).select("node", "unit").collect()  # bounded
+    rows = smallest_hashed(nodes, "node", queries).select("node", "unit").collect()  # bounded
     if not rows:
         return 1.0
     names, q = np.array([r["node"] for r in rows]), np.array([np.frombuffer(r["unit"], float) for r in rows])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.common import Words, by_bytes, staged
+from lumora.llm.common import Words, by_bytes, smallest_hashed, staged
 
 SAMPLE = 10_000  # labelled rows of each label
 PAIRS = 200_000  # preference pairs drawn from them
@@ -111,11 +111,10 @@ def fit(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, seed: int = 7) ->
 def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """rows(doc_id, x) and labels(doc_id, quality) to a model; None without both labels."""
     use = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     parts = []
     for value in (1, 0):
-        chosen = use.where(F.col("quality") == value).orderBy(*order).limit(sample)
-        found = rows.join(chosen, "doc_id").orderBy(*order, "x").limit(sample).select("x").toPandas()  # bounded by `sample`
+        chosen = smallest_hashed(use.where(F.col("quality") == value), "doc_id", sample)
+        found = rows.join(chosen, "doc_id").orderBy("doc_id", "x").limit(sample).select("x").toPandas()  # bounded by `sample`
         parts.append(np.array(found["x"].tolist(), float))
     return fit(*parts) if all(len(p) for p in parts) else None
 

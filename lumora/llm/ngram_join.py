@@ -64,15 +64,19 @@ def _blocks(groups: int, shards: int, k: int):
             ids = ids_of(batch.column("doc_id"))
             text, key = shingles(batch.column("text"), k)
             order = np.argsort(key, kind="stable")
-            key, text = key[order], text[order]
-            first = np.ones(len(key), bool)
-            first[1:] = key[1:] != key[:-1]
-            size = np.diff(np.append(np.flatnonzero(first), len(key)))
-            several = np.repeat(size > 1, size)
+            new = np.ones(len(key), bool)
+            new[1:] = key[order][1:] != key[order][:-1]
+            size = np.diff(np.append(np.flatnonzero(new), len(key)))
+            several, first = np.zeros(len(key), bool), np.zeros(len(key), bool)
+            several[order] = np.repeat(size > 1, size)
+            first[order[new]] = True
             group = (mix(key ^ _COEF[7]) % np.uint64(groups)).astype(np.int64)
-            one = first & ~several
-            out = [(b, d, x, b"") for b, x, d in split_by(group[one], key[one], ids[text[one]])]
-            out += [(b, b"", b"", x) for b, x in split_by(group[first & several], key[first & several])]
+            # in a group, 32 bits of a key: two keys that agree in them only let a document through that has no partner.
+            # Groups grow in number with the data, so their share stays the same. Entries stay in the order of documents, which compresses
+            low = key.astype(np.uint32)
+            one, more = first & ~several, first & several
+            out = [(b, d, x, b"") for b, x, d in split_by(group[one], low[one], ids[text[one]])]
+            out += [(b, b"", b"", x) for b, x in split_by(group[more], low[more])]
             known = np.bincount(text[several], minlength=len(ids)).astype(np.int64)
             some = known > 0
             out += [(-1 - b, d, c, b"") for b, d, c in split_by(ids[some] % shards, ids[some], known[some])]
@@ -86,8 +90,9 @@ def _shared(shards: int):
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         if bucket < 0:
-            return pa.table({"shard": pa.array([-1 - bucket] * table.num_rows, pa.int32()), "docs": table.column("docs"), "counts": table.column("keys")})
-        docs, keys, known = joined(table.column("docs"), np.int64), joined(table.column("keys"), np.uint64), joined(table.column("shared"), np.uint64)
+            docs, counts = (b"".join(table.column(c).to_pylist()) for c in ("docs", "keys"))
+            return pa.table({"shard": pa.array([-1 - bucket], pa.int32()), "docs": pa.array([docs], pa.binary()), "counts": pa.array([counts], pa.binary())})
+        docs, keys, known = joined(table.column("docs"), np.int64), joined(table.column("keys"), np.uint32), joined(table.column("shared"), np.uint32)
         _, number, count = np.unique(np.concatenate([keys, known]), return_inverse=True, return_counts=True)
         doc, n = np.unique(docs[count[number[: len(keys)]] > 1], return_counts=True)
         cols = list(zip(*split_by(doc % shards, doc, n.astype(np.int64)), strict=True)) or [[], [], []]
@@ -202,7 +207,7 @@ def similar(docs: DataFrame, k: int = K, similarity: int = SIMILARITY) -> DataFr
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of each row."""
     spark = docs.sparkSession
     n = partitions(spark)
-    groups, shards = 4 * n, next_prime(6 * n)
+    groups, shards = 2 * n, next_prime(2 * n)
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = pairs.mapInArrow(_blocks(groups, shards, k), "bucket int, docs binary, keys binary, shared binary")
     counts = blocks.groupBy("bucket").applyInArrow(_shared(shards), "shard int, docs binary, counts binary")

@@ -5,8 +5,8 @@ frame a document; the index has, for each document, its file, the frame's offset
 id's place in the file, and the dictionary's SHA-256. So one short document is read by one seek and one small frame. Ids
 are unsigned little-endian, of 2 bytes if the vocabulary allows and else of 4.
 
-The dictionary is trained on the serialized ids of at most SAMPLE documents of at most SAMPLE_CHARS characters, those
-of the smallest hashed doc_id: a documented bound. Documents are range-partitioned and sorted by doc_id; each task writes
+The dictionary is trained on the serialized ids of those of at most SAMPLE_CHARS characters among the SAMPLE documents of the
+smallest hashed doc_id: a documented bound. Documents are range-partitioned and sorted by doc_id; each task writes
 one file, named by its attempt. The index has only files of tasks that succeeded, so lost executors leave at most
 files that no index names. The folder may be any place that Arrow's file systems reach.
 
@@ -29,18 +29,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumora.llm.common import by_bytes, new_folder, partitions
+from lumora.llm.common import by_bytes, new_folder, partitions, smallest_hashed
 from lumora.llm.tokens import encoder
 
 MAGIC = b"LTOK0001"
-SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 600, 8_000, 64 << 10
+SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 800, 8_000, 64 << 10
 LEVEL = 3
 
 
 def train(docs: DataFrame, path: str, kind: str) -> bytes:
     """A dictionary of ids, or nothing if there are too few documents for one."""
-    short = docs.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    texts = [r["text"] for r in short.select("text").collect()]  # bounded: SAMPLE texts of SAMPLE_CHARS
+    short = docs.select("doc_id", F.when(F.length("text") <= SAMPLE_CHARS, F.col("text")).alias("text"))
+    texts = [r["text"] for r in smallest_hashed(short, "doc_id", SAMPLE).collect() if r["text"]]  # bounded: SAMPLE texts of SAMPLE_CHARS
     e = encoder(path, kind)
     samples = []
     for t in texts:

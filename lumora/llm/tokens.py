@@ -2,7 +2,8 @@
 
 A text is cut where its tokenizer never joins tokens, so that the ids of a text are those of its pieces in a row:
 "word" (tokenizers that drop white space): at ASCII white space. "byte" (byte-level BPE that keeps it): before each
-run of white space that follows another character. Pieces of a batch are dictionary-encoded by Arrow; pieces not
+run of white space that follows another character. For both also before a full stop or comma that ends such a
+run behind an ASCII letter. Pieces of a batch are dictionary-encoded by Arrow; pieces not
 met before by this Python worker are encoded by the library, many in one call, separated by a sentinel piece.
 """
 
@@ -15,17 +16,27 @@ import pyarrow as pa
 
 from lumora.llm.common import SPACE, Words, utf8
 
-MOST = 400_000  # pieces that a worker remembers; beyond that it starts anew
+MOST = 600_000  # pieces that a worker remembers; beyond that it keeps those of its last batch
 SENTINEL = " \x00"
 WIDE_SPACE = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))  # white space beyond ASCII
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
+def _letters(data: np.ndarray) -> np.ndarray:
+    return (data | 0x20) - np.uint8(97) < 26
+
+
+def _stops(data: np.ndarray) -> np.ndarray:
+    return (data == 0x2E) | (data == 0x2C)
+
+
 def _pieces_word(column) -> tuple[pa.Array, np.ndarray]:
-    w = Words(column)
-    lens = w.ends - w.starts
-    offsets = np.concatenate([[0], np.cumsum(lens)])
-    return _strings(w.data[w._word], offsets), w.counts
+    w = Words(column, lower=True)  # as these tokenizers do themselves
+    ends = np.cumsum(w.ends - w.starts)
+    # a full stop or comma behind a letter at a word's end is a piece of its own
+    two = np.flatnonzero((w.ends - w.starts > 1) & _stops(w.data[w.ends - 1]) & _letters(w.data[w.ends - 2]))
+    offsets = np.concatenate([[0], np.insert(ends, two, ends[two] - 1)])
+    return _strings(w.data[w._word], offsets), w.counts + np.bincount(w.texts()[two], minlength=len(w.counts))
 
 
 def _pieces_byte(column) -> tuple[pa.Array, np.ndarray]:
@@ -39,6 +50,10 @@ def _pieces_byte(column) -> tuple[pa.Array, np.ndarray]:
         before = data[max(0, i - 4) : i].tobytes().decode("utf-8", "ignore")
         if before and before[-1] in WIDE_SPACE:
             cut[i] = False
+    last = np.ones(len(data), bool)  # of a run without white space
+    last[:-1] = space[1:]
+    last[off[1:][off[1:] > 0] - 1] = True
+    cut[1:-1] |= (_stops(data) & last)[1:] & _letters(data)[:-1]
     cut[off] = True
     cut[len(data)] = False
     starts = np.flatnonzero(cut)
@@ -50,6 +65,14 @@ def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
 
 
+def _ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, ... of size[0], then of the next one."""
+    end = np.cumsum(size, dtype=np.int64)
+    kind = np.int32 if len(end) == 0 or end[-1] < 1 << 31 else np.int64
+    step = (at - (end - size)).astype(kind)
+    return np.arange(end[-1] if len(end) else 0, dtype=kind) + np.repeat(step, size)
+
+
 class Encoder:
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
@@ -65,7 +88,7 @@ class Encoder:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 20, self.dtype), 0
-        self.at, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.at, self.size = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -107,23 +130,30 @@ class Encoder:
         self.used += len(ids)
         self.known.update(zip(pieces, range(n, n + k), strict=True))
 
+    def _forget(self, names: list[str]) -> None:
+        """Keep only the pieces in names."""
+        kept = [p for p in names if p in self.known]
+        old = np.fromiter(map(self.known.__getitem__, kept), np.int64, len(kept))
+        at, size, flat = self.at[old], self.size[old], self.flat
+        self.clear()
+        self._add(kept, flat[_ranges(at, size)], size)
+
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of each text; a null text has none."""
         pieces, counts = self.cut(column)
         coded = pieces.dictionary_encode()
         names = coded.dictionary.to_pylist()
         if len(self.known) > MOST:
-            self.clear()
+            self._forget(names)
         new = [p for p in names if p not in self.known]
         if new:
             self._learn(new)
-        number = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        number = np.fromiter(map(self.known.__getitem__, names), np.int32, len(names))
         word = number[coded.indices.to_numpy()] if len(names) else number
         size = self.size[word]
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.arange(total[-1]) + np.repeat(self.at[word] - total[:-1], size)]
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         ends = np.cumsum(counts)
-        return ids, total[ends] - total[ends - counts]
+        return self.flat[_ranges(self.at[word], size)], total[ends] - total[ends - counts]
 
 
 def encoder(path: str, kind: str) -> Encoder:

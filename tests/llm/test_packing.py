@@ -5,7 +5,7 @@ from tokenizers import Tokenizer
 
 from lumora.llm import packing, tokens
 
-TEXTS = ["Hello world, it's 12 o'clock!\n\n Next  line \t x", "", None, "  lead", "trail  \n", "a  b  \n c", "café \x00 nul \x00", "<|endoftext|> x<|startoftext|>", "don't I'LL 'S \x1c \x85 y", "a\u3000 b \u2003\xa0 c\xa0d\u2028\n e", "日本語 テキスト", "İstanbul ΟΔΟΣ Σ", "é ño", "w" * 5000, " ", "\n\n\n"]
+TEXTS = ["Wait. No, yes., ok.. a.b, Z. .x ,", "end.", "a,\n.", "é. ß, x.\u3000y, 's. I'm.", "Hello world, it's 12 o'clock!\n\n Next  line \t x", "", None, "  lead", "trail  \n", "a  b  \n c", "café \x00 nul \x00", "<|endoftext|> x<|startoftext|>", "don't I'LL 'S \x1c \x85 y", "a\u3000 b \u2003\xa0 c\xa0d\u2028\n e", "日本語 テキスト", "İstanbul ΟΔΟΣ Σ", "é ño", "w" * 5000, " ", "\n\n\n"]
 
 
 @pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])

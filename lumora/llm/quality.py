@@ -142,7 +142,8 @@ def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 4 << 20):
-            found = next(features(iter([pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"])])))
-            yield batch.filter(pa.array(model.score(found.column("x").flatten().to_numpy().reshape(-1, len(NAMES))) >= CUT))
+            own = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"])
+            x = [f.column("x").flatten().to_numpy().reshape(-1, len(NAMES)) for f in features(iter([own]))]  # in one or more pieces
+            yield batch.filter(pa.array(model.score(np.concatenate(x)) >= CUT))
 
     return docs.mapInArrow(run, docs.schema) if model else docs

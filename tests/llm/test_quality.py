@@ -24,3 +24,14 @@ def test_learns_and_handles_odd_rows(spark):
     assert sum(g.predicted == int(g.doc_id % 4 > 0) for g in own if g.held_out) >= 0.97 * sum(g.held_out for g in own)
     assert quality.score(d.limit(0), lab).count() == 0
     assert {g.score for g in quality.score(d, lab.limit(0)).collect()} == {1.0}
+
+
+def test_keep_judges_batches_of_many_long_texts(spark):
+    """Texts that together exceed a batch of features, in sizes that straddle its edge, are each judged as by score()."""
+    words = ["river", "stone", "letter", "window", "garden", "evening"]
+    text = lambda i: (" ".join(words[(i + j) % 6] for j in range(90_000)) + ".") if i % 3 else "|| $$ 00 " * 60_000
+    docs = spark.createDataFrame([(i, text(i)) for i in range(30)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(30)], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in quality.keep(docs, labels).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in quality.score(docs, labels).where("predicted = 1").select("doc_id").collect()}
+    assert kept == {i for i in range(30) if i % 3}

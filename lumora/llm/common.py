@@ -175,18 +175,20 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def windows(h: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two 64-bit keys of each run of k words that lies in one text, and the index of its first word."""
+def windows(h: np.ndarray, text: np.ndarray, k: int, second: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Two 64-bit keys (or one) of each run of k words that lies in one text, and the index of its first word."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     ok = np.flatnonzero(text[:n] == text[k - 1 :])
-    a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for j in range(k):
-        x = h[j : j + n]
-        a += x * _COEF[j]
-        b += x * _COEF[100 + j]
-    return mix(a[ok]), mix(b[ok]), ok
+
+    def key(first: int) -> np.ndarray:
+        a = np.zeros(n, np.uint64)
+        for j in range(k):
+            a += h[j : j + n] * _COEF[first + j]
+        return mix(a[ok])
+
+    return key(0), key(100) if second else None, ok
 
 
 def split_by(part: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:

@@ -36,13 +36,14 @@ K = 5
 SIMILARITY = 75  # per cent
 STARS = 2  # rounds of stars before all pairs of different components
 CHUNK = 256  # candidates of one search
+BATCH = 4 << 20  # bytes of text whose shingles are hashed at once: a worker's memory is some 40 times that
 
 
 def shingles(column, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, shingle) of a batch, sorted by both."""
     words = Words(column, lower=True)
     h, text = words.hashes(), words.texts()
-    key, _, at = windows(h, text, k)
+    key, _, at = windows(h, text, k, second=False)
     own = text[at]
     for n in range(1, k):  # a short text's whole sequence, told from windows by its length
         few = np.flatnonzero(words.counts == n)
@@ -60,7 +61,7 @@ def shingles(column, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _blocks(groups: int, shards: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", BATCH):
             ids = ids_of(batch.column("doc_id"))
             text, key = shingles(batch.column("text"), k)
             order = np.argsort(key, kind="stable")
@@ -124,8 +125,8 @@ def _sets(k: int, similarity: int):
             node = mix(sums[end] - sums[end - n] + n.astype(np.uint64) * _COEF[11])
         keep = able[text] if len(text) else np.zeros(0, bool)
         lens = np.where(able, n, 0)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(key[keep].view(np.int64)))
-        shingled = pa.array([x if a else None for x, a in zip(lists, able.tolist(), strict=True)], pa.list_(pa.int64())) if not able.all() else lists
+        offsets, values = pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(key[keep].view(np.int64))
+        shingled = pa.ListArray.from_arrays(offsets, values, mask=pa.array(~able))
         return pa.table({"doc_id": docs.column("doc_id"), "n_shingles": pa.array(n), "node": pa.array(node.view(np.int64), mask=~able), "shingles": shingled})
 
     return run
@@ -207,7 +208,7 @@ def similar(docs: DataFrame, k: int = K, similarity: int = SIMILARITY) -> DataFr
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of each row."""
     spark = docs.sparkSession
     n = partitions(spark)
-    groups, shards = 2 * n, next_prime(2 * n)
+    groups, shards = 2 * n, next_prime(4 * n)
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = pairs.mapInArrow(_blocks(groups, shards, k), "bucket int, docs binary, keys binary, shared binary")
     counts = blocks.groupBy("bucket").applyInArrow(_shared(shards), "shard int, docs binary, counts binary")

@@ -1,16 +1,18 @@
 """Main text of web pages, with site templates removed.
 
-1. Each page's element subtrees that stand outside its article are hashed (tag, attributes and text as in the source) and
-   counted per host in Spark: one that recurs on at least TEMPLATE_PAGES pages and TEMPLATE_SHARE of a host's pages is part of
-   its template. Counts are pre-aggregated, so a host may hold any share of the pages.
+1. Each page's containers (divisions, lists, tables and the like), and its paragraphs outside the article, are hashed (tag,
+   attributes and text as in the source) and counted per host in Spark, once for each distinct text of a page, so that copies
+   of a page are one: one that recurs on at least TEMPLATE_PAGES texts and TEMPLATE_SHARE of a host's texts is part of its
+   template. Counts are pre-aggregated, so a host may hold any share of the pages.
 2. A page's text is what its articles say (else its main element, else its body) without template subtrees and
    without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
-   Inside an article only such containers can be template, so no sentence of an article is lost for being repeated.
+   Inside an article only such containers can be template, so no sentence of an article is lost for being repeated. Where
+   they hold half of an article's (or main element's) text or more, they are its main text and stay.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by an empty line.
 
-Null or empty html gives an empty text. A null url is a host of its own. Repeated rows are each returned; their
-copies count as pages of their host. Broken html is read as browsers do for unclosed paragraphs and list items; other
+Null or empty html gives an empty text. A null url is a host of its own. Repeated rows are each returned; they
+count once. Broken html is read as browsers do for unclosed paragraphs and list items; other
 unclosed elements end with their parent. Empty tables give empty results.
 """
 
@@ -45,6 +47,10 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def _is_drop(tag: str, attributes: str) -> bool:
     if tag in DROP:
         return True
@@ -126,10 +132,18 @@ class Page:
             self.items.append((stack[-1], s[at:]))
         close_to(1, n)
 
+    def _root(self) -> str:
+        have = {t for t, d in zip(self.tags, self.drop, strict=True) if not d}
+        return next((t for t in ("article", "main") if t in have), "#root")
+
+    def _mostly(self, known: list[bool], inside: list[bool], gone: list[bool]) -> bool:
+        """Whether the known elements hold half of the main text or more."""
+        own = [(e, len("".join(t.split()))) for e, t in self.items if t is not None and inside[e] and not gone[e]]
+        return 2 * sum(n for e, n in own if known[e]) >= sum(n for _, n in own)
+
     def inside(self) -> list[bool]:
         """By element, whether it is in the page's article, or main element, or else its body."""
-        have = {t for t, d in zip(self.tags, self.drop, strict=True) if not d}
-        root = next((t for t in ("article", "main") if t in have), "#root")
+        root = self._root()
         out: list[bool] = []
         for e, t in enumerate(self.tags):
             out.append((t == root and not self.drop[e]) or (e > 0 and out[self.up[e]]))
@@ -138,22 +152,23 @@ class Page:
     def subtrees(self) -> dict[int, int]:
         """Hash of each element that can be part of a template."""
         inside, found = self.inside(), {}
-        plain = "#root" if "article" not in self.tags and "main" not in self.tags else ""
         for e, t in enumerate(self.tags):
             if t in CONTAINERS or (t == "p" and not inside[e]):
-                if t == "div" and plain and not self.drop[e] and self.span[e][1] - self.span[e][0] > 20_000:
-                    continue  # a whole page's body is no template
                 a, b = self.span[e]
-                found[e] = int.from_bytes(blake2b(" ".join(self.source[a:b].split()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                found[e] = _hash(" ".join(self.source[a:b].split()))
         return found
 
     def text(self, template: set[int]) -> str:
         inside = self.inside()
         gone = [False] * len(self.tags)
+        known = [False] * len(self.tags)
         hashes = self.subtrees() if template else {}
         for e in range(1, len(self.tags)):
             head = self.tags[e] == "header" and not inside[self.up[e]]
-            gone[e] = gone[self.up[e]] or self.drop[e] or head or hashes.get(e) in template
+            gone[e] = gone[self.up[e]] or self.drop[e] or head
+            known[e] = known[self.up[e]] or hashes.get(e) in template
+        if any(known) and (self._root() == "#root" or not self._mostly(known, inside, gone)):
+            gone = [g or k for g, k in zip(gone, known, strict=True)]
         blocks, now = [], []
         for e, t in self.items:
             if t is None:
@@ -174,20 +189,24 @@ def host(url: Column) -> Column:
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "html", 8 << 20):
-        hosts, hashes = [], []
+        hosts, contents, hashes = [], [], []
         for h, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            own = set(Page(source or "").subtrees().values())  # once a page
+            page = Page(source or "")
+            own = [None, *set(page.subtrees().values())]  # null stands for the page
             hosts += [h] * len(own)
+            contents += [_hash(page.text(set()))] * len(own)
             hashes += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(hashes, pa.int64())], ["host", "content", "hash"])
 
 
 def templates(pages: DataFrame, least: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
     """host and the sorted hashes of its template subtrees."""
     own = pages.select(host(F.col("url")).alias("host"), "html")
-    counts = own.mapInArrow(_subtrees, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    total = own.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    found = counts.where(F.col("n") >= least).join(total, "host").where(F.col("n") >= share * F.col("pages"))
+    each = own.mapInArrow(_subtrees, "host string, content long, hash long").distinct()
+    # a host of fewer texts than `least` has no template, so its total is not needed either
+    counts = staged(each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "subtrees")
+    total = counts.where("hash is null").select("host", F.col("n").alias("texts"))
+    found = counts.where("hash is not null").join(total, "host").where(F.col("n") >= share * F.col("texts"))
     return found.groupBy("host").agg(F.sort_array(F.collect_set("hash")).alias("template"))
 
 

@@ -27,3 +27,18 @@ def test_template(spark):
     assert by[3] == "Same line\n\ntext 3" and by[103] == "text 3" and by[200] == by[201] == ""
     assert by[None] == "Boxed template\n\ntext 1" and len(by[203]) == 199_999
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    long = "".join(f"<p>Sentence {k} of the article.</p>" for k in range(30))
+    want = "\n\n".join(f"Sentence {k} of the article." for k in range(30))
+    box = "<div>Read <a>more</a></div>"
+    wrapped = lambda own: f"<body><article><div>{long}</div>{own}</article></body>"
+    rows = [(i, f"http://a.example/{i}", wrapped("")) for i in range(50)]  # equal pages
+    rows += [(100 + i, f"http://b.example/{i}", wrapped(f"<p>copy {i}</p>{box}")) for i in range(50)]  # equal but for a line
+    rows += [(200 + i, f"http://c.example/{i}", f"<body><div>{long}</div></body>") for i in range(50)]  # without article
+    rows += [(300 + i, f"http://d.example/{i}", f"<article><div>{long}</div></article>" if i % 2 else f"<article><p>{'own words ' * 9}{i}</p>{box}</article>") for i in range(60)]
+    by = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(by[i] == want and by[200 + i] == want for i in range(50))
+    assert all(by[100 + i] == f"{want}\n\ncopy {i}\n\nRead more" for i in range(50))
+    assert by[301] == want and by[300] == f"{'own words ' * 9}0"

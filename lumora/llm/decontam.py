@@ -7,7 +7,8 @@ alignment (difference of positions) where they match, slots must be consistent:
 of the document all along. An item contaminates a document if consistent windows at one alignment cover COVER of the item's
 windows at least.
 
-Nulls and texts without words match nothing; a shorter text than a window is one window. Rows that repeat a doc_id are
+Nulls and texts without words match nothing. An item of fewer words than a window is one window of its own length, which is
+looked for anywhere in the documents. Rows that repeat a doc_id are
 judged as one document; rows without doc_id are not judged. Empty tables on either side give no hits. Extra columns are ignored.
 """
 
@@ -63,16 +64,28 @@ def window_hashes(w: Column, k: int = WORDS) -> Column:
     return F.when(n >= k, many).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _windows_of(w: Column, lengths: list[int]) -> Column:
+    """Position and hash of each run of so many words, for each of the lengths."""
+    n, none = F.size(w), F.array().cast("array<struct<dpos:int,key:bigint>>")
+
+    def each(k: int) -> Column:
+        hashes = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.struct((i - 1).alias("dpos"), F.xxhash64(F.slice(w, i, k)).alias("key")))
+        return F.when(n >= k, hashes).otherwise(none)
+
+    return F.concat(*map(each, lengths))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, cover: float = COVER) -> DataFrame:
     """doc_id, item_id, matched_windows, item_windows, changed_slots: one row for each item that contaminates a document."""
     items = benchmark.where("item_id is not null").select("item_id", F.col("text").alias("item_text")).withColumn("_w", canonical(F.col("item_text")))
     items = items.withColumn("_h", window_hashes(F.col("_w"), k)).withColumn("item_windows", F.size("_h"))
-    grams = staged(items.select("item_id", "item_windows", F.posexplode("_h").alias("ipos", "key")), "grams")
+    grams = staged(items.select("item_id", "item_windows", F.size("_w").alias("words"), F.posexplode("_h").alias("ipos", "key")), "grams")
+    short = sorted(r.words for r in grams.where(F.col("words") < k).select("words").distinct().collect())  # fewer than k numbers
     if grams.count() <= BROADCAST_ROWS:
         grams = F.broadcast(grams)
     # the words are a column of their own: inside the lambdas of the windows they would be made anew for each window
     own = docs.where("doc_id is not null").select("doc_id", canonical(F.col("text")).alias("_w"))
-    rows = own.select("doc_id", F.posexplode(window_hashes(F.col("_w"), k)).alias("dpos", "key"))
+    rows = own.select("doc_id", F.inline(_windows_of(F.col("_w"), [k, *short])))
     pairs = rows.join(grams, "key").select("doc_id", "item_id", "item_windows", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"))
     group = ["doc_id", "item_id", "shift"]
     found = pairs.groupBy(*group).agg(F.max("item_windows").alias("item_windows"), F.count_distinct("ipos").alias("matched_windows"))

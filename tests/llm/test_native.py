@@ -43,3 +43,12 @@ def test_decontamination(spark):
     assert set(got) == {(1, 1), (2, 1), (8, 1)}
     assert got[2, 1].changed_slots > 0 and got[1, 1].matched_windows >= got[1, 1].item_windows - 1
     assert decontam.contaminated(d.limit(0), b).count() == 0 and decontam.contaminated(d, b.limit(0)).count() == 0
+
+
+def test_short_items_are_found_in_long_documents(spark):
+    long = "some words that lead nowhere in particular and go on"
+    docs = [(1, f"{long}. Then: what is the big answer? {long}"), (2, f"{long} what is the answer {long}"), (3, "what is the big answer"), (4, "they meet at 7 sharp"), (5, "answer")]
+    items = [(1, "What is the big answer?"), (2, "meet at 5 sharp"), (3, "one two three four five six seven eight nine")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, decontam.contaminated(d, b).collect()))
+    assert got == [(1, 1, 1, 1, 0), (3, 1, 1, 1, 0), (4, 2, 1, 1, 1)]

@@ -3,9 +3,10 @@
 A text is made canonical: units after a number, numbers, and names (capitalised words after a word of the same sentence)
 become typed placeholders, the rest lower-case words. Windows of WORDS canonical words are hash-joined with those of the
 benchmark, which finds copies as well as questions with other numbers, names or units. For each document and item, at each
-alignment (difference of positions) where they match, slots must be consistent: one value of the item stands for one value
-of the document all along. An item contaminates a document if consistent windows at one alignment cover COVER of the item's
-windows at least.
+alignment (difference of positions) where they match, the slots in the windows that match must be consistent: one value of the
+item stands for one value of the document in all of them, or at least in an unbroken run of them. An item contaminates a
+document if consistent windows at one alignment cover COVER of the item's windows at least. Slots that no matching window
+covers are not compared.
 
 Nulls and texts without words match nothing. An item of fewer words than a window is one window of its own length, which is
 looked for anywhere in the documents. Rows that repeat a doc_id are
@@ -50,7 +51,7 @@ def slots(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     units = F.regexp_extract_all(text, F.lit(UNIT_RE), F.lit(2))
     t = _units_out(text)
-    numbers = F.regexp_extract_all(t, F.lit(NUM_RE), F.lit(0))
+    numbers = F.transform(F.regexp_extract_all(t, F.lit(NUM_RE), F.lit(0)), lambda v: F.regexp_replace(v, "[.,:/]+$", ""))
     names = F.regexp_extract_all(_numbers_out(t), F.lit(NAME_RE), F.lit(2))
     w = canonical(text)
     at = lambda kind: F.filter(F.transform(w, lambda x, i: F.when(x == kind, i)), lambda i: i.isNotNull())
@@ -75,6 +76,13 @@ def _windows_of(w: Column, lengths: list[int]) -> Column:
     return F.concat(*map(each, lengths))
 
 
+def _parts(at: Column, least: Column) -> Column:
+    """The sorted positions of all windows that match, and those of each unbroken run of `least` of them or more."""
+    marked = F.transform(at, lambda p, i: F.struct(p.alias("p"), (p - i).alias("run")))
+    runs = F.transform(F.array_distinct(F.transform(marked, lambda m: m["run"])), lambda r: F.transform(F.filter(marked, lambda m: m["run"] == r), lambda m: m["p"]))
+    return F.array_distinct(F.concat(F.array(at), F.filter(runs, lambda r: F.size(r) >= least)))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, cover: float = COVER) -> DataFrame:
     """doc_id, item_id, matched_windows, item_windows, changed_slots: one row for each item that contaminates a document."""
     items = benchmark.where("item_id is not null").select("item_id", F.col("text").alias("item_text")).withColumn("_w", canonical(F.col("item_text")))
@@ -88,14 +96,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, cover: f
     rows = own.select("doc_id", F.inline(_windows_of(F.col("_w"), [k, *short])))
     pairs = rows.join(grams, "key").select("doc_id", "item_id", "item_windows", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"))
     group = ["doc_id", "item_id", "shift"]
-    found = pairs.groupBy(*group).agg(F.max("item_windows").alias("item_windows"), F.count_distinct("ipos").alias("matched_windows"))
-    found = staged(found.where(F.col("matched_windows") >= F.ceil(F.lit(cover) * F.col("item_windows"))), "matched")
+    found = pairs.groupBy(*group).agg(F.max("item_windows").alias("item_windows"), F.sort_array(F.collect_set("ipos")).alias("at"))
+    least = F.ceil(F.lit(cover) * F.col("item_windows"))
+    found = staged(found.where(F.size("at") >= least), "matched")
+    found = found.select(*group, "item_windows", F.posexplode(_parts(F.col("at"), least)).alias("part", "at")).withColumn("matched_windows", F.size("at"))
+    group.append("part")
 
     # slots of the few documents that match; Spark broadcasts their ids if the written table is small
     texts = docs.where("doc_id is not null").select("doc_id", "text").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     mine = texts.select("doc_id", F.explode(slots(F.col("text"))).alias("s")).select("doc_id", F.col("s.i").alias("dpos"), F.col("s.kind").alias("kind"), F.col("s.value").alias("dvalue"))
     theirs = items.select("item_id", F.explode(slots(F.col("item_text"))).alias("s")).select("item_id", F.col("s.i").alias("ipos"), F.col("s.kind").alias("kind"), F.col("s.value").alias("ivalue"))
-    facing = found.join(theirs, "item_id").withColumn("dpos", F.col("ipos") + F.col("shift")).join(mine, ["doc_id", "dpos", "kind"])
+    covered = F.exists("at", lambda p: (p <= F.col("ipos")) & (F.col("ipos") < p + k))
+    facing = found.join(theirs, "item_id").where(covered).withColumn("dpos", F.col("ipos") + F.col("shift")).join(mine, ["doc_id", "dpos", "kind"])
     by_value = facing.groupBy(*group, "kind", "ivalue").agg(F.count_distinct("dvalue").alias("values"), F.min("dvalue").alias("dvalue"))
     checked = by_value.groupBy(*group).agg(F.max("values").alias("values"), F.count_if(F.col("dvalue") != F.col("ivalue")).alias("changed"))
     good = found.join(checked, group, "left").where(F.coalesce("values", F.lit(1)) == 1)

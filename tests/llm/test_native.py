@@ -52,3 +52,29 @@ def test_short_items_are_found_in_long_documents(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = sorted(map(tuple, decontam.contaminated(d, b).collect()))
     assert got == [(1, 1, 1, 1, 0), (3, 1, 1, 1, 0), (4, 2, 1, 1, 1)]
+
+
+HALF = "In the village there are 5 wells and the people fetch water from them every single morning before the sun is up. At night they need 5 lamps, so how many litres of oil are burnt by the 5 lamps"
+
+
+def test_slots_outside_the_copied_windows_are_not_compared(spark):
+    words = HALF.split()
+    copied = 26  # of 37 words, the first two slots among them
+    rest = "and then 900 of all 300 birds had left 9 nests in 8 or 6 trees to look for the 700 worms"
+    torn = HALF.replace("5 lamps, so", "6 lamps, so")
+    docs = [(1, f"{' '.join(words[:copied])} {' '.join('x7 8'.split() * 9)}"), (2, f"{HALF.replace('5', '4')}. More"), (3, torn), (4, f"{' '.join(words[:copied])} {rest}"), (5, HALF.replace("by the 5 lamps", "by all of the people in 9 lamps"))]
+    items = [(1, f"{HALF}?"), (2, "Tell me the number of all eggs if a hen lays 5 a day and the farmer sells 5. Nothing else is known to us")]
+    docs.append((6, "Tell me the number of all eggs if a hen lays 5, a day and the farmer sells 5 nothing else is known to us"))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(d, b).collect()}
+    assert set(got) == {(1, 1), (2, 1), (4, 1), (5, 1), (6, 2)}
+    assert got[2, 1].changed_slots == 1 and got[1, 1].changed_slots == got[4, 1].changed_slots == got[6, 2].changed_slots == 0
+    assert got[1, 1].matched_windows < got[1, 1].item_windows
+
+
+def test_a_later_conflict_leaves_the_consistent_run(spark):
+    item = "all of the 5 farmers who live in this valley went to the town on a cold day in winter to sell what they had made and then 5 of their sons came home late at night"
+    broken = item.replace("what they had made", "the x x made").replace("then 5 of", "then 8 of")
+    d, b = spark.createDataFrame([(1, broken), (2, item.replace("then 5 of", "then 8 of"))], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontam.contaminated(d, b).collect()
+    assert [(r.doc_id, r.changed_slots) for r in got] == [(1, 0)]

@@ -19,18 +19,18 @@ def parse_count(text: Column) -> Column:
 
 
 def code_to_id(code: Column) -> Column:
-    """The 64-bit id of a short code of at most 10 characters; null if it has others."""
-    letters = F.filter(F.split(F.substring(code, 1, 10), ""), lambda c: c != "")
-    value = F.aggregate(letters, F.lit(0).cast("long"), lambda a, c: a * 64 + F.instr(F.lit(ALPHABET), c).cast("long") - 1)
-    return F.when(code.rlike(r"^[A-Za-z0-9_\-]+$"), value)
+    """The 64-bit id in the first 11 characters of a short code; null if it has others or the id is 2^63 or more."""
+    letters = F.filter(F.split(F.substring(code, 1, 11), ""), lambda c: c != "")
+    value = F.aggregate(letters, F.lit(0).cast("long"), lambda a, c: F.shiftleft(a, 6).bitwiseOR(F.instr(F.lit(ALPHABET), c).cast("long") - 1))
+    return F.when(code.rlike(r"^[A-Za-z0-9_\-]+$") & ~code.rlike(r"^[^A-H].{10}"), value)
 
 
 def id_to_code(pk: Column) -> Column:
-    """The 10-character short code of an id, without its leading A's."""
-    places = F.sequence(F.lit(9), F.lit(0), F.lit(-1))
+    """The short code of at most 11 characters of an id, without its leading A's; null if the id is negative."""
+    places = F.sequence(F.lit(10), F.lit(0), F.lit(-1))
     digit = lambda i: F.call_function("shiftright", pk, (i * 6).cast("int")).bitwiseAND(F.lit(63)).cast("int")
     chars = F.transform(places, lambda i: F.substring(F.lit(ALPHABET), digit(i) + 1, F.lit(1)))
-    return F.regexp_replace(F.array_join(chars, ""), "^A+(?=.)", "")
+    return F.when(pk >= 0, F.regexp_replace(F.array_join(chars, ""), "^A+(?=.)", ""))
 
 
 def backoff_seconds(attempts: Column) -> Column:

@@ -26,6 +26,14 @@ def test_codes(spark):
     assert spark.createDataFrame([("a!b",), (None,)], "c string").where(scalars.code_to_id(F.col("c")).isNull()).count() == 2
 
 
+def test_codes_of_11_characters(spark):
+    known = {3_500_000_000_000_000_000: "DCSf3TJ3gAA", (1 << 63) - 1: "H__________", 1 << 60: "BAAAAAAAAAA", -1: None}
+    out = spark.createDataFrame([(k,) for k in known], "pk long").select("pk", scalars.id_to_code(F.col("pk")).alias("c"), scalars.code_to_id(scalars.id_to_code(F.col("pk"))).alias("back")).collect()
+    assert {r.pk: r.c for r in out} == known and all(r.back == r.pk for r in out if r.pk >= 0)
+    codes = spark.createDataFrame([("IAAAAAAAAAA",), ("BAAAAAAAAAAtoken",)], "c string").select(scalars.code_to_id(F.col("c")).alias("pk")).collect()
+    assert [r.pk for r in codes] == [None, 1 << 60]
+
+
 def test_merge_and_append(spark):
     a = spark.createDataFrame([(1, "x", 1), (2, None, 2)], "k int, s string, n int")
     b = spark.createDataFrame([(2, "y", None), (3, "z", 3)], "k int, s string, n int")

@@ -4,14 +4,17 @@ Two documents link when their sets of shingles have 100 * intersection >= SIMILA
 
 1. Shared shingles. Each batch hashes its documents' shingles; those that it holds in several documents are known to be
    shared, the others go, once a batch, to their key group, which tells whether another document has them. A document with
-   fewer shared shingles than the similarity asks for links with nothing and is done.
+   fewer shared shingles than the similarity asks for links with nothing and is done: its text is not read again.
 2. The rest become classes of equal sets. A class of n shingles needs T = ceil(n * SIMILARITY / 100) of them in its partner:
    of its shingles by rising number of classes, the first n - T + 1 (the short lists) hold one that the partner has too.
-3. In each short list the smallest class is compared with the others; after components are merged, that is repeated, and
-   then all pairs of different components that still share a short list are compared. So no link between components is lost,
-   and a group of near copies costs a star instead of all its pairs.
-4. A comparison is a T-occurrence search: for one class and a chunk of its candidates, short inverted lists are merged by a
-   heap, long ones probed by binary search (DivideSkip), and candidates with the required overlap are kept.
+3. A short list belongs to the cell of its smallest class. Classes that share a short list share its cell, so all links lie
+   inside cells; near copies have the same smallest class in most of their lists, so a class is in few cells.
+4. Each cell is an index of inverted lists. Its smallest class is searched first; then each class that is not connected with
+   it yet. A search is T-occurrence by DivideSkip: a heap merges the short lists and skips what cannot occur often enough, the
+   long lists are probed by binary search, candidates with the required overlap link. Only links that connect something leave
+   the cell, at most one less than its classes: no pairs are made.
+5. A cell of more than CELL_BYTES is dealt by hash to parts, each with the smallest class in it. Afterwards, classes
+   of such a cell that are not connected with its smallest one are searched in the other parts too, in blocks.
 
 Null texts and texts without words have no shingles and link with nothing. Texts of fewer words than a shingle are one
 shingle. Rows that repeat a doc_id are judged by their own text. A null doc_id is returned, and is the component only if
@@ -34,9 +37,10 @@ from lumora.llm.components import components
 
 K = 5
 SIMILARITY = 75  # per cent
-STARS = 2  # rounds of stars before all pairs of different components
-CHUNK = 256  # candidates of one search
 BATCH = 4 << 20  # bytes of text whose shingles are hashed at once: a worker's memory is some 40 times that
+GROUP_BYTES = 16 << 20  # of text whose shingles meet in one key group, at most about
+CELL_BYTES = 32 << 20  # of shingles in one cell or part of a cell
+MU = 0.0085  # weight of a probe against a step of the merge, from the paper on DivideSkip
 
 
 def shingles(column, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,26 +82,45 @@ def _blocks(groups: int, shards: int, k: int):
             one, more = first & ~several, first & several
             out = [(b, d, x, b"") for b, x, d in split_by(group[one], low[one], ids[text[one]])]
             out += [(b, b"", b"", x) for b, x in split_by(group[more], low[more])]
-            known = np.bincount(text[several], minlength=len(ids)).astype(np.int64)
-            some = known > 0
-            out += [(-1 - b, d, c, b"") for b, d, c in split_by(ids[some] % shards, ids[some], known[some])]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "docs", "keys", "shared"])
+            known, n = np.bincount(text[several], minlength=len(ids)).astype(np.int64), np.bincount(text, minlength=len(ids)).astype(np.int64)
+            out += [(-1 - b, d, c, x) for b, d, c, x in split_by(ids % shards, ids, known, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "docs", "keys", "shared"])
 
     return run
 
 
+COUNTS = "shard int, docs binary, counts binary, sizes binary"
+
+
 def _shared(shards: int):
+    """A key group to (documents, their shared shingles) by shard; a shard's own rows (bucket -1 - shard) pass."""
+
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         if bucket < 0:
-            docs, counts = (b"".join(table.column(c).to_pylist()) for c in ("docs", "keys"))
-            return pa.table({"shard": pa.array([-1 - bucket], pa.int32()), "docs": pa.array([docs], pa.binary()), "counts": pa.array([counts], pa.binary())})
-        docs, keys, known = joined(table.column("docs"), np.int64), joined(table.column("keys"), np.uint32), joined(table.column("shared"), np.uint32)
-        _, number, count = np.unique(np.concatenate([keys, known]), return_inverse=True, return_counts=True)
-        doc, n = np.unique(docs[count[number[: len(keys)]] > 1], return_counts=True)
-        cols = list(zip(*split_by(doc % shards, doc, n.astype(np.int64)), strict=True)) or [[], [], []]
-        return pa.table({"shard": pa.array(cols[0], pa.int32()), "docs": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary())})
+            cols = [[-1 - bucket] * table.num_rows, *(table.column(c) for c in ("docs", "keys", "shared"))]
+        else:
+            docs, keys, known = joined(table.column("docs"), np.int64), joined(table.column("keys"), np.uint32), joined(table.column("shared"), np.uint32)
+            _, number, count = np.unique(np.concatenate([keys, known]), return_inverse=True, return_counts=True)
+            doc, n = np.unique(docs[count[number[: len(keys)]] > 1], return_counts=True)
+            out = [(*x, b"") for x in split_by(doc % shards, doc, n.astype(np.int64))]
+            cols = list(zip(*out, strict=True)) or [[], [], [], []]
+        return pa.table([pa.array(cols[0], pa.int32()), *(c if isinstance(c, pa.ChunkedArray) else pa.array(c, pa.binary()) for c in cols[1:])], ["shard", "docs", "counts", "sizes"])
+
+    return run
+
+
+def _able(similarity: int):
+    """All counts of a shard's documents to (doc_id, n_shingles, able): whether as many shingles are shared as a link needs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, inverse = np.unique(joined(table.column("docs"), np.int64), return_inverse=True)
+        shared = np.bincount(inverse, joined(table.column("counts"), np.int64), len(doc)).astype(np.int64)
+        own = table.filter(pa.array([len(x) > 0 for x in table.column("sizes").to_pylist()], pa.bool_()))
+        ids, n = joined(own.column("docs"), np.int64), joined(own.column("sizes"), np.int64)
+        able = (n > 0) & (100 * shared[np.searchsorted(doc, ids)] >= similarity * n)
+        able = np.isin(ids, ids[able])  # rows of one doc_id go together
+        return pa.table({"doc_id": pa.array(ids, mask=ids == NULL_ID), "n_shingles": pa.array(n), "able": pa.array(able)})
 
     return run
 
@@ -105,150 +128,218 @@ def _shared(shards: int):
 SETS = "doc_id long, n_shingles long, node long, shingles array<long>"
 
 
-def _sets(k: int, similarity: int):
-    """Documents of a shard with their counts to rows of SETS; node and shingles only where a link is possible."""
-
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        ids = ids_of(docs.column("doc_id").combine_chunks())
-        text, key = shingles(docs.column("text"), k)
-        n = np.bincount(text, minlength=len(ids)).astype(np.int64)
-        total = {}
-        if counts.num_rows:
-            doc, inverse = np.unique(joined(counts.column("docs"), np.int64), return_inverse=True)
-            total = dict(zip(doc.tolist(), np.bincount(inverse, joined(counts.column("counts"), np.int64)).astype(np.int64).tolist(), strict=True))
-        shared = np.array([total.get(i, 0) for i in ids.tolist()], np.int64)
-        able = (n > 0) & (100 * shared >= similarity * n)
-        end = np.cumsum(n)
-        node = np.zeros(len(ids), np.uint64)
-        if len(key):
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(key ^ _COEF[9]))])
-            node = mix(sums[end] - sums[end - n] + n.astype(np.uint64) * _COEF[11])
-        keep = able[text] if len(text) else np.zeros(0, bool)
-        lens = np.where(able, n, 0)
-        offsets, values = pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(key[keep].view(np.int64))
-        shingled = pa.ListArray.from_arrays(offsets, values, mask=pa.array(~able))
-        return pa.table({"doc_id": docs.column("doc_id"), "n_shingles": pa.array(n), "node": pa.array(node.view(np.int64), mask=~able), "shingles": shingled})
+def _sets(k: int):
+    """Documents to SETS; node is the hash of the set. A text without shingles has none."""
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", BATCH):
+            text, key = shingles(batch.column("text"), k)
+            n = np.bincount(text, minlength=batch.num_rows).astype(np.int64)
+            end = np.cumsum(n)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(key ^ _COEF[9]))])
+            node = mix(sums[end] - sums[end - n] + n.astype(np.uint64) * _COEF[11]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]), pa.int32()), pa.array(key.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(node, mask=n == 0), lists], ["doc_id", "n_shingles", "node", "shingles"])
 
+    return run
 
-def t_occurrence(query: list[int], lists: dict[int, list[int]], needed: dict[int, int], long: int) -> dict[int, int]:
-    """Candidates with the overlap that each needs, and that overlap. lists: sorted candidates of each shingle.
 
-    The `long` longest lists are probed, the others merged by a heap; a candidate with a needed overlap of T has to
-    occur in T - long of the merged ones at least.
-    """
-    own = sorted((lists[s] for s in query if s in lists), key=len)
-    cut = max(0, len(own) - long)
-    found, heap = {}, [(x[0], i, 0) for i, x in enumerate(own[:cut])]
+def merge_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """(candidate, count) of those that occur in at least `least` of the sorted lists, by a heap that skips the others."""
+    heap = [(x[0], i, 0) for i, x in enumerate(lists) if x]
     heapq.heapify(heap)
-    while heap:
-        candidate, count = heap[0][0], 0
-        while heap and heap[0][0] == candidate:
-            _, i, at = heap[0]
-            count += 1
-            if at + 1 < len(own[i]):
-                heapq.heapreplace(heap, (own[i][at + 1], i, at + 1))
-            else:
-                heapq.heappop(heap)
-        left = len(own) - cut
-        for probe in own[cut:]:
-            if count + left < needed[candidate]:
+    found = []
+    while len(heap) >= least:
+        top, popped = heap[0][0], []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap))
+        if len(popped) >= least:
+            found.append((top, len(popped)))
+            target = top + 1
+        else:  # nothing before the least-th head can occur often enough
+            while heap and len(popped) < least - 1:
+                popped.append(heapq.heappop(heap))
+            if not heap:
                 break
-            left -= 1
-            at = bisect_left(probe, candidate)
-            count += at < len(probe) and probe[at] == candidate
-        if count >= needed[candidate]:
-            found[candidate] = count
+            target = heap[0][0]
+        for _, i, at in popped:
+            x = lists[i]
+            at = bisect_left(x, target, at)
+            if at < len(x):
+                heapq.heappush(heap, (x[at], i, at))
     return found
 
 
-def _search(similarity: int):
-    """Rows (a, a_set, b, b_set), those of one a together, to the links (u, v) among them."""
+def t_occurrence(lists: list[np.ndarray], needed: np.ndarray, least: int) -> np.ndarray:
+    """Candidates that occur in as many of the sorted lists as each needs; `least` is the smallest of these numbers.
 
-    def chunk(query: np.ndarray, names: list[int], sets: list[np.ndarray]) -> list[int]:
-        number = {s: i for i, s in enumerate(query.tolist())}
+    DivideSkip: the longest lists are probed by binary search, the others merged by a heap.
+    """
+    if len(lists) < least or least < 1:
+        return np.zeros(0, np.int64)
+    lists = sorted(lists, key=len)
+    long = min(least - 1, int(least / (MU * np.log2(max(2, len(lists[-1]))) + 1)))
+    cut = len(lists) - long
+    merged = merge_skip([x.tolist() for x in lists[:cut]], least - long)
+    doc, count = (np.array(c, np.int64) for c in zip(*merged, strict=True)) if merged else (np.zeros(0, np.int64),) * 2
+    for left, probe in zip(range(long, 0, -1), lists[cut:], strict=True):
+        keep = count + left >= needed[doc]
+        if not keep.all():
+            doc, count = doc[keep], count[keep]
+        if not len(doc):
+            return doc
+        count = count + (probe[np.minimum(np.searchsorted(probe, doc), len(probe) - 1)] == doc)
+    return doc[count >= needed[doc]]
+
+
+class Index:
+    """Inverted lists of the sets of a cell; `connected` numbers what is linked already."""
+
+    def __init__(self, sets: pa.ChunkedArray, connected: np.ndarray):
+        flat = sets.combine_chunks()
+        flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+        self.key, self.size = flat.flatten().to_numpy(), np.diff(flat.offsets.to_numpy()).astype(np.int64)
+        order = np.argsort(self.key, kind="stable")
+        owner = np.repeat(np.arange(len(self.size)), self.size)[order]
+        ordered = self.key[order]
+        new = np.ones(len(ordered), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        self.head = np.flatnonzero(new)
+        self.token, self.length, self.owner = ordered[self.head], np.diff(np.append(self.head, len(ordered))), owner
+        self.end, self.connected = np.cumsum(self.size), connected
+
+    def own(self, i: int) -> np.ndarray:
+        return self.key[self.end[i] - self.size[i] : self.end[i]]
+
+    def search(self, query: np.ndarray, skip: np.ndarray, similarity: int, least_df: int = 1) -> np.ndarray:
+        """Sets that link with a query; skip: those that need not be found. least_df: shorter lists hold none of them."""
         n = len(query)
-        needed = {i: -(-similarity * (n + len(x)) // (100 + similarity)) for i, x in enumerate(sets)}
-        lists: dict[int, list[int]] = {}
-        for i, x in enumerate(sets):
-            for s in query[np.isin(query, x, assume_unique=True)].tolist():
-                lists.setdefault(number[s], []).append(i)
-        # T - 1 long lists would leave every list short enough for one occurrence; a part of them balances merge and probes
-        return [names[i] for i in t_occurrence(list(range(n)), lists, needed, max(0, min(needed.values()) - 1))]
+        at = np.minimum(np.searchsorted(self.token, query), len(self.token) - 1)
+        at = at[(self.token[at] == query) & (self.length[at] >= least_df)]
+        needed = -(-similarity * (n + self.size) // (100 + similarity))
+        needed[skip] = np.iinfo(np.int64).max
+        least = -(-similarity * n // 100)
+        if len(at) < least:
+            return np.zeros(0, np.int64)
+        begin, size = self.head[at], self.length[at]
+        return t_occurrence([self.owner[b : b + m] for b, m in zip(begin.tolist(), size.tolist(), strict=True)], needed, least)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            a_sets, b_sets = batch.column("a_set"), batch.column("b_set")
-            out: list[tuple[int, int]] = []
-            i = 0
-            while i < len(a):
-                j = i
-                while j < len(a) and a[j] == a[i] and j - i < CHUNK:
-                    j += 1
-                query = a_sets[i].values.to_numpy()
-                out += [(a[i], x) for x in chunk(query, b[i:j], [b_sets[x].values.to_numpy() for x in range(i, j)])]
-                i = j
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
+    def connect(self, label: int, found: np.ndarray) -> np.ndarray:
+        """Give all that is connected with `found` the label; one of found for each other label."""
+        other = self.connected[found]
+        labels, first = np.unique(other, return_index=True)
+        fresh = labels != label
+        self.connected[np.isin(self.connected, labels)] = label
+        return found[first[fresh]]
+
+
+def _links(u: list[int], v: list[int]) -> pa.Table:
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _search(similarity: int):
+    """The classes of a cell (or a part of one) to links that connect all of them that are connected."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        names, index = table.column("node").to_numpy(), Index(table.column("shingles"), np.arange(table.num_rows))
+        lead = int(np.flatnonzero(names == table.column("cell")[0].as_py())[0])
+        done, u, v = np.zeros(len(names), bool), [], []
+        for i in [lead, *(x for x in range(len(names)) if x != lead)]:
+            if i == lead or index.connected[i] != index.connected[lead]:
+                # those searched before would have found this one
+                found = index.search(index.own(i), done | (index.connected == index.connected[i]), similarity, 2)
+                linked = index.connect(int(index.connected[i]), found)
+                u += [int(names[i])] * len(linked)
+                v += names[linked].tolist()
+                done[i] = True
+        return _links(u, v)
 
     return run
 
 
-def links_of(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) of nodes that are similar enough, as (u, v)."""
-    sets = classes.select("node", "shingles", "n_shingles")
-    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set"), F.col("n_shingles").alias("b_n")), "b")
-    both = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set"), F.col("n_shingles").alias("a_n")), "a")
-    both = both.where(f"100 * least(a_n, b_n) >= {similarity} * greatest(a_n, b_n)").select("a", "a_set", "b", "b_set")
-    return both.mapInArrow(_search(similarity), "u long, v long")
+def _search_block(similarity: int):
+    """A part of a cell and a block of queries from other parts, both with labels of what is connected, to links."""
 
+    def run(members: pa.Table, queries: pa.Table) -> pa.Table:
+        u, v = [], []
+        if members.num_rows and queries.num_rows:
+            names = members.column("node").to_numpy()
+            _, labels = np.unique(np.concatenate([members.column("label").to_numpy(), queries.column("q_label").to_numpy()]), return_inverse=True)
+            index = Index(members.column("shingles"), labels[: len(names)].copy())
+            for node, x, label in zip(queries.column("q_node").to_pylist(), queries.column("q_shingles"), labels[len(names) :].tolist(), strict=True):
+                found = index.search(x.values.to_numpy(), index.connected == label, similarity)
+                linked = index.connect(label, found)
+                u += [node] * len(linked)
+                v += names[linked].tolist()
+        return _links(u, v)
+
+    return run
 
-def similar(docs: DataFrame, k: int = K, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of each row."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    groups, shards = 2 * n, next_prime(4 * n)
-    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = pairs.mapInArrow(_blocks(groups, shards, k), "bucket int, docs binary, keys binary, shared binary")
-    counts = blocks.groupBy("bucket").applyInArrow(_shared(shards), "shard int, docs binary, counts binary")
-    shard = F.pmod(F.coalesce("doc_id", F.lit(int(NULL_ID))), F.lit(shards)).cast("int")
-    rows = staged(pairs.withColumn("_shard", shard).groupBy("_shard").cogroup(counts.groupBy("shard")).applyInArrow(_sets(k, similarity), SETS), "sets")
 
-    able = rows.where("node is not null")
-    classes = staged(able.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id")), "classes")
+def _cells(classes: DataFrame, similarity: int) -> DataFrame:
+    """(cell, node, n_shingles): the classes that share a short list with the smallest class of the list."""
     tokens = classes.select("node", "n_shingles", F.explode("shingles").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = tokens.join(often, "token").groupBy("node", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     # shingles of no other class come first in the order; they hold no partner, so only the rest of the short lists is kept
     short = F.col("n_shingles") - F.ceil(F.col("n_shingles") * similarity / 100) + 1 - (F.col("n_shingles") - F.size("t"))
-    lists = ranked.where(short > 0).select("node", F.explode(F.slice("t", F.lit(1), short.cast("int"))).alias("t")).select("node", F.col("t.token").alias("token"))
+    lists = ranked.where(short > 0).select("node", "n_shingles", F.explode(F.slice("t", F.lit(1), short.cast("int"))).alias("t")).select("node", "n_shingles", F.col("t.token").alias("token"))
     lists = staged(lists, "lists")
-
-    links, labels = None, None
-    for turn in range(STARS + 1):
-        own = lists
-        if labels is not None:
-            own = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = own.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-            own = own.join(mixed, "token")
-            lists = own = staged(own.select("token", "node", "label"), "open")
-            if own.isEmpty():
-                break
-            lists = lists.select("token", "node")
-        else:
-            own = own.withColumn("label", F.col("node"))
-        if turn < STARS:
-            lead = own.groupBy("token").agg((F.min if turn % 2 == 0 else F.max)(F.struct("node", "label")).alias("l")).select("token", F.col("l.node").alias("a"), F.col("l.label").alias("la"))
-            cand = own.join(lead, "token").where("label <> la").select("a", F.col("node").alias("b"))
-        else:
-            other = own.select("token", F.col("node").alias("b"), F.col("label").alias("lb"))
-            cand = own.withColumnRenamed("node", "a").join(other, "token").where("label < lb").select("a", "b")
-        new = staged(links_of(cand.distinct(), classes, similarity), "links")
-        links = new if links is None else links.union(new)
-        labels = staged(components(links).select("node", F.col("component").alias("label")), "labels")
-    by_node = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lead = lists.groupBy("token").agg(F.min("node").alias("cell"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "cell")
+    return staged(lists.join(lead, "token").select("cell", "node", "n_shingles").distinct(), "cells")
+
+
+def _cross(dealt: DataFrame, sets: DataFrame, labels: DataFrame, similarity: int, most: int) -> DataFrame:
+    """Links between parts of cells; dealt(cell, part, parts, node): the classes of cells that have several parts."""
+    known = dealt.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lead = known.where("node = cell").select("cell", F.col("label").alias("lead")).distinct()
+    known = known.join(lead, "cell")
+    open_ = known.where("node <> cell and label <> lead")
+    blocks = open_.join(sets.select("node", "n_shingles"), "node").groupBy("cell").agg(F.ceil(8 * F.sum("n_shingles") / most).cast("int").alias("blocks"))
+    asking = open_.join(blocks, "cell").select("cell", "part", "node", "label", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+    asking = asking.where("p <> part").select("cell", F.col("p").alias("part"), "block", "node", "label")
+    members = known.where("node <> cell").join(blocks, "cell").select("cell", "part", "node", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    asking = asking.select(*(F.col(c).alias(f"q_{c}") for c in ("cell", "part", "block", "node", "label")))
+    left = members.join(sets.select("node", "shingles"), "node").groupBy("cell", "part", "block")
+    right = asking.join(sets.select(F.col("node").alias("q_node"), F.col("shingles").alias("q_shingles")), "q_node").groupBy("q_cell", "q_part", "q_block")
+    return left.cogroup(right).applyInArrow(_search_block(similarity), "u long, v long")
+
+
+def links_of(classes: DataFrame, similarity: int, most: int = CELL_BYTES) -> DataFrame:
+    """classes(node, n_shingles, shingles) to links (u, v) that connect all nodes that are connected."""
+    cells = _cells(classes, similarity)
+    # few cells are so large: the written table of them is broadcast by Spark if it is small
+    large = staged(cells.groupBy("cell").agg(F.ceil(8 * F.sum("n_shingles") / most).cast("int").alias("parts")).where("parts > 1"), "large")
+    dealt = cells.join(large, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = dealt.where("node <> cell or parts = 1").select("cell", "part", "node").union(large.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("cell").alias("node")))
+    links = staged(rows.join(classes.select("node", "shingles"), "node").groupBy("cell", "part").applyInArrow(_search(similarity), "u long, v long"), "links")
+    if large.isEmpty():
+        return links
+    labels = staged(components(links).select("node", F.col("component").alias("label")), "labels")
+    more = _cross(dealt.where("parts > 1").select("cell", "part", "parts", "node"), classes, labels, similarity, most)
+    return links.union(staged(more, "cross"))
+
+
+def similar(docs: DataFrame, k: int = K, similarity: int = SIMILARITY, most: int = CELL_BYTES) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of each row."""
+    n = partitions(docs.sparkSession)
+    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = pairs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    groups, shards = max(2 * n, -(-size["bytes"] // GROUP_BYTES)), next_prime(max(n, size["rows"] // 500_000))
+    blocks = pairs.mapInArrow(_blocks(groups, shards, k), "bucket int, docs binary, keys binary, shared binary")
+    counts = blocks.groupBy("bucket").applyInArrow(_shared(shards), COUNTS)
+    counts = staged(counts.groupBy("shard").applyInArrow(_able(similarity), "doc_id long, n_shingles long, able boolean"), "counts")
+
+    # only texts that may link are read again; Spark broadcasts their ids if the written table is small
+    chosen = counts.where("able").select(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("_id")).distinct()
+    again = pairs.withColumn("_id", F.coalesce("doc_id", F.lit(int(NULL_ID)))).join(chosen, "_id", "left_semi").select("doc_id", "text")
+    rows = staged(again.mapInArrow(_sets(k), SETS), "sets")
+    classes = rows.where("node is not null").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"))
+    classes = staged(classes, "classes")
+    labels = components(links_of(classes, similarity, most)).select("node", F.col("component").alias("label"))
+    by_node = staged(classes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
     least = by_node.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = by_node.join(least, "label").select("node", "component_id")
-    out = able.join(found, "node").select("doc_id", "n_shingles", "component_id")
-    return out.union(rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = rows.join(found, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.union(counts.where("not able").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from lumora.llm import ngram_join
 
 
@@ -46,10 +48,32 @@ def test_equals_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 5, 75)
 
 
+def test_cells_in_parts_equal_brute_force(spark):
+    """Cells of many parts: a hot group of near copies, some of them far from its smallest class."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(3))
+    base, rows = [word() for _ in range(60)], []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 4])):
+            w[r.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    got = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string"), most=4000)
+    want = brute(rows, 5, 75)
+    assert len({c for _, _, c in want}) > 5
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
 def test_t_occurrence():
-    lists = {0: [0, 1, 2], 1: [1], 2: [0, 1, 2, 3], 3: [2, 3]}
-    for long in range(4):
-        assert ngram_join.t_occurrence([0, 1, 2, 3], lists, dict.fromkeys(range(4), long + 1), long) == {d: c for d, c in {0: 2, 1: 3, 2: 3, 3: 2}.items() if c > long}
+    r = random.Random(3)
+    for _ in range(300):
+        lists = [np.array(sorted(r.sample(range(30), r.randint(1, 12)))) for _ in range(r.randint(1, 40))]
+        count = np.bincount(np.concatenate(lists), minlength=30)
+        least = r.randint(1, 12)
+        needed = np.array([least + r.choice([0, 0, 1, 3]) for _ in range(30)])
+        assert ngram_join.t_occurrence(lists, needed, least).tolist() == [i for i in range(30) if count[i] >= needed[i]]
+        merged = ngram_join.merge_skip([x.tolist() for x in lists], least)
+        assert merged == [(i, count[i]) for i in range(30) if count[i] >= least]
 
 
 def test_empty(spark):

@@ -6,11 +6,15 @@ benchmark, which finds copies as well as questions with other numbers, names or
 alignment (difference of positions) where they match, the slots in the windows that match must be consistent: one value of the
 item stands for one value of the document in all of them, or at least in an unbroken run of them. An item contaminates a
 document if consistent windows at one alignment cover COVER of the item's windows at least. Slots that no matching window
-covers are not compared.
+covers are not compared. Two values of the item may stand for one value of the document: a re-parameterised question may use
+a number twice.
+
+No pattern that Spark runs repeats a group, as Java's matcher recurses for each round of one: names are marked word by word and runs
+of them merged after that. So texts may be of any length.
 
 Nulls and texts without words match nothing. An item of fewer words than a window is one window of its own length, which is
 looked for anywhere in the documents. Rows that repeat a doc_id are
-judged as one document; rows without doc_id are not judged. Empty tables on either side give no hits. Extra columns are ignored.
+judged each by its own text, and the best match of them is returned; rows without doc_id are not judged. Empty tables on either side give no hits. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +26,15 @@ from lumora.llm.common import staged
 
 WORDS = 8  # of a window
 COVER = 0.5  # of an item's windows at one alignment
-BROADCAST_ROWS = 500_000  # benchmark windows; with more, both sides are shuffled by hash instead
 
 # Words that count as units after a number, and the placeholders (letters that no text of ours uses).
 UNITS = "mm|cm|km|m|kg|mg|g|lb|oz|ml|l|sec|seconds|s|minutes|min|hours|h|days|weeks|months|years|miles|feet|inches|dollars|euros|pounds|cents|percent|degrees|usd|eur|gbp"
 NUM, UNIT, NAME = "ᚠnum", "ᚢunit", "ᚦname"
 UNIT_RE = rf"([0-9])\s*({UNITS})([^\p{{L}}\p{{N}}]|$)"
 NUM_RE = r"[+-]?[0-9][0-9.,:/]*"
-NAME_RE = r"([\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
+NAME_RE = r"([\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"  # as a whole; only the SQL runs it
+ONE_NAME_RE = r"(?<=[\p{L}\p{N},;:] )\p{Lu}\p{Ll}+"  # a word of such a run
+BEGIN, END = "\x01", "\x02"  # around names, while they are found
 
 
 def _units_out(text: Column) -> Column:
@@ -42,17 +47,25 @@ def _numbers_out(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """The canonical words of a text."""
-    t = F.regexp_replace(_numbers_out(_units_out(F.coalesce(text, F.lit("")))), NAME_RE, f"$1{NAME}")
+    t = F.regexp_replace(_numbers_out(_units_out(F.coalesce(text, F.lit("")))), ONE_NAME_RE, NAME)
+    t = F.regexp_replace(t, f"{NAME} (?={NAME})", "")  # a run is one name
     return F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _names(text: Column) -> Column:
+    """The runs of names."""
+    t = F.translate(text, BEGIN + END, "\x03\x03")
+    t = F.regexp_replace(t, ONE_NAME_RE, f"{BEGIN}$0{END}")
+    return F.regexp_extract_all(F.replace(t, F.lit(f"{END} {BEGIN}"), F.lit(" ")), F.lit(f"{BEGIN}([^{END}]*){END}"), F.lit(1))
+
+
 def slots(text: Column) -> Column:
     """Map from the position of each placeholder in canonical(text) to (kind, value)."""
     text = F.coalesce(text, F.lit(""))
     units = F.regexp_extract_all(text, F.lit(UNIT_RE), F.lit(2))
     t = _units_out(text)
     numbers = F.transform(F.regexp_extract_all(t, F.lit(NUM_RE), F.lit(0)), lambda v: F.regexp_replace(v, "[.,:/]+$", ""))
-    names = F.regexp_extract_all(_numbers_out(t), F.lit(NAME_RE), F.lit(2))
+    names = _names(_numbers_out(t))
     w = canonical(text)
     at = lambda kind: F.filter(F.transform(w, lambda x, i: F.when(x == kind, i)), lambda i: i.isNotNull())
     each = lambda kind, values: F.zip_with(at(kind), values, lambda i, v: F.struct(i.alias("i"), F.lit(kind).alias("kind"), F.lower(v).alias("value")))
@@ -89,13 +102,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, cover: f
     items = items.withColumn("_h", window_hashes(F.col("_w"), k)).withColumn("item_windows", F.size("_h"))
     grams = staged(items.select("item_id", "item_windows", F.size("_w").alias("words"), F.posexplode("_h").alias("ipos", "key")), "grams")
     short = sorted(r.words for r in grams.where(F.col("words") < k).select("words").distinct().collect())  # fewer than k numbers
-    if grams.count() <= BROADCAST_ROWS:
-        grams = F.broadcast(grams)
+    # Spark broadcasts the written windows if they are small; else both sides are shuffled by hash
     # the words are a column of their own: inside the lambdas of the windows they would be made anew for each window
-    own = docs.where("doc_id is not null").select("doc_id", canonical(F.col("text")).alias("_w"))
-    rows = own.select("doc_id", F.inline(_windows_of(F.col("_w"), [k, *short])))
-    pairs = rows.join(grams, "key").select("doc_id", "item_id", "item_windows", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"))
-    group = ["doc_id", "item_id", "shift"]
+    own = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("row"), canonical(F.col("text")).alias("_w"))
+    rows = own.select("doc_id", "row", F.inline(_windows_of(F.col("_w"), [k, *short])))
+    pairs = rows.join(grams, "key").select("doc_id", "row", "item_id", "item_windows", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"))
+    group = ["doc_id", "row", "item_id", "shift"]
     found = pairs.groupBy(*group).agg(F.max("item_windows").alias("item_windows"), F.sort_array(F.collect_set("ipos")).alias("at"))
     least = F.ceil(F.lit(cover) * F.col("item_windows"))
     found = staged(found.where(F.size("at") >= least), "matched")
@@ -103,11 +115,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, cover: f
     group.append("part")
 
     # slots of the few documents that match; Spark broadcasts their ids if the written table is small
-    texts = docs.where("doc_id is not null").select("doc_id", "text").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    mine = texts.select("doc_id", F.explode(slots(F.col("text"))).alias("s")).select("doc_id", F.col("s.i").alias("dpos"), F.col("s.kind").alias("kind"), F.col("s.value").alias("dvalue"))
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("row"), "text").join(found.select("doc_id", "row").distinct(), ["doc_id", "row"], "left_semi")
+    mine = texts.select("doc_id", "row", F.explode(slots(F.col("text"))).alias("s")).select("doc_id", "row", F.col("s.i").alias("dpos"), F.col("s.kind").alias("kind"), F.col("s.value").alias("dvalue"))
     theirs = items.select("item_id", F.explode(slots(F.col("item_text"))).alias("s")).select("item_id", F.col("s.i").alias("ipos"), F.col("s.kind").alias("kind"), F.col("s.value").alias("ivalue"))
     covered = F.exists("at", lambda p: (p <= F.col("ipos")) & (F.col("ipos") < p + k))
-    facing = found.join(theirs, "item_id").where(covered).withColumn("dpos", F.col("ipos") + F.col("shift")).join(mine, ["doc_id", "dpos", "kind"])
+    facing = found.join(theirs, "item_id").where(covered).withColumn("dpos", F.col("ipos") + F.col("shift")).join(mine, ["doc_id", "row", "dpos", "kind"])
     by_value = facing.groupBy(*group, "kind", "ivalue").agg(F.count_distinct("dvalue").alias("values"), F.min("dvalue").alias("dvalue"))
     checked = by_value.groupBy(*group).agg(F.max("values").alias("values"), F.count_if(F.col("dvalue") != F.col("ivalue")).alias("changed"))
     good = found.join(checked, group, "left").where(F.coalesce("values", F.lit(1)) == 1)

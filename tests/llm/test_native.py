@@ -1,6 +1,10 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
+import regex
+from pyspark.sql import functions as F
+
 from lumora.llm import decontam, sharding
 
 
@@ -78,3 +82,34 @@ def test_a_later_conflict_leaves_the_consistent_run(spark):
     d, b = spark.createDataFrame([(1, broken), (2, item.replace("then 5 of", "then 8 of"))], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
     got = decontam.contaminated(d, b).collect()
     assert [(r.doc_id, r.changed_slots) for r in got] == [(1, 0)]
+
+
+def test_names_equal_the_pattern_of_whole_runs(spark):
+    r = random.Random(5)
+    parts = ["Alice", "Bob", "McDonald", "Mc", "x", "X", "the", ",", ". ", " ", "  ", ";", "Éa", "7", "12 kg", "\x01", "\n"]
+    texts = ["".join(r.choice(parts) + r.choice(["", " "]) for _ in range(r.randint(1, 30))) for _ in range(400)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", decontam.canonical(F.col("text")).alias("w"), F.transform(decontam.slots(F.col("text")), lambda s: s["value"]).alias("v")).collect()
+    for row in got:
+        t = regex.sub(decontam.UNIT_RE, lambda m: f"{m[1]} {decontam.UNIT} {m[3]}", texts[row.i])
+        units = [m[2] for m in regex.finditer(decontam.UNIT_RE, texts[row.i])]
+        numbers = [m[0].rstrip(".,:/") for m in regex.finditer(decontam.NUM_RE, t)]
+        t = regex.sub(decontam.NUM_RE, f" {decontam.NUM} ", t)
+        names = [m[2] for m in regex.finditer(decontam.NAME_RE, t)]
+        t = regex.sub(decontam.NAME_RE, lambda m: m[1] + decontam.NAME, t)
+        words = [w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w]
+        assert row.w == words
+        if sum(w == decontam.NAME for w in words) == len(names):  # none grown together with letters behind it
+            assert row.v == [v.lower() for v in [*units, *numbers, *names]]
+
+
+def test_very_long_texts(spark):
+    docs = [(1, "see " + "Alice " * 100_000 + ITEM), (2, "7" * 1_000_000 + " " + ITEM), (3, "x" * 1_000_000), (4, "5 kg " * 50_000), (5, "Aa" * 300_000), (6, ITEM.replace("12", "31"))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.contaminated(d, b).collect()) == [1, 2, 6]
+
+
+def test_rows_of_one_doc_id_are_judged_each(spark):
+    w = ITEM.split()
+    halves = [(1, " ".join(w[: len(w) * 2 // 5])), (1, " ".join(w[len(w) * 3 // 5 :])), (2, ITEM), (2, ITEM), (2, "else")]
+    d, b = spark.createDataFrame(halves, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert [r.doc_id for r in decontam.contaminated(d, b).collect()] == [2]

@@ -11,9 +11,12 @@
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by an empty line.
 
+In an article, an element goes by its class, id or role only if the name consists of words for such parts ("share", "ad-box").
+
 Null or empty html gives an empty text. A null url is a host of its own. Repeated rows are each returned; they
 count once. Broken html is read as browsers do for unclosed paragraphs and list items; other
-unclosed elements end with their parent. Empty tables give empty results.
+unclosed elements end with their parent. A "<" behind which no ">" follows is text. Where a quote in a tag never closes, tags end
+at their first ">" from there on. Reading a page takes time in proportion to its length, whatever it holds. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -43,7 +46,11 @@ DROP = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu",
 DROP_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "recommended", "related", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 CONTAINERS = {"div", "section", "nav", "aside", "header", "footer", "ul", "ol", "table", "form", "dl"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: Words that may stand beside them in a name inside an article, where a name has to consist of such words only.
+BESIDE = {"area", "bar", "block", "box", "buttons", "container", "content", "item", "items", "links", "list", "section", "wrapper"}
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -51,86 +58,150 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def _is_drop(tag: str, attributes: str) -> bool:
+def _is_drop(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is no main text. Inside an article or main element a name must say nothing else."""
     if tag in DROP:
         return True
-    if not attributes or tag in ("body", "html", "article", "main"):
-        return tag == "article" and any(x in ("comment", "comments") for m in _NAMED.finditer(attributes) for x in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
-    return any(w in DROP_NAMES for m in _NAMED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
+    if not attributes:
+        return False
+    names = [n for m in _NAMED.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()]
+    words = [[w for w in re.split(r"[^a-z0-9]+", n) if w] for n in names]
+    if tag in ("body", "html", "article", "main"):
+        return tag == "article" and any(w in ("comment", "comments") for own in words for w in own)
+    if inside:
+        return any(not DROP_NAMES.isdisjoint(own) and all(w in DROP_NAMES or w in BESIDE for w in own) for own in words)
+    return any(w in DROP_NAMES for own in words for w in own)
+
+
+_BASE, _PRIME = 0x1F3D5B79A2C4E687, (1 << 61) - 1
 
 
 class Page:
-    """One pass over a page: text runs with the elements that they stand in, and spans of elements."""
+    """One pass over a page, in time linear in its length: text runs with the elements that they stand in, and spans of elements."""
 
     def __init__(self, source: str):
         self.source = source
         self.tags: list[str] = ["#root"]  # by element
         self.up: list[int] = [0]
         self.drop: list[bool] = [False]
-        self.span: list[list[int]] = [[0, len(source)]]
+        self.span: list[list[int]] = [[0, 0]]  # in parts of the source: tags and text runs
         self.items: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where a block begins or ends
+        self.sums, self.powers = [0], [1]  # of hashes of the parts, so that a span's hash needs no second look at it
         self._read()
 
+    def _part(self, text: str) -> None:
+        words = " ".join(text.split())
+        if words:
+            self.sums.append((self.sums[-1] * _BASE + _hash(words)) % _PRIME)
+            self.powers.append(self.powers[-1] * _BASE % _PRIME)
+
+    def _tag_end(self, at: int) -> int:
+        """The place behind a tag whose name ends at `at`, or -1. Where a quote never closes, quotes count no more from there on."""
+        s, begin = self.source, at
+        while self.quotes:
+            m = _STOP.search(s, at)
+            if not m:
+                return -1
+            if m[0] == ">":
+                return m.end()
+            at = s.find(m[0], m.end()) + 1
+            if not at:
+                self.quotes = False
+        return s.find(">", begin) + 1 or -1
+
     def _read(self) -> None:
         s, stack, at, n = self.source, [0], 0, len(self.source)
-
-        def close_to(depth: int, end: int) -> None:
+        open_: dict[str, int] = {}
+        main = 0  # open article and main elements
+        self.quotes = True
+        text_from = 0
+
+        def text_to(end: int) -> None:
+            if end > text_from:
+                self.items.append((stack[-1], s[text_from:end]))
+                self._part(s[text_from:end])
+
+        def close_to(depth: int) -> None:
+            nonlocal main
             while len(stack) > depth:
                 e = stack.pop()
-                self.span[e][1] = end
+                self.span[e][1] = len(self.sums) - 1
+                open_[self.tags[e]] -= 1
+                main -= self.tags[e] in ("article", "main")
                 if self.tags[e] in BLOCK:
                     self.items.append((stack[-1], None))
 
-        find = _TOKEN.search
-        while at < n:
-            m = find(s, at)
-            if not m:
+        while True:
+            at = s.find("<", at)
+            if at < 0:
                 break
-            if m.start() > at:
-                self.items.append((stack[-1], s[at : m.start()]))
-            at = m.end()
-            tag = m[2]
-            if not tag:
+            if s.startswith("<!--", at):
+                text_to(at)
+                end = s.find("-->", at + 4)
+                at = text_from = end + 3 if end >= 0 else n
+                continue
+            if s.startswith(("<!", "<?"), at):
+                end = s.find(">", at)
+                if end < 0:
+                    break
+                text_to(at)
+                at = text_from = end + 1
                 continue
-            tag = tag.lower()
+            m = _TAG.match(s, at)
+            if not m:
+                at += 1
+                continue
+            end = self._tag_end(m.end())
+            if end < 0:  # no tag ends behind this one: the rest is text
+                break
+            text_to(at)
+            begin, at = at, end
+            text_from = end
+            tag, attributes = m[2].lower(), s[m.end() : end - 1]
             if m[1]:
-                for d in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[d]] == tag:
-                        close_to(d, at)
-                        break
+                self._part(s[begin:end])
+                if open_.get(tag):
+                    d = next(d for d in range(len(stack) - 1, 0, -1) if self.tags[stack[d]] == tag)
+                    close_to(d)
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(s, at)
-                at = end.end() if end else n
+                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(s, end)
+                at = text_from = close.end() if close else n
+                self._part(s[begin:at])
                 continue
             if tag == "br":
+                self._part("<br>")
                 self.items.append((stack[-1], " "))
                 continue
             if tag in VOID:
+                self._part(s[begin:end])
                 if tag in BLOCK:
                     self.items.append((stack[-1], None))
                 continue
             if tag in CLOSES or tag in BLOCK:
                 ends, stops = CLOSES.get(tag, ({"p"}, P_STOPS))
-                for d in range(len(stack) - 1, 0, -1):
-                    t = self.tags[stack[d]]
-                    if t in ends:
-                        close_to(d, m.start())
-                        break
-                    if t in stops:
-                        break
+                if any(open_.get(t) for t in ends):
+                    for d in range(len(stack) - 1, 0, -1):
+                        t = self.tags[stack[d]]
+                        if t in ends:
+                            close_to(d)
+                            break
+                        if t in stops:
+                            break
             e = len(self.tags)
             self.tags.append(tag)
             self.up.append(stack[-1])
-            self.drop.append(_is_drop(tag, m[3]))
-            self.span.append([m.start(), n])
-            if not m[3].rstrip().endswith("/") or tag in BLOCK:
+            self.drop.append(_is_drop(tag, attributes, main > 0))
+            self.span.append([len(self.sums) - 1, len(self.sums)])
+            self._part(s[begin:end])
+            if not attributes.rstrip().endswith("/") or tag in BLOCK:
                 stack.append(e)
+                open_[tag] = open_.get(tag, 0) + 1
+                main += tag in ("article", "main")
             if tag in BLOCK:
                 self.items.append((stack[-1], None))
-        if at < n:
-            self.items.append((stack[-1], s[at:]))
-        close_to(1, n)
+        text_to(n)
+        close_to(1)
 
     def _root(self) -> str:
         have = {t for t, d in zip(self.tags, self.drop, strict=True) if not d}
@@ -155,7 +226,7 @@ class Page:
         for e, t in enumerate(self.tags):
             if t in CONTAINERS or (t == "p" and not inside[e]):
                 a, b = self.span[e]
-                found[e] = _hash(" ".join(self.source[a:b].split()))
+                found[e] = (self.sums[b] - self.sums[a] * self.powers[b - a]) % _PRIME
         return found
 
     def text(self, template: set[int]) -> str:

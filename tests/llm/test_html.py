@@ -1,3 +1,7 @@
+import random
+import time
+from html.parser import HTMLParser
+
 from lumora.llm import html
 
 
@@ -42,3 +46,75 @@ def test_copies_of_a_page_are_no_template(spark):
     assert all(by[i] == want and by[200 + i] == want for i in range(50))
     assert all(by[100 + i] == f"{want}\n\ncopy {i}\n\nRead more" for i in range(50))
     assert by[301] == want and by[300] == f"{'own words ' * 9}0"
+
+
+class Reference(HTMLParser):
+    """The text of well-formed pages, read by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.blocks, self.now = [], [], ""
+
+    def flush(self):
+        self.blocks.append(" ".join(self.now.split()))
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.now += " "
+            return
+        if tag in html.BLOCK:
+            self.flush()
+        self.stack.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in html.BLOCK:
+            self.flush()
+        self.stack.pop()
+
+    def handle_data(self, data):
+        if "article" in self.stack and not {"nav", "aside", "form", "script", "style", "footer"} & set(self.stack):
+            self.now += data
+
+    def text(self):
+        self.flush()
+        return "\n\n".join(b for b in self.blocks if b)
+
+
+def test_equals_another_parser_on_random_pages():
+    r = random.Random(6)
+
+    def inline(depth):
+        return "".join(r.choice(["word ", "a &amp; b ", "&eacute;&#x41; ", "x<br>y", "1 < 2 ", " \n\t ", f"<b>{inline(depth - 1)}</b>" if depth else "z", f"<a href='/q?a=\">'>{inline(depth - 1)}</a>" if depth else "z"]) for _ in range(r.randint(0, 4)))
+
+    def block(depth):
+        kinds = ["p", "h2", "div", "section", "ul", "nav", "aside", "form", "script", "footer"]
+        t = r.choice(kinds if depth else ["p", "h2"])
+        if t in ("p", "h2"):
+            return f"<{t} class='share and search of notices'>{inline(2)}</{t}>"
+        if t == "script":
+            return "<script>if (a < b) document.write('<p>no</p>')</script>"
+        return f"<{t}>" + "".join(f"<li>{inline(1)}</li>" if t == "ul" else block(depth - 1) for _ in range(r.randint(0, 3))) + f"</{t}>"
+
+    for _ in range(300):
+        page = f"<html><head><title>t</title></head><body><nav>n</nav>{block(1)}<article>{''.join(block(3) for _ in range(r.randint(0, 5)))}</article><footer>f</footer></body></html>"
+        page = page.replace("class='share and search of notices'", "class='searching-for-notices'")
+        other = Reference()
+        other.feed(page)
+        assert text(page) == other.text()
+
+
+def test_time_is_linear_in_broken_pages():
+    for part in ("<a ", "<a \"", "<a '\">", "<!", "<!--", "<script", "<div>", "<span>", "</x>", "<p><span>", "<a '' \"\"", "<li><b>", "&", "<td><i>", "<a \">\" "):
+        page = "<article><p>begin</p>" + part * (1_000_000 // len(part))
+        began = time.perf_counter()
+        assert text(page).startswith("begin")
+        html.Page(page).subtrees()
+        assert time.perf_counter() - began < 20, part
+    deep = "<div>" * 20_000 + "x" + "</b>" * 20_000
+    assert text(deep) == "x"
+
+
+def test_names_inside_articles():
+    keep = "<article><p class='research-notice-of-intent'>a</p><div class='search-history'>b</div><div class='ad'>c</div><div id='share-buttons'>d</div><div class='related-list x'>e</div></article>"
+    assert text(keep) == "a\n\nb"

@@ -10,8 +10,8 @@ follows from the lengths and shares of the queues. A document therefore only nee
 tokens by source as they encode, and a table of (partition, source) totals carries these counts, and with them
 deficits, across partitions. Ids are encoded once and written to the shared folder; no document is shuffled.
 
-A null source is a queue of its own. Queues are at most MOST_QUEUES: with more sources, sources are hashed to so many.
-Null texts have the end id only. Rows that repeat a doc_id are packed each. Empty tables give empty results.
+A null source is a queue of its own. The totals of all sources, a row each, are known to the driver and the tasks: with more
+than MOST_SOURCES sources an error is raised, as is for a mixture that names none of the sources. Null texts have the end id only. Rows that repeat a doc_id are packed each. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from lumora.llm.tokens import encoder
 
 WINDOW = 2048
 GRAIN = 128
-MOST_QUEUES = 1024
+MOST_SOURCES = 200_000  # a documented bound: more are refused, never merged
+ROUNDS_QUEUES = 1 << 20  # numbers held at once for rounds times queues
 UNIT = 1 << 16  # shares are whole numbers that add up to about this
 
 
@@ -62,7 +63,10 @@ class Schedule:
 
     def served(self, rounds: np.ndarray) -> np.ndarray:
         """Tokens of each queue (columns) that are served in so many rounds (rows)."""
-        credit = rounds[:, None] * self.shares[None, :] * self.window // self.unit
+        # rounds * shares * window may exceed 64 bits; whole turns of `unit` rounds give whole credits
+        turns, rest = rounds[:, None] // self.unit, rounds[:, None] % self.unit
+        each = self.shares[None, :] * self.window
+        credit = turns * each + rest * each // self.unit
         whole = -(-self.lengths // self.grain) * self.grain
         return np.minimum(np.minimum(credit // self.grain * self.grain, whole[None, :]), self.lengths[None, :])
 
@@ -76,9 +80,13 @@ class Schedule:
         # served in the first round r after which the credit r * share * window / unit reaches the grain's end
         rounds = -(-(grain + 1) * g * self.unit // (self.shares[q] * self.window))
         distinct, at = np.unique(rounds, return_inverse=True)
-        after, before = self.served(distinct), self.served(distinct - 1)
-        left, right = np.cumsum(after, 1) - after, before[:, ::-1].cumsum(1)[:, ::-1] - before
-        place = left[at, q] + right[at, q] + grain * g
+        place = grain * g
+        step, order = max(1, ROUNDS_QUEUES // len(self.shares)), np.argsort(at, kind="stable")
+        for a in range(0, len(distinct), step):
+            after, before = self.served(distinct[a : a + step]), self.served(distinct[a : a + step] - 1)
+            left, right = np.cumsum(after, 1) - after, before[:, ::-1].cumsum(1)[:, ::-1] - before
+            own = order[np.searchsorted(at, a, sorter=order) : np.searchsorted(at, a + step, sorter=order)]
+            place[own] += left[at[own] - a, q[own]] + right[at[own] - a, q[own]]
         a, b = np.maximum(grain * g, start[run]), np.minimum((grain + 1) * g, (start + size)[run])
         place, begin, n = place + a - grain * g, a - start[run], b - a
         # neighbours in the stream are one piece
@@ -119,15 +127,17 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int | None
     """PIECES of all documents; ids are unsigned 32-bit, little-endian. mixture: target shares by source, else the corpus's own."""
     source = F.col("source").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", source.alias("queue"))
-    if mixture is None and rows.select("queue").distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES:
-        rows = rows.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MOST_QUEUES)).cast("string"))
     encoded = staged(rows.mapInArrow(_encode(tokenizer, kind, end_id), "part int, queue string, doc_id long, doc_tokens long, queue_start long, ids binary"), "ids")
     totals = encoded.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("tokens"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = staged(totals.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))), "bases")
-    queues = bases.groupBy("queue").agg(F.sum("tokens").alias("tokens")).orderBy(F.col("queue").asc_nulls_first()).collect()  # MOST_QUEUES at most
+    queues = bases.groupBy("queue").agg(F.sum("tokens").alias("tokens")).orderBy(F.col("queue").asc_nulls_first()).limit(MOST_SOURCES + 1).collect()
     if not queues:
         return docs.sparkSession.createDataFrame([], PIECES)
+    if len(queues) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    if mixture and not any(mixture.get(q["queue"], 0) > 0 for q in queues):
+        raise ValueError("the mixture names none of the sources")
     wanted = [float(mixture.get(q["queue"], 0)) if mixture else float(q["tokens"]) for q in queues]
     shares = [max(1, round(UNIT * x / max(sum(wanted), 1e-300))) for x in wanted]
     schedule = Schedule([q["tokens"] for q in queues], shares, grain, window)

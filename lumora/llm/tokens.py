@@ -5,6 +5,8 @@ A text is cut where its tokenizer never joins tokens, so that the ids of a text
 run of white space that follows another character. For both also before a full stop or comma that ends such a
 run behind an ASCII letter. Pieces of a batch are dictionary-encoded by Arrow; pieces not
 met before by this Python worker are encoded by the library, many in one call, separated by a sentinel piece.
+
+A text with an added token of the tokenizer in it (a control string, which the library gives its own id) is encoded whole.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from lumora.llm.common import SPACE, Words, utf8
 
@@ -79,7 +82,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.cut = {"word": _pieces_word, "byte": _pieces_byte}[kind]
         self.mark = self._plain([SENTINEL])[0]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -140,6 +143,21 @@ class Encoder:
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of each text; a null text has none."""
+        # in any case of letters, as pieces may be lower-cased
+        whole = np.zeros(len(column), bool)
+        for t in self.added:
+            whole |= pc.fill_null(pc.match_substring(column, t, ignore_case=True), False).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._encode(column)
+        ids, n = self._encode(pc.if_else(pa.array(whole), "", column))
+        at, cuts = np.flatnonzero(whole), np.cumsum(n)
+        own = [np.array(self._plain([column[i].as_py()])[0], self.dtype) for i in at.tolist()]
+        n = n.copy()
+        n[at] = [len(x) for x in own]
+        parts = np.split(ids, cuts[at])
+        return np.concatenate([parts[0], *(x for pair in zip(own, parts[1:], strict=True) for x in pair)]), n
+
+    def _encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         pieces, counts = self.cut(column)
         coded = pieces.dictionary_encode()
         names = coded.dictionary.to_pylist()

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -5,7 +7,7 @@ from tokenizers import Tokenizer
 
 from lumora.llm import packing, tokens
 
-TEXTS = ["Wait. No, yes., ok.. a.b, Z. .x ,", "end.", "a,\n.", "é. ß, x.\u3000y, 's. I'm.", "Hello world, it's 12 o'clock!\n\n Next  line \t x", "", None, "  lead", "trail  \n", "a  b  \n c", "café \x00 nul \x00", "<|endoftext|> x<|startoftext|>", "don't I'LL 'S \x1c \x85 y", "a\u3000 b \u2003\xa0 c\xa0d\u2028\n e", "日本語 テキスト", "İstanbul ΟΔΟΣ Σ", "é ño", "w" * 5000, " ", "\n\n\n"]
+TEXTS = ["Wait. No, yes., ok.. a.b, Z. .x ,", "end.", "a,\n.", "é. ß, x.\u3000y, 's. I'm.", "Hello world, it's 12 o'clock!\n\n Next  line \t x", "", None, "  lead", "trail  \n", "a  b  \n c", "café \x00 nul \x00", "<|endoftext|> x<|startoftext|>", "A b<|endoftext|>.  C, d <|ENDOFTEXT|> e <|StartOfText|>", " <|endoftext|>", "a <|endoftext|>\n\n b", "<|endoftext", "|>", "don't I'LL 'S \x1c \x85 y", "a\u3000 b \u2003\xa0 c\xa0d\u2028\n e", "日本語 テキスト", "İstanbul ΟΔΟΣ Σ", "é ño", "w" * 5000, " ", "\n\n\n"]
 
 
 @pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
@@ -14,7 +16,6 @@ def test_ids_are_the_library_s(name, kind):
 
     path = public_tokenizers.path(name)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     e = tokens.encoder(path, kind)
     for texts in (TEXTS, TEXTS[::-1], [], ["again Hello world"]):
         ids, n = e.encode(pa.array(texts, pa.string()))
@@ -48,7 +49,6 @@ def check(pieces, docs, window):
 def test_packs_everything(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = [(i, TEXTS[i % len(TEXTS)], None if i % 7 == 0 else f"s{i % 5 * (i % 3)}", 1) for i in range(200)]
     docs = {d: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for d, x, *_ in rows}
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, part int").repartition(5)
@@ -59,6 +59,40 @@ def test_packs_everything(spark):
     assert packing.pack(df.limit(0), path).count() == 0
 
 
+def test_random_control_strings():
+    import pyarrow as pa
+
+    r = random.Random(9)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "word", " ", "  ", "\n", ".", ", ", "É", "x's", "12"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(1500)]
+    for name, kind in (("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")):
+        path = public_tokenizers.path(name)
+        t = Tokenizer.from_file(path)
+        ids, n = tokens.encoder(path, kind).encode(pa.array(texts, pa.string()))
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_no_overflow_in_long_queues():
+    lengths = [10**12, 3 * 10**9, 10**6]
+    for shares in ([65535, 1, 1], [1, 65535, 1], [60_000, 5_000, 536]):
+        s = packing.Schedule(lengths, shares, 128, 2048)
+        queue = np.array([0, 0, 0, 1, 1, 2])
+        start = np.array([0, 5 * 10**11, 10**12 - 1000, 0, 3 * 10**9 - 1000, 10**6 - 1000])
+        run, begin, n, place = s.pieces(queue, start, np.full(6, 1000))
+        assert np.bincount(run, n).tolist() == [1000] * 6 and (place >= 0).all() and (place + n <= sum(lengths)).all()
+        spans = sorted(zip(place.tolist(), (place + n).tolist(), strict=True))
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_many_sources(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(i, f"text number {i}", None if i == 7 else f"source {i}") for i in range(3000)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), path).collect()
+    t = Tokenizer.from_file(path)
+    check(pieces, {d: np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4").tobytes() for d, x, _ in rows}, 2048)
+
+
 def test_windows_hold_the_shares():
     s = packing.Schedule([10_000, 30_000, 60_000], [1, 3, 6], 16, 1000)
     got = np.zeros((100, 3), int)

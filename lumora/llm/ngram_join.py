@@ -37,8 +37,8 @@ from lumora.llm.components import components
 
 K = 5
 SIMILARITY = 75  # per cent
-BATCH = 4 << 20  # bytes of text whose shingles are hashed at once: a worker's memory is some 40 times that
-GROUP_BYTES = 16 << 20  # of text whose shingles meet in one key group, at most about
+BATCH = 2 << 20  # bytes of text whose shingles are hashed at once: a worker's memory is some 40 times that
+GROUP_BYTES = 8 << 20  # of text whose shingles meet in one key group, at most about
 CELL_BYTES = 32 << 20  # of shingles in one cell or part of a cell
 MU = 0.0085  # weight of a probe against a step of the merge, from the paper on DivideSkip
 
@@ -279,9 +279,10 @@ def _search_block(similarity: int):
 
 def _cells(classes: DataFrame, similarity: int) -> DataFrame:
     """(cell, node, n_shingles): the classes that share a short list with the smallest class of the list."""
-    tokens = classes.select("node", "n_shingles", F.explode("shingles").alias("token"))
+    tokens = classes.select("node", F.explode("shingles").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = tokens.join(often, "token").groupBy("node", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    ranked = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    ranked = ranked.join(classes.select("node", "n_shingles"), "node")
     # shingles of no other class come first in the order; they hold no partner, so only the rest of the short lists is kept
     short = F.col("n_shingles") - F.ceil(F.col("n_shingles") * similarity / 100) + 1 - (F.col("n_shingles") - F.size("t"))
     lists = ranked.where(short > 0).select("node", "n_shingles", F.explode(F.slice("t", F.lit(1), short.cast("int"))).alias("t")).select("node", "n_shingles", F.col("t.token").alias("token"))
@@ -332,7 +333,7 @@ def similar(docs: DataFrame, k: int = K, similarity: int = SIMILARITY, most: int
     counts = staged(counts.groupBy("shard").applyInArrow(_able(similarity), "doc_id long, n_shingles long, able boolean"), "counts")
 
     # only texts that may link are read again; Spark broadcasts their ids if the written table is small
-    chosen = counts.where("able").select(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("_id")).distinct()
+    chosen = staged(counts.where("able").select(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("_id")).distinct(), "able")
     again = pairs.withColumn("_id", F.coalesce("doc_id", F.lit(int(NULL_ID)))).join(chosen, "_id", "left_semi").select("doc_id", "text")
     rows = staged(again.mapInArrow(_sets(k), SETS), "sets")
     classes = rows.where("node is not null").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"))

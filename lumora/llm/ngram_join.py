@@ -40,6 +40,7 @@ SIMILARITY = 75  # per cent
 BATCH = 2 << 20  # bytes of text whose shingles are hashed at once: a worker's memory is some 40 times that
 GROUP_BYTES = 8 << 20  # of text whose shingles meet in one key group, at most about
 CELL_BYTES = 32 << 20  # of shingles in one cell or part of a cell
+BROADCAST_IDS = 4_000_000  # ids of 8 bytes
 MU = 0.0085  # weight of a probe against a step of the merge, from the paper on DivideSkip
 
 
@@ -332,8 +333,9 @@ def similar(docs: DataFrame, k: int = K, similarity: int = SIMILARITY, most: int
     counts = blocks.groupBy("bucket").applyInArrow(_shared(shards), COUNTS)
     counts = staged(counts.groupBy("shard").applyInArrow(_able(similarity), "doc_id long, n_shingles long, able boolean"), "counts")
 
-    # only texts that may link are read again; Spark broadcasts their ids if the written table is small
+    # only texts that may link are read again; their ids are broadcast up to a bound, else texts are shuffled to them
     chosen = staged(counts.where("able").select(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("_id")).distinct(), "able")
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
     again = pairs.withColumn("_id", F.coalesce("doc_id", F.lit(int(NULL_ID)))).join(chosen, "_id", "left_semi").select("doc_id", "text")
     rows = staged(again.mapInArrow(_sets(k), SETS), "sets")
     classes = rows.where("node is not null").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"))

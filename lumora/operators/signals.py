@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +22,13 @@ def term_counts(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFra
 def best_topic(df: DataFrame, key: str, text: str, topics: dict[str, list[str]]) -> DataFrame:
     own = df.select(key, plain_words(F.col(text)).alias("_w"))
 
-    def count(name: str) -> Column:
-        return F.struct(F.size(F.filter("_w", lambda w: w.isin(topics[name]))).cast("long").alias("n"), F.lit(name).alias("topic"))
 
-    counts = [count(name) for name in topics]
-    best = reduce(lambda a, b: F.when(b["n"] > a["n"], b).otherwise(a), counts)
-    return own.select(key, best.alias("b")).where("b.n > 0").select(key, "b.topic", "b.n")
+    def count(place: int, name: str) -> Column:
+        return F.struct(F.size(F.filter("_w", lambda w: w.isin(topics[name]))).cast("long").alias("n"), F.lit(-place).alias("place"), F.lit(name).alias("topic"))
+
+    # each topic's words are counted once; of equal counts the first topic's wins, as its place is the largest
+    best = own.select(key, F.array_max(F.array(*(count(i, name) for i, name in enumerate(topics)))).alias("b"))
+    return best.where("b.n > 0").select(key, "b.topic", "b.n")
 
 
 def contacts(df: DataFrame, text: str) -> DataFrame:

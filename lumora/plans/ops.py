@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -94,16 +92,21 @@ def alert_debounce(t: Tables):
     return tasklog.episodes(t.events.where("event_type = 'error'"), ["user_id"], "ts", 4 * 3600).where("last_s - first_s >= 1800")
 
 
-CHAIN = """with recursive e as (select c_custkey as handle, c_custkey // 3 as origin from customer where c_custkey > 0 and c_custkey <= 300),
+CHAIN = """with recursive e as (select c_custkey as handle, c_custkey // 3 as origin from customer where c_custkey > 0),
   chain(handle, origin, depth) as (select handle, origin, 1 from e union all select c.handle, e.origin, c.depth + 1 from chain c join e on e.handle = c.origin where c.depth < 6)
   select handle, origin, depth from chain"""
 
 
 @query(CHAIN)
 def provenance_chain(t: Tables):
-    """Chains of at most 6 origins, by a recursive query."""
-    t.customer.createOrReplaceTempView("_lumora_customer")
-    return t.spark.sql(CHAIN.replace("c_custkey // 3", "c_custkey div 3").replace("from customer", "from _lumora_customer"))
+    """Chains of at most 6 origins: one join on the origin for each step, all creators at once."""
+    e = t.customer.where("c_custkey > 0").select(F.col("c_custkey").alias("handle"), F.expr("c_custkey div 3").alias("origin"))
+    step = out = e.withColumn("depth", F.lit(1))
+    known = e.select(F.col("handle").alias("at"), F.col("origin").alias("next"))
+    for depth in range(2, 7):
+        step = step.join(known, F.col("origin") == F.col("at")).select("handle", F.col("next").alias("origin"), F.lit(depth).alias("depth"))
+        out = out.union(step)
+    return out
 
 
 @query("select event_id, event_type, row_number() over (partition by event_type order by value desc, ts, event_id) as place from events qualify place <= 5")
@@ -201,11 +204,11 @@ def pacer_fold(t: Tables):
 def stream_hourly(t: Tables):
     """Hourly counts by a stream over the event files, complete when all files are read."""
     stream = activity.hourly(activity.read_events(t.spark, t.sf_dir, "events.parquet"), "60 days")
-    out = activity.run_available(stream, f"hourly_{uuid.uuid4().hex}", "complete")
+    out = activity.run_to_table(stream, "hourly", "complete")
     return out.select(F.unix_seconds("hour").alias("hour_s"), "event_type", "n")
 
 
 @query("select event_id, event_type from events")
 def stream_activity(t: Tables):
     stream = activity.feed(activity.read_events(t.spark, t.sf_dir, "events.parquet"), "60 days")
-    return activity.run_available(stream, f"feed_{uuid.uuid4().hex}").select("event_id", "event_type")
+    return activity.run_to_table(stream, "feed").select("event_id", "event_type")

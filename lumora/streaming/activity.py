@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -50,3 +52,25 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint
         writer = writer.option("checkpointLocation", checkpoint)
     writer.options(**options).start().awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", **options: Any) -> DataFrame:
+    """Process what is there into a new table of the folder that spark.checkpoint.dir names, and read it.
+
+    The stream's own checkpoint is beside it. In complete and update mode each batch replaces the table.
+    """
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="lumora-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    folder = f"{shared.rstrip('/')}/lumora-stream-{name}-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).options(**options)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{folder}/table")
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/table"))
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table")

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lumora.functions import scalars
+from lumora.functions import posts, scalars
 from lumora.operators import index, latest, metrics, retrieval, tasklog
 from lumora.sources import records
 from lumora.streaming import activity
@@ -72,3 +72,24 @@ def test_streams(spark, tmp_path):
     assert sorted(r.event_id for r in activity.run_available(activity.feed(stream()), "t_feed").collect()) == [1, 2, 3, 4]
     assert sum(r.n for r in activity.run_available(activity.hourly(stream()), "t_hourly", "complete").collect()) == 5
     assert {r.user_id: r.pace for r in activity.run_available(activity.pacer(stream()), "t_pace", "update").collect()} == {7: pytest.approx(1.7), 8: 2.0}
+    assert sorted(r.event_id for r in activity.run_to_table(activity.feed(stream()), "t").collect()) == [1, 2, 3, 4]
+    assert sum(r.n for r in activity.run_to_table(activity.hourly(stream()), "t", "complete").collect()) == 5
+
+
+def test_percentiles_in_slices_are_those_of_a_window(spark):
+    rows = [(None if i % 11 == 0 else i % 3, None if i % 13 == 0 else float(i * i % 17)) for i in range(300)] + [(9, 1.0)] * 5
+    df = spark.createDataFrame(rows, "g int, v double")
+    want = df.where("v is not null").selectExpr("g", "v", "cume_dist() over (partition by g order by v) as d")
+    for slices in (1, 4, 256):
+        got = metrics.peer_percentile(df, "g", "v", "d", slices)
+        assert got.columns == ["g", "v", "d"] and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_posts(spark):
+    c = lambda f, *x: spark.createDataFrame([x], ", ".join(f"c{i} string" for i in range(len(x)))).select(f(*map(F.col, (f"c{i}" for i in range(len(x))))).alias("r")).first().r
+    assert c(posts.code_of, " https://x.example/p/AbC_-9/?a=1 ") == "AbC_-9" and c(posts.code_of, "/AbC/") == "AbC" and c(posts.code_of, "a b") is None and c(posts.code_of, "Dc_KCGyppYEMsDerMy") == "Dc_KCGyppYE"
+    assert c(posts.caption_of, "5 likes: one: two\nthree") == "one: two\nthree" and c(posts.caption_of, "plain") == "plain" and c(posts.caption_of, "") is None
+    assert c(posts.needs_login, "Login here", None) and c(posts.needs_login, None, "please log in to Instagram") and not c(posts.needs_login, None, None)
+    assert c(posts.normal, " A_b \t c\n") == "a b c" and c(lambda t: posts.fenced("X", t), "a>>>b<<<") == "<<<X\na›››b‹‹‹\nX>>>"
+    assert c(posts.words, "A b-c it's d&co it's") == ["b-c", "it's", "d&co"]
+    assert tuple(c(posts.null_leaves, '{"a":null,"b":[1,null,{"evidence":[null]}]}')) == (2, 3) and tuple(c(posts.null_leaves, "{")) == (None, None)

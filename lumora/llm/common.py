@@ -17,9 +17,11 @@ _scratch: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named in spark.checkpoint.dir; where that is unset, a temporary one in local mode, else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="lumora-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -65,6 +67,24 @@ def smallest_hashed(df: DataFrame, key: str, n: int, rows: int | None = None) ->
     return few.orderBy(h, key).limit(n)
 
 
+BROADCAST_IDS = 4_000_000  # ids of 8 bytes that are broadcast at most
+
+
+def text_size(df: DataFrame, text: str = "text") -> tuple[int, int]:
+    """Rows, and bytes of their texts, by one scan of the lengths."""
+    r = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
+    return r["rows"], r["bytes"]
+
+
+def by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of df whose doc_id is (left_semi) or is not (left_anti) in the written table ids(_id), where NULL_ID stands for null.
+
+    The ids are broadcast up to a bound, so that texts are not shuffled; else both sides are.
+    """
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID)))).join(ids, "_id", how).select(df.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

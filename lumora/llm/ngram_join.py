@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.common import _COEF, NULL_ID, Words, by_bytes, ids_of, joined, mix, next_prime, partitions, split_by, staged, windows
+from lumora.llm.common import _COEF, NULL_ID, Words, by_bytes, by_ids, ids_of, joined, mix, next_prime, partitions, split_by, staged, text_size, windows
 from lumora.llm.components import components
 
 K = 5
@@ -40,7 +40,6 @@ SIMILARITY = 75  # per cent
 BATCH = 2 << 20  # bytes of text whose shingles are hashed at once: a worker's memory is some 40 times that
 GROUP_BYTES = 8 << 20  # of text whose shingles meet in one key group, at most about
 CELL_BYTES = 32 << 20  # of shingles in one cell or part of a cell
-BROADCAST_IDS = 4_000_000  # ids of 8 bytes
 MU = 0.0085  # weight of a probe against a step of the merge, from the paper on DivideSkip
 
 
@@ -327,16 +326,15 @@ def similar(docs: DataFrame, k: int = K, similarity: int = SIMILARITY, most: int
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of each row."""
     n = partitions(docs.sparkSession)
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = pairs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    groups, shards = max(2 * n, -(-size["bytes"] // GROUP_BYTES)), next_prime(max(n, size["rows"] // 500_000))
+    count, size = text_size(pairs)
+    groups, shards = max(2 * n, -(-size // GROUP_BYTES)), next_prime(max(n, count // 500_000))
     blocks = pairs.mapInArrow(_blocks(groups, shards, k), "bucket int, docs binary, keys binary, shared binary")
     counts = blocks.groupBy("bucket").applyInArrow(_shared(shards), COUNTS)
     counts = staged(counts.groupBy("shard").applyInArrow(_able(similarity), "doc_id long, n_shingles long, able boolean"), "counts")
 
-    # only texts that may link are read again; their ids are broadcast up to a bound, else texts are shuffled to them
+    # only texts that may link are read again
     chosen = staged(counts.where("able").select(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("_id")).distinct(), "able")
-    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
-    again = pairs.withColumn("_id", F.coalesce("doc_id", F.lit(int(NULL_ID)))).join(chosen, "_id", "left_semi").select("doc_id", "text")
+    again = by_ids(pairs, chosen, "left_semi")
     rows = staged(again.mapInArrow(_sets(k), SETS), "sets")
     classes = rows.where("node is not null").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"))
     classes = staged(classes, "classes")

@@ -2,15 +2,17 @@
 
 A window is K consecutive words. Every word covered by a window that also starts in a document with a smaller doc_id goes.
 
-1. Each batch of documents hashes its windows and keeps, of those that it holds several times, only the entry of its
-   smallest doc_id for the exchange: the others are already known to have a smaller document. So a passage in a third of
-   all rows costs one entry a batch.
-2. Entries are grouped by key range. In a group, all entries but those of a key's smallest doc_id are confirmed as recurring.
-3. Documents meet their confirmed windows by a hash of doc_id. Each such shard merges them to passages (maximal runs of
-   windows), compiles one automaton over word numbers, and streams its documents through it, which finds every occurrence
-   word by word. An occurrence counts in documents from the smallest doc_id on for which the passage was confirmed.
+1. Each batch of documents hashes its windows and sends each once, with its smallest doc_id, to the key group of its hash; of the
+   other documents that have it only their shards. So a passage in a third of all rows costs one entry a batch and shard.
+2. A key group finds the owner of each key, the smallest doc_id that has it, and which shards have it in larger ones: those keys recur.
+3. Owners' texts give the passages: maximal runs of windows that a shard asks for, as words, from the owner alone.
+4. Each shard compiles its passages to automata, one entry a window with its owner, and streams all its documents that may hold
+   one through them. Each occurrence is found word by word; it counts in documents larger than the owner. Hashes only
+   choose which words and documents meet: where two different windows have one hash, none is removed for the other.
 
-Numbers of groups and shards follow spark.sql.shuffle.partitions, which is to grow with the data, so their sizes stay bounded.
+Documents without a window that recurs in a smaller document keep all words and are not shuffled. Groups and shards grow in
+number with spark.sql.shuffle.partitions and with the bytes of the texts; an automaton holds AUTOMATON windows at most, and
+a shard uses as many as it needs, one after the other.
 
 Null texts have no words. A null doc_id counts as larger than every other. Rows that repeat a doc_id are each returned and
 never remove words of each other. Documents of fewer than K words keep all. Empty tables give empty results.
@@ -23,24 +25,47 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.common import NULL_ID, Words, by_bytes, ids_of, joined, mix, next_prime, partitions, split_by, utf8, windows
+from lumora.llm.common import NULL_ID, Words, by_bytes, by_ids, ids_of, joined, next_prime, partitions, split_by, staged, text_size, utf8, windows
 
 K = 13
+GROUP_BYTES, SHARD_BYTES = 8 << 20, 4 << 20  # of text whose windows meet in a group, and that makes a shard, at most about
+AUTOMATON = 40_000  # windows compiled at once; each takes some KB
 
 
-def _blocks(groups: int, shards: int, k: int):
-    """Batches of (doc_id, text) to blocks: keys for the exchange by group, and confirmed ones by shard (bucket -1 - shard)."""
+def _keys(h: np.ndarray, text: np.ndarray, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, group hash and first word of each window. bits: of the hash, fewer only in tests of equal hashes."""
+    key, group, at = windows(h, text, k)
+    if bits < 64:
+        key, group = key & np.uint64((1 << bits) - 1), key & np.uint64((1 << bits) - 1)
+    return key, group, at
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    """Rows of the arrays without those that repeat a and b."""
+    order = np.lexsort((b, a))
+    own = [x[order] for x in (a, b, *more)]
+    new = np.ones(len(a), bool)
+    new[1:] = (own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1])
+    return [x[new] for x in own]
+
+
+def _blocks(groups: int, shards: int, k: int, bits: int):
+    """Batches of (doc_id, text) to blocks by key group: keys with their smallest documents, and keys with shards of larger ones.
+
+    Bucket -1 - shard holds documents that have a window of a smaller one in their batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", 4 << 20):
             ids = ids_of(batch.column("doc_id"))
             order = np.argsort(ids, kind="stable")
             words = Words(batch.column("text").take(pa.array(order)))
             text = words.texts()
-            key, group, at = windows(words.hashes(), text, k)
+            key, group, at = _keys(words.hashes(), text, k, bits)
             doc = ids[order][text[at]]
             by_key = np.argsort(key, kind="stable")  # in each key by doc_id, as texts are
             new = np.ones(len(key), bool)
@@ -50,65 +75,170 @@ def _blocks(groups: int, shards: int, k: int):
             later = doc > smallest
             first = np.zeros(len(key), bool)  # in the order of documents, so that the doc_ids of a block compress
             first[by_key[new]] = True
-            group %= np.uint64(groups)
-            out = [(b, d, k_) for b, k_, d in split_by(group[first].astype(np.int64), key[first], doc[first])]
-            out += [(-1 - b, d, k_) for b, k_, d in split_by(doc[later] % shards, key[later], doc[later])]
+            group = (group % np.uint64(groups)).astype(np.int64)
+            out = [(b, k_, d, b"", b"") for b, k_, d in split_by(group[first], key[first], doc[first])]
+            again, dest, of = _pairs(key[later], doc[later] % shards, group[later])
+            out += [(b, b"", b"", k_, d) for b, k_, d in split_by(of, again, dest.astype(np.int32))]
+            own = np.unique(doc[later])
+            out += [(-1 - b, b"", d, b"", b"") for b, d in split_by(own % shards, own)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "docs", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], BLOCKS)
 
     return run
 
 
+BLOCKS = ["bucket", "keys", "docs", "again", "dests"]
+CONFIRMED = "shard int, owner boolean, docs binary, keys binary, dests binary"
+
+
 def _confirm(shards: int):
-    """A group's blocks to the confirmed keys by shard."""
+    """A key group to (owner, key, shard that asks for it) by the owner's shard, and to the larger documents by theirs."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
+        docs = joined(table.column("docs"), np.int64)
         if bucket < 0:
-            docs, keys = (b"".join(table.column(c).to_pylist()) for c in ("docs", "keys"))
-            return pa.table({"shard": pa.array([-1 - bucket], pa.int32()), "docs": pa.array([docs], pa.binary()), "keys": pa.array([keys], pa.binary())})
-        docs, keys = joined(table.column("docs"), np.int64), joined(table.column("keys"), np.uint64)
-        order = np.lexsort((docs, keys))
-        docs, keys = docs[order], keys[order]
-        first = np.ones(len(keys), bool)
-        first[1:] = keys[1:] != keys[:-1]
-        later = docs > docs[first][np.cumsum(first) - 1]
-        out = list(split_by(docs[later] % shards, docs[later], keys[later]))
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table({"shard": pa.array(cols[0], pa.int32()), "docs": pa.array(cols[1], pa.binary()), "keys": pa.array(cols[2], pa.binary())})
+            out = [(-1 - bucket, False, np.unique(docs).tobytes(), b"", b"")]
+        else:
+            keys, again, dests = joined(table.column("keys"), np.uint64), joined(table.column("again"), np.uint64), joined(table.column("dests"), np.int32)
+            order = np.lexsort((docs, keys))
+            docs, keys = docs[order], keys[order]
+            first = np.ones(len(keys), bool)
+            first[1:] = keys[1:] != keys[:-1]
+            head, owner = keys[first], docs[first]
+            later = docs > owner[np.cumsum(first) - 1]
+            key, dest = _pairs(np.concatenate([keys[later], again]), np.concatenate([docs[later] % shards, dests.astype(np.int64)]))
+            of = owner[np.searchsorted(head, key)]
+            # in the order of owners, so that they compress
+            order = np.argsort(of, kind="stable")
+            of, key, dest = of[order], key[order], dest[order].astype(np.int32)
+            own = np.unique(docs[later])
+            out = [(b, True, d, k, x) for b, d, k, x in split_by(of % shards, of, key, dest)]
+            out += [(b, False, d, b"", b"") for b, d in split_by(own % shards, own)]
+        types = [pa.int32(), pa.bool_(), *[pa.binary()] * 3]
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 5, types, strict=True)], ["shard", "owner", "docs", "keys", "dests"])
 
     return run
 
 
-def passages(confirmed: np.ndarray, at: np.ndarray, text: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(text, first word, word after the last) of each maximal run of confirmed windows, given by first words."""
-    w = at[confirmed]
-    if not len(w):
+def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [np.unique(np.frombuffer(x, np.int64)) for x in batch.column("docs").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64))], ["_id"])
+
+
+def runs(at: np.ndarray, text: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """(first word, word after the last) of each maximal run of windows, given by their first words."""
+    if not len(at):
         return []
-    cut = np.flatnonzero((np.diff(w) != 1) | (np.diff(text[w]) != 0)) + 1
-    begin, end = w[np.concatenate([[0], cut])], w[np.concatenate([cut - 1, [len(w) - 1]])]
-    return [(int(text[a]), int(a), int(b) + k) for a, b in zip(begin, end, strict=True)]
-
-
-def covered(ids: np.ndarray, h: np.ndarray, first: np.ndarray, found: list[tuple[int, int, int]]) -> np.ndarray:
-    """By word, whether an automaton of the passages found covers it in a document not smaller than the passage's."""
-    mask = np.zeros(len(h) + 1, np.int64)
-    _, number = np.unique(h, return_inverse=True)
-    smallest: dict[tuple[int, ...], int] = {}
-    for text, a, b in found:
-        p = tuple((number[a:b] + 1).tolist())
-        smallest[p] = min(smallest.get(p, int(NULL_ID)), int(ids[text]))
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for p, doc in smallest.items():
-        automaton.add_word(p, (len(p), doc))
-    automaton.make_automaton()
-    for t in sorted({text for text, _, _ in found}):  # the others have no confirmed window
-        a, b, own = first[t], first[t + 1], int(ids[t])
-        for end, (n, doc) in automaton.iter(tuple((number[a:b] + 1).tolist())):
-            if doc <= own:
-                mask[a + end - n + 1] += 1
-                mask[a + end + 1] -= 1
-    return np.cumsum(mask[:-1]) > 0
+    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(text[at]) != 0)) + 1
+    return list(zip(at[np.concatenate([[0], cut])].tolist(), (at[np.concatenate([cut - 1, [len(at) - 1]])] + k).tolist(), strict=True))
+
+
+def _slices(table: pa.Table, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    yield from by_bytes(iter(table.combine_chunks().to_batches()), column, most)
+
+
+def _passages(k: int, bits: int):
+    """Owners' texts and what is asked of them to (dest, owner, passage): words joined by one space."""
+
+    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, bytes]] = []
+        if asked.num_rows and docs.num_rows:
+            doc, key, dest = (joined(asked.column(c), t) for c, t in (("docs", np.int64), ("keys", np.uint64), ("dests", np.int32)))
+            order = np.lexsort((key, doc))
+            doc, key, dest = doc[order], key[order], dest[order]
+            begin = np.searchsorted(doc, doc, "left")
+            for batch in _slices(docs, "text"):
+                ids, words = ids_of(batch.column("doc_id")), Words(batch.column("text"))
+                text = words.texts()
+                mine, _, at = _keys(words.hashes(), text, k, bits)
+                own, raw = words.first, words.data.tobytes()
+                window = np.searchsorted(at, own)  # of each text, with the end
+                for t in range(batch.num_rows):
+                    a, b = np.searchsorted(doc, ids[t], "left"), np.searchsorted(doc, ids[t], "right")
+                    if a == b:
+                        continue
+                    keys, place = mine[window[t] : window[t + 1]], at[window[t] : window[t + 1]]
+                    for d in np.unique(dest[a:b]).tolist():
+                        wanted = key[a:b][dest[a:b] == d]  # sorted
+                        hit = wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
+                        for x, y in runs(place[hit], text, k):
+                            out.append((d, int(ids[t]), b" ".join(raw[words.starts[i] : words.ends[i]] for i in range(x, y))))
+        cols = list(zip(*out, strict=True)) or [[]] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["dest", "owner", "passage"])
+
+    return run
+
+
+def _spelled(words: Words) -> pa.Array:
+    """The words of a batch as binary values."""
+    offsets = np.concatenate([[0], np.cumsum(words.ends - words.starts)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(words.data[words._word]))])
+
+
+class Automata:
+    """Automata over the numbers of words for all windows of passages, each with the smallest document that owns it."""
+
+    def __init__(self, passages: pa.Array, owners: np.ndarray, k: int, most: int = AUTOMATON):
+        words = Words(passages.cast(pa.large_string()))
+        coded = _spelled(words).dictionary_encode()
+        self.known, self.k, self.most = coded.dictionary, k, most
+        number, text = coded.indices.to_numpy().astype(np.int64) + 1, words.texts()
+        at = np.flatnonzero(text[: max(0, len(text) - k + 1)] == text[k - 1 :]) if len(text) >= k else np.zeros(0, np.int64)
+        self.number, self.at, self.owner = number, at, owners[text[at]]
+
+    def numbers(self, words: Words) -> np.ndarray:
+        """The words of documents as numbers; 0 for a word that no passage has."""
+        return pc.fill_null(pc.index_in(_spelled(words), value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+
+    def __iter__(self) -> Iterator[ahocorasick.Automaton]:
+        k = self.k
+        for i in range(0, len(self.at), self.most):
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            own = self.owner[i : i + self.most]
+            rank = np.unique(own)  # values of an automaton are small integers
+            part = self.number[self.at[i : i + self.most][:, None] + np.arange(k)]
+            # by falling owner, so that the smallest one of equal windows stays
+            order = np.argsort(-own, kind="stable")
+            for window, value in zip(map(tuple, part[order].tolist()), np.searchsorted(rank, own[order]).tolist(), strict=True):
+                automaton.add_word(window, value)
+            automaton.make_automaton()
+            yield automaton, rank
+
+    def covered(self, ids: np.ndarray, first: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """By word of the documents, whether an occurrence of a smaller owner's window covers it."""
+        begins = np.zeros(len(number) + 1, bool)
+        texts = [tuple(number[a:b].tolist()) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        for automaton, rank in self:
+            smaller = np.searchsorted(rank, ids).tolist()  # owners of a lower rank than this are smaller
+            for a, text, most in zip(first.tolist(), texts, smaller, strict=False):
+                if most and len(text) >= self.k:
+                    ends = [end for end, value in automaton.iter(text) if value < most]
+                    if ends:
+                        begins[a + np.array(ends) - self.k + 1] = True
+        mask = np.zeros(len(number) + 1, np.int64)
+        at = np.flatnonzero(begins)
+        mask[at] += 1
+        np.add.at(mask, at + self.k, -1)
+        return np.cumsum(mask[:-1]) > 0
+
+
+def _rows(batch: pa.RecordBatch, words: Words, gone: np.ndarray, clean: bool) -> dict[str, pa.Array]:
+    total = np.concatenate([[0], np.cumsum(gone)])
+    data, off = utf8(batch.column("text"))
+    kept, cleaned = [], []
+    for t in range(batch.num_rows):
+        raw = data[off[t] : off[t + 1]]
+        own = raw.tobytes().split()
+        a, b = words.first[t], words.first[t + 1]
+        if total[b] > total[a]:
+            own = [w for w, g in zip(own, gone[a:b].tolist(), strict=True) if not g]
+        kept.append(b" ".join(own).decode())
+        if clean:
+            cleaned.append(cut_out(raw, words.starts[a:b] - off[t], words.ends[a:b] - off[t], gone[a:b]))
+    out = {"n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(total[words.first[1:]] - total[words.first[:-1]], pa.int64()), "kept_text": pa.array(kept, pa.string())}
+    return out | ({"clean_text": pa.array(cleaned, pa.string())} if clean else {})
 
 
 def cut_out(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> str:
@@ -122,52 +252,57 @@ def cut_out(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gone: np.nda
     return data[keep].tobytes().decode().rstrip()
 
 
-def _remove(k: int, clean: bool = False):
-    def run(docs: pa.Table, keys: pa.Table) -> pa.Table:
-        ids, column = ids_of(docs.column("doc_id").combine_chunks()), docs.column("text")
-        words = Words(column)
-        h, text = words.hashes(), words.texts()
-        key, _, at = windows(h, text, k)
-        gone = np.zeros(len(h), bool)
-        if keys.num_rows and len(key):
-            mine = np.sort(joined(keys.column("keys"), np.uint64) ^ mix(joined(keys.column("docs"), np.int64).view(np.uint64)))
-            own = key ^ mix(ids[text[at]].view(np.uint64))
-            place = np.minimum(np.searchsorted(mine, own), len(mine) - 1)
-            found = passages(mine[place] == own, at, text, k) if len(mine) else []
-            if found:
-                gone = covered(ids, h, words.first, found)
-        total = np.concatenate([[0], np.cumsum(gone)])
-        data, off = utf8(column)
-        kept, cleaned = [], []
-        for t in range(docs.num_rows):
-            own = data[off[t] : off[t + 1]].tobytes().split()
-            a, b = words.first[t], words.first[t + 1]
-            if total[b] > total[a]:
-                own = [w for w, g in zip(own, gone[a:b].tolist(), strict=True) if not g]
-            kept.append(b" ".join(own).decode())
-            if clean:
-                cleaned.append(cut_out(data[off[t] : off[t + 1]], words.starts[a:b] - off[t], words.ends[a:b] - off[t], gone[a:b]))
-        out = {"n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(total[words.first[1:]] - total[words.first[:-1]], pa.int64()), "kept_text": pa.array(kept, pa.string())}
-        if clean:
-            out["clean_text"] = pa.array(cleaned, pa.string())
-        rest = {c: docs.column(c) for c in docs.column_names if c not in ("_shard", "text", *out)}
-        return pa.table({**rest, **out})
+def _remove(k: int, clean: bool, names: list[str]):
+    """A shard's documents and passages to rows."""
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        # equal passages of one owner are one
+        own = found.select(["owner", "passage"]).group_by(["owner", "passage"]).aggregate([])
+        automata = Automata(own.column("passage").combine_chunks(), own.column("owner").to_numpy(), k)
+        out = []
+        for batch in _slices(docs, "text"):
+            words = Words(batch.column("text"))
+            gone = automata.covered(ids_of(batch.column("doc_id")), words.first, automata.numbers(words))
+            made = _rows(batch, words, gone, clean)
+            out.append(pa.table([made[c] if c in made else batch.column(c) for c in names], names))
+        return pa.concat_tables(out)
 
     return run
 
 
-def dedup(docs: DataFrame, k: int = K, clean: bool = False) -> DataFrame:
+def _keep(clean: bool, names: list[str]):
+    """Rows of documents that keep all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", 4 << 20):
+            words = Words(batch.column("text"))
+            made = _rows(batch, words, np.zeros(len(words.starts), bool), clean)
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names)
+
+    return run
+
+
+def dedup(docs: DataFrame, k: int = K, clean: bool = False, bits: int = 64) -> DataFrame:
     """The columns of docs but text, with n_words, n_removed and kept_text (the kept words joined by one space).
 
     clean: also clean_text, the text with only the removed words and the white space behind them cut out.
     """
     n = partitions(docs.sparkSession)
-    groups, shards = 2 * n, next_prime(2 * n)
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = pairs.mapInArrow(_blocks(groups, shards, k), "bucket int, docs binary, keys binary")
-    confirmed = blocks.groupBy("bucket").applyInArrow(_confirm(shards), "shard int, docs binary, keys binary")
-    shard = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))), F.lit(shards)).cast("int")
-    left = docs.drop("n_words", "n_removed", "kept_text", "clean_text").withColumn("_shard", shard)
-    fields = [f for f in left.schema.fields if f.name not in ("_shard", "text")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_words long", "n_removed long", "kept_text string", *(["clean_text string"] if clean else [])])
-    return left.groupBy("_shard").cogroup(confirmed.groupBy("shard")).applyInArrow(_remove(k, clean), schema)
+    _, size = text_size(pairs)
+    groups, shards = max(2 * n, -(-size // GROUP_BYTES)), next_prime(max(2 * n, size // SHARD_BYTES))
+    blocks = pairs.mapInArrow(_blocks(groups, shards, k, bits), "bucket int, keys binary, docs binary, again binary, dests binary")
+    confirmed = staged(blocks.groupBy("bucket").applyInArrow(_confirm(shards), CONFIRMED), "confirmed")
+    owners, later = (staged(confirmed.where(F.col("owner") == o).select("docs").mapInArrow(_ids, "_id long").distinct(), "ids") for o in (True, False))
+
+    def shard(id_: Column) -> Column:
+        return F.pmod(F.coalesce(id_.cast("long"), F.lit(int(NULL_ID))), F.lit(shards)).cast("int")
+
+    own = by_ids(pairs, owners, "left_semi").withColumn("_shard", shard(F.col("doc_id"))).groupBy("_shard")
+    found = own.cogroup(confirmed.where("owner").groupBy("shard")).applyInArrow(_passages(k, bits), "dest int, owner long, passage binary")
+    left = docs.drop("n_words", "n_removed", "kept_text", "clean_text", "_shard", "_id")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields if f.name != "text"] + ["n_words long", "n_removed long", "kept_text string", *(["clean_text string"] if clean else [])]
+    names = [*(c for c in left.columns if c != "text"), "n_words", "n_removed", "kept_text", *(["clean_text"] if clean else [])]
+    some = by_ids(left, later, "left_semi").withColumn("_shard", shard(F.col("doc_id"))).groupBy("_shard")
+    out = some.cogroup(staged(found, "passages").groupBy("dest")).applyInArrow(_remove(k, clean, names), ", ".join(fields))
+    return out.union(by_ids(left, later, "left_anti").mapInArrow(_keep(clean, names), ", ".join(fields)))

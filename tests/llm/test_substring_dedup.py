@@ -34,5 +34,36 @@ def test_equals_brute_force(spark):
         assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_text").collect()), key=repr) == brute(rows, k)
 
 
+def test_equal_hashes_remove_nothing(spark):
+    """With hashes of few bits different windows meet all the time; only true repeats may go."""
+    import random
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(3))
+    rows = [(i, " ".join(word() for _ in range(80))) for i in range(60)]
+    rows += [(100 + i, f"{rows[i][1][:200]} {rows[i + 1][1][40:160]} {word()}") for i in range(20)]
+    want = {d: (n, gone) for d, n, gone, _ in brute(rows, 5)}
+    for bits in (0, 4, 10, 64):
+        got = {x.doc_id: x for x in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 5, bits=bits).collect()}
+        assert all(got[d].n_words == n and got[d].n_removed <= gone for d, (n, gone) in want.items())
+        assert all(got[d].n_removed == 0 for d in range(60))
+        if bits == 64:
+            assert all(got[d].n_removed == gone for d, (_, gone) in want.items()) and sum(g for _, g in want.values()) > 500
+
+
+def test_many_small_automata():
+    import numpy as np
+    import pyarrow as pa
+
+    from lumora.llm.common import Words
+
+    texts = ["a b c d e f", "x a b c d y", "c d e f c d e f", "q"]
+    for most in (1, 2, 100):
+        automata = substring_dedup.Automata(pa.array([b"a b c d e f", b"c d e f"], pa.binary()), np.array([5, 3]), 4, most)
+        words = Words(pa.array(texts))
+        gone = automata.covered(np.array([5, 9, 4, 8]), words.first, automata.numbers(words))
+        assert gone.astype(int).tolist() == [0, 0, 1, 1, 1, 1] + [0, 1, 1, 1, 1, 0] + [1] * 8 + [0]
+
+
 def test_empty(spark):
     assert substring_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -35,8 +35,9 @@ _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 # Layouts: the paths that a record needs; then either `list` with role and text inside, or `fields` as (path, role) in order.
+# Names of roles are made canonical, but for layouts that say as_is: their roles are canonical already.
 MAPPINGS = [
-    {"name": "row", "needs": ["role", "text", "turn"], "fields": [("text", "@role")]},
+    {"name": "row", "needs": ["role", "text", "turn"], "fields": [("text", "@role")], "as_is": True},
     {"name": "messages", "needs": ["messages[].content", "messages[].role"], "list": "messages", "role": "role", "text": "content"},
     {"name": "conversations", "needs": ["conversations[].from", "conversations[].value"], "list": "conversations", "role": "from", "text": "value"},
     {"name": "turns", "needs": ["turns[].role", "turns[].text"], "list": "turns", "role": "role", "text": "text"},
@@ -77,7 +78,8 @@ def turns_of(record: dict, mapping: dict) -> list[tuple[str, str]]:
         for field, role in mapping["fields"]:
             text = "\n".join(str(record[f]) for f in field.split("+") if record.get(f) is not None and (f == field or record[f] != ""))
             pairs.append((record.get(role[1:]) if role[0] == "@" else role, text))
-    return [(ROLES.get(r, r) or "", "" if t is None else str(t)) for r, t in pairs]
+    names = {} if mapping.get("as_is") else ROLES
+    return [(names.get(r, r) or "", "" if t is None else str(t)) for r, t in pairs]
 
 
 def escape(text: str) -> str:

@@ -10,9 +10,12 @@
 4. Each node searches the shards of its clusters: greedy from the medoid, then by expanding everything in range. Links found
    are extended across shards by neighbours in the united lists until nothing new is found.
 5. A link is kept if its cosine in double precision reaches the threshold: none below it is returned. Recall is audited
-   against brute force over all nodes for at most AUDIT queries; below TARGET, the index is built again with more overlap.
+   against brute force over all nodes for at most AUDIT queries, as the mean of their recalls; below TARGET, the index is built
+   again with twice the overlap and beam, until every node is searched in all clusters. If even that stays below LEAST, an
+   error is raised: no result of less recall is returned.
 
-Rows that repeat a vec_id are vectors of their own. A null vec_id is a component only if all its vectors have none. Empty
+Lengths of which there are at most SHARD nodes are a cluster each, all in one index; as they are small, an exact comparison of
+each follows. Rows that repeat a vec_id are vectors of their own. A null vec_id is a component only if all its vectors have none. Empty
 tables give empty results. Vectors of different lengths are compared only with those of their length.
 """
 
@@ -31,7 +34,7 @@ from lumora.llm.components import components
 THRESHOLD = 0.95
 SAMPLE, CLUSTERS, SHARD = 20_000, 2048, 1500
 OVERLAP, DEGREE, NEAREST, ALPHA, BEAM = 2, 24, 64, 1.2, 24
-AUDIT, TARGET = 300, 0.95
+AUDIT, TARGET, LEAST = 300, 0.95, 0.9
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,23 +188,43 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def links_of(nodes: DataFrame, threshold: float, overlap: int) -> DataFrame:
+def _compare(threshold: float):
+    """All nodes of one length to their links."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, names = _matrix(table.column("unit")), table.column("node").to_numpy()
+        i, j = np.nonzero(x @ x.T >= threshold)
+        ok = names[i] < names[j]
+        return pa.table({"u": pa.array(names[i][ok], pa.int64()), "v": pa.array(names[j][ok], pa.int64())})
+
+    return run
+
+
+def links_of(nodes: DataFrame, threshold: float, overlap: int, beam: int = BEAM, total: int | None = None) -> DataFrame:
     """nodes(node, unit), all of one length, to links (u, v) with u < v."""
-    total = nodes.count()
+    total = nodes.count() if total is None else total
     # bounded: SAMPLE vectors
     sample = _matrix(pa.table({"u": [r["unit"] for r in smallest_hashed(nodes, "node", SAMPLE, total).select("unit").collect()]}).column("u")) if total else np.zeros((0, 1))
     if not len(sample):
         return nodes.sparkSession.createDataFrame([], "u long, v long")
     centroids = kmeans(sample, max(1, min(CLUSTERS, -(-total // (SHARD // 2)), len(sample))))
     placed = staged(nodes.mapInArrow(_assign(centroids, overlap), "node long, cluster int, unit binary"), "placed")
+    return linked(placed, nodes, threshold, beam)
+
+
+def linked(placed: DataFrame, nodes: DataFrame, threshold: float, beam: int = BEAM) -> DataFrame:
+    """placed(node, cluster, unit), the vectors of a cluster being of one length, to links (u, v) with u < v."""
     sizes = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("parts"))  # CLUSTERS rows at most
     dealt = placed.join(F.broadcast(sizes), "cluster")
     members = dealt.withColumn("shard", F.concat_ws("-", "cluster", F.pmod(F.xxhash64("node"), F.col("parts"))))
     lists = members.groupBy("shard").applyInArrow(_build(NEAREST, ALPHA, DEGREE), "node long, near array<long>")
     united = staged(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")
-    inside = members.join(united, "node").select("shard", "node", "unit", "near")
-    asking = dealt.select("node", "unit", "cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")).select(F.concat_ws("-", "cluster", "p").alias("shard"), F.col("node").alias("node"), F.col("unit").alias("unit"))
-    found = inside.groupBy("shard").cogroup(asking.groupBy("shard")).applyInArrow(_search(threshold, BEAM), "u long, v long")
+    # a cluster's nodes search all of its shards, in blocks of about SHARD queries: shard and block bound what a task holds
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    inside = members.join(united, "node").select("shard", "node", "unit", "near", parts.alias("block"))
+    asking = dealt.select("node", "unit", "cluster", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("block"), parts.alias("p"))
+    asking = asking.select(F.concat_ws("-", "cluster", "p").alias("shard_"), F.col("block").alias("block_"), F.col("node").alias("node"), F.col("unit").alias("unit"))
+    found = inside.groupBy("shard", "block").cogroup(asking.groupBy("shard_", "block_")).applyInArrow(_search(threshold, beam), "u long, v long")
     links = fresh = staged(_ordered(found), "links")
     # neighbours that no shard has together can only be met through the united lists
     together = F.collect_set("cluster")
@@ -218,7 +241,7 @@ def links_of(nodes: DataFrame, threshold: float, overlap: int) -> DataFrame:
 
 
 def audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Share of the links of at most `queries` nodes that were found, by brute force over all nodes."""
+    """Mean over at most `queries` nodes that have links of the share of them that was found, by brute force over all nodes."""
     rows = smallest_hashed(nodes, "node", queries).select("node", "unit").collect()  # bounded
     if not rows:
         return 1.0
@@ -229,11 +252,24 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int = A
             x, own = _matrix(batch.column("unit")), batch.column("node").to_numpy()
             i, j = np.nonzero(x @ q.T >= threshold) if len(x) else (np.zeros(0, int),) * 2
             ok = own[i] != names[j]
-            yield pa.RecordBatch.from_arrays([pa.array(names[j][ok], pa.int64()), pa.array(own[i][ok], pa.int64())], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[j][ok], pa.int64()), pa.array(own[i][ok], pa.int64())], ["query", "other"])
+
+    true = nodes.select("node", "unit").mapInArrow(run, "query long, other long").select("query", F.least("query", "other").alias("u"), F.greatest("query", "other").alias("v"))
+    found = true.join(links.select("u", "v").withColumn("hit", F.lit(1)), ["u", "v"], "left").groupBy("query").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    return found.agg(F.coalesce(F.avg("recall"), F.lit(1.0)).alias("r")).first()["r"]
 
-    true = _ordered(nodes.select("node", "unit").mapInArrow(run, "u long, v long"))
-    got = true.join(links.withColumn("hit", F.lit(1)), ["u", "v"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits")).first()
-    return got["hits"] / got["n"] if got["n"] else 1.0
+
+def _indexed(nodes: DataFrame, total: int, threshold: float, overlap: int) -> tuple[DataFrame, float]:
+    """Links of nodes of one length, and their audited recall."""
+    most, beam = min(CLUSTERS, -(-total // (SHARD // 2))), BEAM
+    while True:
+        links = staged(links_of(nodes, threshold, overlap, beam, total), "found")
+        recall = audit(nodes, links, threshold)
+        if recall >= TARGET or (overlap >= most and recall >= LEAST):
+            return links, recall
+        if overlap >= most:
+            raise RuntimeError(f"recall {recall:.3f} stays below {LEAST}")
+        overlap, beam = 2 * overlap, 2 * beam
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> DataFrame:
@@ -241,18 +277,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: i
     rows = staged(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_unit, "vec_id long, unit binary"), "units")
     nodes = rows.where("unit is not null").groupBy("unit").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
     nodes = staged(nodes.select(F.xxhash64("unit").alias("node"), "unit", "copies", "least"), "nodes")
-    links, recalls = None, []
-    for length in [r[0] for r in nodes.select(F.octet_length("unit")).distinct().limit(100).collect()]:
-        own = nodes.where(F.octet_length("unit") == length)
-        for more in (overlap, 2 * overlap, 4 * overlap):
-            part = staged(links_of(own, threshold, more), "found")
-            recall = audit(own, part, threshold)
-            if recall >= TARGET:
-                break
+    lengths = nodes.groupBy(F.octet_length("unit").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    large = lengths.where(F.col("n") > SHARD).collect()  # each of them has an index of its own
+    few = nodes.withColumn("length", F.octet_length("unit")).where(~F.col("length").isin([r["length"] for r in large])) if large else nodes.withColumn("length", F.octet_length("unit"))
+    few = staged(few.select("node", F.col("length").alias("cluster"), "unit"), "placed")
+    exact = few.groupBy("cluster").applyInArrow(_compare(threshold), "u long, v long")
+    links, recalls = staged(linked(few, nodes, threshold).union(exact).distinct(), "found"), [1.0]
+    for r in large:
+        part, recall = _indexed(nodes.where(F.octet_length("unit") == r["length"]), r["n"], threshold, overlap)
         recalls.append(recall)
-        links = part if links is None else links.union(part)
-    if links is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("audited_recall"))
+        links = links.union(part)
     both = links.union(links.select(F.col("v"), F.col("u")))
     near = both.join(nodes.select(F.col("node").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("others"))
     known = nodes.join(near.withColumnRenamed("u", "node"), "node", "left").join(components(links), "node", "left")

@@ -1,6 +1,7 @@
 """Quality classifier by Bradley-Terry ranking.
 
-A document's score is linear in features of its whole text. Weights are learnt from preference pairs (a document labelled 1
+A document's score is linear in features of its whole text: counts of kinds of characters and words, and the shares of its words
+in HASHED groups by hash, so that vocabulary counts too. Weights are learnt from preference pairs (a document labelled 1
 is preferred to one labelled 0) by logistic loss on feature differences. The threshold is the quantile of training scores that
 separates the labels best; scores are scaled so that a document at the threshold gets CUT.
 
@@ -24,9 +25,11 @@ from lumora.llm.common import Words, by_bytes, smallest_hashed, staged
 
 SAMPLE = 10_000  # labelled rows of each label
 PAIRS = 200_000  # preference pairs drawn from them
+CHUNK, RIDGE = 20_000, 1e-2  # pairs held at once; weight of the penalty
 CUT = 0.3
+HASHED = 128  # groups of words
 KINDS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "bang": b"!?", "bar": b"|", "symbol": b"#$%&*@^~_+=<>\\/{}[]", "stop": b".,;:", "quote": b"\"'()-", "line": b"\n", "blank": b" \t\r"}
-NAMES = ["length", *KINDS, "other", "word_length", "long_words", "repeats", "distinct", "words_per_line", "stops_per_word", "bars_per_word", "symbols_per_word", "upper_in_letters"]
+NAMES = ["length", *KINDS, "other", "word_length", "long_words", "repeats", "distinct", "words_per_line", "stops_per_word", "bars_per_word", "symbols_per_word", "upper_in_letters", *(f"words_{i}" for i in range(HASHED))]
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +57,9 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per_word = at_least_1(words)
         x = [np.log1p(size), *(total / at_least_1(size)[:, None]).T, by_text(lens) / per_word, by_text(lens > 15) / per_word, by_text(again) / per_word, np.bincount(text[order][fresh], minlength=n) / per_word]
         x += [np.log1p(words / (c["line"] + 1)), c["stop"] / per_word, c["bar"] / per_word, c["symbol"] / per_word, c["upper"] / at_least_1(c["upper"] + c["lower"])]
-        flat = np.column_stack(x)
+        # square roots of shares: the commonest words do not drown the others
+        group = np.bincount(text * HASHED + (h % np.uint64(HASHED)).astype(np.int64), minlength=n * HASHED).reshape(n, HASHED)
+        flat = np.column_stack([*x, np.sqrt(group / per_word[:, None])])
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "x"])
 
@@ -84,15 +89,18 @@ def fit(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, seed: int = 7) ->
     mean, scale = both.mean(0), both.std(0) + 1e-9
     g, b = (np.clip((x - mean) / scale, -8, 8) for x in (good, bad))
     r = np.random.default_rng(seed)
-    d = g[r.integers(len(g), size=pairs)] - b[r.integers(len(b), size=pairs)]
-    w = np.zeros(d.shape[1])
+    i, j = r.integers(len(g), size=pairs), r.integers(len(b), size=pairs)
+    w = np.zeros(g.shape[1])
     for _ in range(30):  # Newton steps on the mean loss with a small ridge
-        p = 1 / (1 + np.exp(np.clip(d @ w, -50, 50)))
-        grad = -(d.T @ p) / len(d) + 1e-3 * w
-        hess = (d.T * (p * (1 - p))) @ d / len(d) + 1e-3 * np.eye(len(w))
+        grad, hess = RIDGE * w, RIDGE * np.eye(len(w))
+        for k in range(0, pairs, CHUNK):
+            d = g[i[k : k + CHUNK]] - b[j[k : k + CHUNK]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -50, 50)))
+            grad -= d.T @ p / pairs
+            hess += (d.T * (p * (1 - p))) @ d / pairs
         step = np.linalg.solve(hess, grad)
         w -= step * min(1, 3 / (np.abs(step).max() + 1e-12))
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     sg, sb = g @ w, b @ w
     cuts = np.quantile(np.concatenate([sg, sb]), np.linspace(0, 1, 4001))
@@ -108,42 +116,48 @@ def fit(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, seed: int = 7) ->
     return Model(mean, scale, w, threshold, slope)
 
 
-def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """rows(doc_id, x) and labels(doc_id, quality) to a model; None without both labels."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """docs(doc_id, text) and labels(doc_id, quality) to a model; None without both labels."""
     use = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
+    chosen = [smallest_hashed(use.where(F.col("quality") == value), "doc_id", sample).select(F.col("doc_id").cast("long").alias("_id"), F.lit(value).alias("label")) for value in (1, 0)]
+    chosen = staged(chosen[0].union(chosen[1]), "chosen")
+    # two samples of ids: a bounded broadcast, and only their texts become features
+    texts = docs.join(F.broadcast(chosen.select("_id").distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+    x = staged(texts.mapInArrow(features, "doc_id long, x array<double>"), "features").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     parts = []
     for value in (1, 0):
-        chosen = smallest_hashed(use.where(F.col("quality") == value), "doc_id", sample)
-        found = rows.join(chosen, "doc_id").orderBy("doc_id", "x").limit(sample).select("x").toPandas()  # bounded by `sample`
+        found = x.where(F.col("label") == value).orderBy("doc_id", "x").limit(sample).select("x").toPandas()  # bounded by `sample`
         parts.append(np.array(found["x"].tolist(), float))
     return fit(*parts) if all(len(p) for p in parts) else None
 
 
+def _scores(model: Model | None, batch: pa.RecordBatch) -> np.ndarray:
+    if not model:
+        return np.ones(batch.num_rows)
+    own = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"])
+    x = [f.column("x").flatten().to_numpy().reshape(-1, len(NAMES)) for f in features(iter([own]))]  # in one or more pieces
+    return model.score(np.concatenate(x)) if x else np.zeros(0)
+
+
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score and predicted (score at least CUT) of each row of docs."""
+    """doc_id, held_out, score and predicted (score at least CUT) of each row of docs: one map over the texts."""
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = staged(pairs.mapInArrow(features, "doc_id long, x array<double>"), "features")
-    model = train(rows, labels, sample)
+    model = train(pairs, labels, sample)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, len(NAMES))
-            s = model.score(x) if model else np.ones(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], ["doc_id", "score"])
+        for batch in by_bytes(batches, "text", 4 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(model, batch))], ["doc_id", "score"])
 
-    out = rows.mapInArrow(apply, "doc_id long, score double")
+    out = pairs.mapInArrow(apply, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that reach CUT. Features are made twice, so that texts need no shuffle."""
-    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = train(staged(pairs.mapInArrow(features, "doc_id long, x array<double>"), "features"), labels, sample)
+    """The rows of docs that reach CUT."""
+    model = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 4 << 20):
-            own = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"])
-            x = [f.column("x").flatten().to_numpy().reshape(-1, len(NAMES)) for f in features(iter([own]))]  # in one or more pieces
-            yield batch.filter(pa.array(model.score(np.concatenate(x)) >= CUT))
+            yield batch.filter(pa.array(_scores(model, batch) >= CUT))
 
     return docs.mapInArrow(run, docs.schema) if model else docs

@@ -152,5 +152,8 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0) -> DataFrame:
     """read() of what write() has put into a new folder of the shared one."""
     folder = new_folder(docs.sparkSession, "tokens")
-    uri = folder if "://" in folder else f"file://{folder}"
+    path = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    # the file system that Spark itself takes for the folder
+    whole = path.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    uri = whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
     return read(write(docs, uri, tokenizer, kind, end_id), uri)

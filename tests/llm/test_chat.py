@@ -43,3 +43,15 @@ def test_layouts(spark):
         assert {r.layout for r in own} == {layout}
         assert "".join(r.formatted for r in own) == (want if layout != "unknown" else "")
     assert chat.fingerprint(chat.paths({"b": [{"c": 1}], "a": 2})) == chat.fingerprint(chat.paths({"a": None, "b": [{"c": "x"}, {"c": 2}]}))
+
+
+def test_roles_of_plain_rows_stay(spark):
+    import hashlib
+
+    said = [("human", "a"), ("gpt", "b"), ("assistant", "c"), ("bot", "d")]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(said)]
+    got = chat.format_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
+    assert (got.loss_chars, got.loss_sha256) == (1, hashlib.sha256(b"c").hexdigest())
+    mapping = next(m for m in chat.MAPPINGS if m["name"] == "conversations")
+    assert chat.turns_of({"conversations": [{"from": "human", "value": "x"}, {"from": "gpt", "value": "y"}]}, mapping) == [("user", "x"), ("assistant", "y")]

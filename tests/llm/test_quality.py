@@ -34,3 +34,14 @@ def test_keep_judges_batches_of_many_long_texts(spark):
     labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(12)], "doc_id long, quality int")
     kept = {r["doc_id"] for r in quality.keep(docs, labels).select("doc_id").collect()}
     assert kept == {r["doc_id"] for r in quality.score(docs, labels).where("predicted = 1").select("doc_id").collect()}
+
+
+def test_vocabulary_counts(spark):
+    """Texts of equal shape that differ in their words only."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    one, two = [word() for _ in range(40)], [word() for _ in range(40)]
+    docs = [(i, " ".join(r.choice(one if i % 2 else two) for _ in range(60))) for i in range(600)]
+    got = quality.score(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int")).collect()
+    own = [g for g in got if g.held_out]
+    assert sum(g.predicted == g.doc_id % 2 for g in own) >= 0.95 * len(own)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.common import _COEF, NULL_ID, Words, by_bytes, by_ids, ids_of, joined, mix, next_prime, partitions, split_by, staged, text_size, windows
+from lumora.llm.common import _COEF, NULL_ID, Words, by_bytes, by_ids, ids_of, joined, mix, next_prime, partitions, release, split_by, staged, text_size, windows
 from lumora.llm.components import components
 
 K = 5
@@ -96,6 +96,7 @@ def _shared(shards: int):
     """A key group to (documents, their shared shingles) by shard; a shard's own rows (bucket -1 - shard) pass."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         bucket = table.column("bucket")[0].as_py()
         if bucket < 0:
             cols = [[-1 - bucket] * table.num_rows, *(table.column(c) for c in ("docs", "keys", "shared"))]
@@ -114,6 +115,7 @@ def _able(similarity: int):
     """All counts of a shard's documents to (doc_id, n_shingles, able): whether as many shingles are shared as a link needs."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         doc, inverse = np.unique(joined(table.column("docs"), np.int64), return_inverse=True)
         shared = np.bincount(inverse, joined(table.column("counts"), np.int64), len(doc)).astype(np.int64)
         own = table.filter(pa.array([len(x) > 0 for x in table.column("sizes").to_pylist()], pa.bool_()))
@@ -241,6 +243,8 @@ def _search(similarity: int):
     """The classes of a cell (or a part of one) to links that connect all of them that are connected."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.num_rows > 1000:
+            release()
         table = table.sort_by("node")
         names, index = table.column("node").to_numpy(), Index(table.column("shingles"), np.arange(table.num_rows))
         lead = int(np.flatnonzero(names == table.column("cell")[0].as_py())[0])

@@ -27,6 +27,7 @@ SAMPLE = 10_000  # labelled rows of each label
 PAIRS = 200_000  # preference pairs drawn from them
 CHUNK, RIDGE = 20_000, 1e-2  # pairs held at once; weight of the penalty
 CUT = 0.3
+BATCH = 2 << 20  # bytes of text whose features are made at once
 HASHED = 128  # groups of words
 KINDS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "bang": b"!?", "bar": b"|", "symbol": b"#$%&*@^~_+=<>\\/{}[]", "stop": b".,;:", "quote": b"\"'()-", "line": b"\n", "blank": b" \t\r"}
 NAMES = ["length", *KINDS, "other", "word_length", "long_words", "repeats", "distinct", "words_per_line", "stops_per_word", "bars_per_word", "symbols_per_word", "upper_in_letters", *(f"words_{i}" for i in range(HASHED))]
@@ -37,7 +38,7 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = np.full(256, len(KINDS), np.uint8)
     for i, chars in enumerate(KINDS.values()):
         kind[list(chars)] = i
-    for batch in by_bytes(batches, "text", 4 << 20):
+    for batch in by_bytes(batches, "text", BATCH):
         w = Words(batch.column("text"))
         n, size, words = batch.num_rows, np.diff(w.off), w.counts
         total = np.zeros((n, len(KINDS) + 1))
@@ -145,7 +146,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     model = train(pairs, labels, sample)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", BATCH):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(model, batch))], ["doc_id", "score"])
 
     out = pairs.mapInArrow(apply, "doc_id long, score double")
@@ -157,7 +158,7 @@ def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     model = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", BATCH):
             yield batch.filter(pa.array(_scores(model, batch) >= CUT))
 
     return docs.mapInArrow(run, docs.schema) if model else docs

@@ -29,9 +29,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.common import NULL_ID, Words, by_bytes, by_ids, ids_of, joined, next_prime, partitions, split_by, staged, text_size, utf8, windows
+from lumora.llm.common import NULL_ID, Words, by_bytes, by_ids, ids_of, joined, next_prime, partitions, release, split_by, staged, text_size, utf8, windows
 
 K = 13
+BATCH = 2 << 20  # bytes of text whose windows are hashed at once
 GROUP_BYTES, SHARD_BYTES = 8 << 20, 4 << 20  # of text whose windows meet in a group, and that makes a shard, at most about
 AUTOMATON = 40_000  # windows compiled at once; each takes some KB
 
@@ -60,7 +61,7 @@ def _blocks(groups: int, shards: int, k: int, bits: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", BATCH):
             ids = ids_of(batch.column("doc_id"))
             order = np.argsort(ids, kind="stable")
             words = Words(batch.column("text").take(pa.array(order)))
@@ -95,6 +96,7 @@ def _confirm(shards: int):
     """A key group to (owner, key, shard that asks for it) by the owner's shard, and to the larger documents by theirs."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         bucket = table.column("bucket")[0].as_py()
         docs = joined(table.column("docs"), np.int64)
         if bucket < 0:
@@ -135,7 +137,7 @@ def runs(at: np.ndarray, text: np.ndarray, k: int) -> list[tuple[int, int]]:
     return list(zip(at[np.concatenate([[0], cut])].tolist(), (at[np.concatenate([cut - 1, [len(at) - 1]])] + k).tolist(), strict=True))
 
 
-def _slices(table: pa.Table, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(table: pa.Table, column: str, most: int = BATCH) -> Iterator[pa.RecordBatch]:
     yield from by_bytes(iter(table.combine_chunks().to_batches()), column, most)
 
 
@@ -143,6 +145,7 @@ def _passages(k: int, bits: int):
     """Owners' texts and what is asked of them to (dest, owner, passage): words joined by one space."""
 
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        release()
         out: list[tuple[int, int, bytes]] = []
         if asked.num_rows and docs.num_rows:
             doc, key, dest = (joined(asked.column(c), t) for c, t in (("docs", np.int64), ("keys", np.uint64), ("dests", np.int32)))
@@ -256,6 +259,7 @@ def _remove(k: int, clean: bool, names: list[str]):
     """A shard's documents and passages to rows."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        release()
         # equal passages of one owner are one
         own = found.select(["owner", "passage"]).group_by(["owner", "passage"]).aggregate([])
         automata = Automata(own.column("passage").combine_chunks(), own.column("owner").to_numpy(), k)
@@ -274,7 +278,7 @@ def _keep(clean: bool, names: list[str]):
     """Rows of documents that keep all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", BATCH):
             words = Words(batch.column("text"))
             made = _rows(batch, words, np.zeros(len(words.starts), bool), clean)
             yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names)

@@ -6,13 +6,13 @@ A window is K consecutive words. Every word covered by a window that also starts
    other documents that have it only their shards. So a passage in a third of all rows costs one entry a batch and shard.
 2. A key group finds the owner of each key, the smallest doc_id that has it, and which shards have it in larger ones: those keys recur.
 3. Owners' texts give the passages: maximal runs of windows that a shard asks for, as words, from the owner alone.
-4. Each shard compiles its passages to automata, one entry a window with its owner, and streams all its documents that may hold
-   one through them. Each occurrence is found word by word; it counts in documents larger than the owner. Hashes only
-   choose which words and documents meet: where two different windows have one hash, none is removed for the other.
+4. Each shard takes its documents batch by batch: hashes choose the phrases of the passages that a batch may hold, one automaton is
+   compiled of them, with the words of their owners, and the batch's documents are streamed through it. Each occurrence is found
+   word by word; it counts in documents larger than the owner. Hashes only choose which words and documents meet: where two
+   different windows have one hash, none is removed for the other.
 
 Documents without a window that recurs in a smaller document keep all words and are not shuffled. Groups and shards grow in
-number with spark.sql.shuffle.partitions and with the bytes of the texts; an automaton holds AUTOMATON windows at most, and
-a shard uses as many as it needs, one after the other.
+number with spark.sql.shuffle.partitions and with the bytes of the texts; an automaton holds no more words than its batch.
 
 Null texts have no words. A null doc_id counts as larger than every other. Rows that repeat a doc_id are each returned and
 never remove words of each other. Documents of fewer than K words keep all. Empty tables give empty results.
@@ -33,8 +33,7 @@ from lumora.llm.common import NULL_ID, Words, by_bytes, by_ids, ids_of, joined,
 
 K = 13
 BATCH = 2 << 20  # bytes of text whose windows are hashed at once
-GROUP_BYTES, SHARD_BYTES = 8 << 20, 4 << 20  # of text whose windows meet in a group, and that makes a shard, at most about
-AUTOMATON = 40_000  # windows compiled at once; each takes some KB
+GROUP_BYTES, SHARD_BYTES = 16 << 20, 4 << 20  # of text whose windows meet in a group, and that makes a shard, at most about
 
 
 def _keys(h: np.ndarray, text: np.ndarray, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,10 +53,10 @@ def _pairs(a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
     return [x[new] for x in own]
 
 
-def _blocks(groups: int, shards: int, k: int, bits: int):
+def _blocks(groups: int, shards: int, lists: int, k: int, bits: int):
     """Batches of (doc_id, text) to blocks by key group: keys with their smallest documents, and keys with shards of larger ones.
 
-    Bucket -1 - shard holds documents that have a window of a smaller one in their batch.
+    Bucket -1 - list holds documents that have a window of a smaller one in their batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +80,7 @@ def _blocks(groups: int, shards: int, k: int, bits: int):
             again, dest, of = _pairs(key[later], doc[later] % shards, group[later])
             out += [(b, b"", b"", k_, d) for b, k_, d in split_by(of, again, dest.astype(np.int32))]
             own = np.unique(doc[later])
-            out += [(-1 - b, b"", d, b"", b"") for b, d in split_by(own % shards, own)]
+            out += [(-1 - b, b"", d, b"", b"") for b, d in split_by(own % lists, own)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], BLOCKS)
 
@@ -89,18 +88,18 @@ def _blocks(groups: int, shards: int, k: int, bits: int):
 
 
 BLOCKS = ["bucket", "keys", "docs", "again", "dests"]
-CONFIRMED = "shard int, owner boolean, docs binary, keys binary, dests binary"
+CONFIRMED = "list int, owner boolean, docs binary, keys binary, dests binary"
 
 
-def _confirm(shards: int):
-    """A key group to (owner, key, shard that asks for it) by the owner's shard, and to the larger documents by theirs."""
+def _confirm(shards: int, lists: int):
+    """A key group to (owner, key, shard that asks for it) and to the larger documents, both by list: doc_id modulo `lists`."""
 
     def run(table: pa.Table) -> pa.Table:
         release()
         bucket = table.column("bucket")[0].as_py()
         docs = joined(table.column("docs"), np.int64)
         if bucket < 0:
-            out = [(-1 - bucket, False, np.unique(docs).tobytes(), b"", b"")]
+            out = [(-1 - bucket, False, np.unique(docs).tobytes(), b"", b"")]  # the list of these
         else:
             keys, again, dests = joined(table.column("keys"), np.uint64), joined(table.column("again"), np.uint64), joined(table.column("dests"), np.int32)
             order = np.lexsort((docs, keys))
@@ -115,18 +114,18 @@ def _confirm(shards: int):
             order = np.argsort(of, kind="stable")
             of, key, dest = of[order], key[order], dest[order].astype(np.int32)
             own = np.unique(docs[later])
-            out = [(b, True, d, k, x) for b, d, k, x in split_by(of % shards, of, key, dest)]
-            out += [(b, False, d, b"", b"") for b, d in split_by(own % shards, own)]
+            out = [(b, True, d, k, x) for b, d, k, x in split_by(of % lists, of, key, dest)]
+            out += [(b, False, d, b"", b"") for b, d in split_by(own % lists, own)]
         types = [pa.int32(), pa.bool_(), *[pa.binary()] * 3]
-        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 5, types, strict=True)], ["shard", "owner", "docs", "keys", "dests"])
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 5, types, strict=True)], ["list", "owner", "docs", "keys", "dests"])
 
     return run
 
 
-def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own = [np.unique(np.frombuffer(x, np.int64)) for x in batch.column("docs").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64))], ["_id"])
+def _ids(table: pa.Table) -> pa.Table:
+    """The documents of a list, each once."""
+    release()
+    return pa.table({"_id": pa.array(np.unique(joined(table.column("docs"), np.int64)))})
 
 
 def runs(at: np.ndarray, text: np.ndarray, k: int) -> list[tuple[int, int]]:
@@ -181,49 +180,65 @@ def _spelled(words: Words) -> pa.Array:
 
 
 class Automata:
-    """Automata over the numbers of words for all windows of passages, each with the smallest document that owns it."""
+    """Passages with their owners, and the automata that find them in batches of documents."""
 
-    def __init__(self, passages: pa.Array, owners: np.ndarray, k: int, most: int = AUTOMATON):
+    def __init__(self, passages: pa.Array, owners: np.ndarray, k: int, bits: int = 64):
         words = Words(passages.cast(pa.large_string()))
-        coded = _spelled(words).dictionary_encode()
-        self.known, self.k, self.most = coded.dictionary, k, most
-        number, text = coded.indices.to_numpy().astype(np.int64) + 1, words.texts()
-        at = np.flatnonzero(text[: max(0, len(text) - k + 1)] == text[k - 1 :]) if len(text) >= k else np.zeros(0, np.int64)
-        self.number, self.at, self.owner = number, at, owners[text[at]]
+        coded, text = _spelled(words).dictionary_encode(), words.texts()
+        self.known, self.k, self.bits = coded.dictionary, k, bits
+        self.number = coded.indices.to_numpy().astype(np.int64) + 1
+        # windows in the order of their hashes, which say what of the passages a batch may hold
+        key, _, self.at = _keys(words.hashes(), text, k, bits)
+        self.text, self.owner = text[self.at], owners[text[self.at]]
+        self.order = np.lexsort((self.owner, key))  # of equal ones the smallest owner first
+        self.key = key[self.order]
 
     def numbers(self, words: Words) -> np.ndarray:
         """The words of documents as numbers; 0 for a word that no passage has."""
         return pc.fill_null(pc.index_in(_spelled(words), value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
 
-    def __iter__(self) -> Iterator[ahocorasick.Automaton]:
-        k = self.k
-        for i in range(0, len(self.at), self.most):
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-            own = self.owner[i : i + self.most]
-            rank = np.unique(own)  # values of an automaton are small integers
-            part = self.number[self.at[i : i + self.most][:, None] + np.arange(k)]
-            # by falling owner, so that the smallest one of equal windows stays
-            order = np.argsort(-own, kind="stable")
-            for window, value in zip(map(tuple, part[order].tolist()), np.searchsorted(rank, own[order]).tolist(), strict=True):
-                automaton.add_word(window, value)
-            automaton.make_automaton()
-            yield automaton, rank
-
-    def covered(self, ids: np.ndarray, first: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """By word of the documents, whether an occurrence of a smaller owner's window covers it."""
-        begins = np.zeros(len(number) + 1, bool)
-        texts = [tuple(number[a:b].tolist()) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        for automaton, rank in self:
-            smaller = np.searchsorted(rank, ids).tolist()  # owners of a lower rank than this are smaller
-            for a, text, most in zip(first.tolist(), texts, smaller, strict=False):
-                if most and len(text) >= self.k:
-                    ends = [end for end, value in automaton.iter(text) if value < most]
-                    if ends:
-                        begins[a + np.array(ends) - self.k + 1] = True
-        mask = np.zeros(len(number) + 1, np.int64)
-        at = np.flatnonzero(begins)
-        mask[at] += 1
-        np.add.at(mask, at + self.k, -1)
+    def _mark(self, mask: np.ndarray, spans: list[tuple[int, int, int]], docs: np.ndarray, ids: np.ndarray, first: np.ndarray, number: np.ndarray) -> None:
+        """Compile the phrases (first word and word after the last in the passages, owner) and count what they cover in the documents."""
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for i, (x, y, _) in enumerate(spans):
+            automaton.add_word(tuple(self.number[x:y].tolist()), i)
+        automaton.make_automaton()
+        for t in docs.tolist():
+            a, own = int(first[t]), int(ids[t])
+            for end, i in automaton.iter(tuple(number[a : first[t + 1]].tolist())):
+                x, y, owner = spans[i]
+                if owner < own:
+                    mask[a + end + 1 - (y - x)] += 1
+                    mask[a + end + 1] -= 1
+
+    def covered(self, ids: np.ndarray, words: Words) -> np.ndarray:
+        """By word of the documents, whether an occurrence of a smaller owner's phrase covers it."""
+        k, text, n = self.k, words.texts(), len(words.starts)
+        mask = np.zeros(n + 1, np.int64)
+        key, _, at = _keys(words.hashes(), text, k, self.bits)
+        if not len(self.key) or not len(key):
+            return mask[:-1] > 0
+        w = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        hit = self.key[w] == key
+        w = self.order[w]
+        hit &= self.owner[w] < ids[text[at]]
+        at, w = at[hit], w[hit]
+        if not len(at):
+            return mask[:-1] > 0
+        number = self.numbers(words)
+        # windows that follow each other in a document and in a passage are one phrase, spelled as its owner spells it
+        cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(text[at]) != 0) | (np.diff(w) != 1) | (np.diff(self.at[w]) != 1) | (np.diff(self.text[w]) != 0)) + 1
+        begin, end = w[np.concatenate([[0], cut])], w[np.concatenate([cut - 1, [len(w) - 1]])]
+        phrases = np.unique(np.stack([begin, end]), axis=1)
+        spans = list(zip(self.at[phrases[0]].tolist(), (self.at[phrases[1]] + k).tolist(), self.owner[phrases[0]].tolist(), strict=True))
+        self._mark(mask, spans, np.unique(text[at]), ids, words.first, number)
+        # a window of equal hash that no phrase covers: other words, or part of a run with some; each alone
+        total = np.concatenate([[0], np.cumsum(np.cumsum(mask[:-1]) > 0)])
+        open_ = total[at + k] - total[at] < k
+        if open_.any():
+            single = np.unique(w[open_])
+            spans = list(zip(self.at[single].tolist(), (self.at[single] + k).tolist(), self.owner[single].tolist(), strict=True))
+            self._mark(mask, spans, np.unique(text[at[open_]]), ids, words.first, number)
         return np.cumsum(mask[:-1]) > 0
 
 
@@ -255,18 +270,18 @@ def cut_out(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gone: np.nda
     return data[keep].tobytes().decode().rstrip()
 
 
-def _remove(k: int, clean: bool, names: list[str]):
+def _remove(k: int, bits: int, clean: bool, names: list[str]):
     """A shard's documents and passages to rows."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         release()
         # equal passages of one owner are one
         own = found.select(["owner", "passage"]).group_by(["owner", "passage"]).aggregate([])
-        automata = Automata(own.column("passage").combine_chunks(), own.column("owner").to_numpy(), k)
+        automata = Automata(own.column("passage").combine_chunks(), own.column("owner").to_numpy(), k, bits)
         out = []
         for batch in _slices(docs, "text"):
             words = Words(batch.column("text"))
-            gone = automata.covered(ids_of(batch.column("doc_id")), words.first, automata.numbers(words))
+            gone = automata.covered(ids_of(batch.column("doc_id")), words)
             made = _rows(batch, words, gone, clean)
             out.append(pa.table([made[c] if c in made else batch.column(c) for c in names], names))
         return pa.concat_tables(out)
@@ -294,19 +309,19 @@ def dedup(docs: DataFrame, k: int = K, clean: bool = False, bits: int = 64) -> D
     n = partitions(docs.sparkSession)
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     _, size = text_size(pairs)
-    groups, shards = max(2 * n, -(-size // GROUP_BYTES)), next_prime(max(2 * n, size // SHARD_BYTES))
-    blocks = pairs.mapInArrow(_blocks(groups, shards, k, bits), "bucket int, keys binary, docs binary, again binary, dests binary")
-    confirmed = staged(blocks.groupBy("bucket").applyInArrow(_confirm(shards), CONFIRMED), "confirmed")
-    owners, later = (staged(confirmed.where(F.col("owner") == o).select("docs").mapInArrow(_ids, "_id long").distinct(), "ids") for o in (True, False))
+    groups, shards, lists = max(n, -(-size // GROUP_BYTES)), next_prime(max(2 * n, size // SHARD_BYTES)), next_prime(max(n, size // GROUP_BYTES))
+    blocks = pairs.mapInArrow(_blocks(groups, shards, lists, k, bits), "bucket int, keys binary, docs binary, again binary, dests binary")
+    confirmed = staged(blocks.groupBy("bucket").applyInArrow(_confirm(shards, lists), CONFIRMED), "confirmed")
+    owners, later = (staged(confirmed.where(F.col("owner") == o).select("list", "docs").groupBy("list").applyInArrow(_ids, "_id long"), "ids") for o in (True, False))
 
-    def shard(id_: Column) -> Column:
-        return F.pmod(F.coalesce(id_.cast("long"), F.lit(int(NULL_ID))), F.lit(shards)).cast("int")
+    def part(id_: Column, parts: int) -> Column:
+        return F.pmod(F.coalesce(id_.cast("long"), F.lit(int(NULL_ID))), F.lit(parts)).cast("int")
 
-    own = by_ids(pairs, owners, "left_semi").withColumn("_shard", shard(F.col("doc_id"))).groupBy("_shard")
-    found = own.cogroup(confirmed.where("owner").groupBy("shard")).applyInArrow(_passages(k, bits), "dest int, owner long, passage binary")
+    own = by_ids(pairs, owners, "left_semi").withColumn("_list", part(F.col("doc_id"), lists)).groupBy("_list")
+    found = own.cogroup(confirmed.where("owner").groupBy("list")).applyInArrow(_passages(k, bits), "dest int, owner long, passage binary")
     left = docs.drop("n_words", "n_removed", "kept_text", "clean_text", "_shard", "_id")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields if f.name != "text"] + ["n_words long", "n_removed long", "kept_text string", *(["clean_text string"] if clean else [])]
     names = [*(c for c in left.columns if c != "text"), "n_words", "n_removed", "kept_text", *(["clean_text"] if clean else [])]
-    some = by_ids(left, later, "left_semi").withColumn("_shard", shard(F.col("doc_id"))).groupBy("_shard")
-    out = some.cogroup(staged(found, "passages").groupBy("dest")).applyInArrow(_remove(k, clean, names), ", ".join(fields))
+    some = by_ids(left, later, "left_semi").withColumn("_shard", part(F.col("doc_id"), shards)).groupBy("_shard")
+    out = some.cogroup(staged(found, "passages").groupBy("dest")).applyInArrow(_remove(k, bits, clean, names), ", ".join(fields))
     return out.union(by_ids(left, later, "left_anti").mapInArrow(_keep(clean, names), ", ".join(fields)))

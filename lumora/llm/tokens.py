@@ -12,6 +12,7 @@ A text with an added token of the tokenizer in it (a control string, which the l
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -143,10 +144,12 @@ class Encoder:
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of each text; a null text has none."""
-        # in any case of letters, as pieces may be lower-cased
         whole = np.zeros(len(column), bool)
         for t in self.added:
-            whole |= pc.fill_null(pc.match_substring(column, t, ignore_case=True), False).to_numpy(zero_copy_only=False)
+            head = re.match(r"[^a-zA-Z]*", t)[0]  # the same in any case of letters, and seldom in a text
+            if not head or pc.any(pc.match_substring(column, head)).as_py():
+                # in any case, as pieces of words are lower-cased
+                whole |= pc.fill_null(pc.match_substring(column, t, ignore_case=self.cut is _pieces_word), False).to_numpy(zero_copy_only=False)
         if not whole.any():
             return self._encode(column)
         ids, n = self._encode(pc.if_else(pa.array(whole), "", column))

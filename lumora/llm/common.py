@@ -105,10 +105,14 @@ def release() -> None:
         pass
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that the named text column holds about `most` bytes in each piece."""
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, give_back: bool = True) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that the named text column holds about `most` bytes in each piece.
+
+    give_back: release() before each batch and at the end; not for workers that keep much memory for the next piece.
+    """
     for batch in batches:
-        release()
+        if give_back:
+            release()
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -117,7 +121,8 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
-    release()
+    if give_back:
+        release()
 
 
 # ---------------------------------------------------------------- words on Arrow buffers

@@ -37,7 +37,7 @@ UNIT = 1 << 16  # shares are whole numbers that add up to about this
 def _encode(path: str, kind: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, part, place, row = encoder(path, kind), TaskContext.get().partitionId(), {}, 0
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", 4 << 20, give_back=False):
             ids, n = e.encode(batch.column("text"))
             ids, cuts, out, starts, sizes = ids.astype("<u4"), np.concatenate([[0], np.cumsum(n)]).tolist(), [], [], []
             tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()

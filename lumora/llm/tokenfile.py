@@ -72,7 +72,7 @@ def _write(folder: str, path: str, kind: str, end_id: int, dictionary: bytes):
         tail = np.array([end_id], e.dtype).tobytes()
         out, offset, place = None, 0, 0
         try:
-            for batch in by_bytes(batches, "text", 4 << 20):
+            for batch in by_bytes(batches, "text", 4 << 20, give_back=False):
                 if out is None:
                     out = fs.open_output_stream(f"{at}/{name}")
                     head = MAGIC + struct.pack("<BI", e.dtype.itemsize, len(dictionary)) + dictionary

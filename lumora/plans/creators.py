@@ -234,10 +234,14 @@ def weighted_city_vote(t: Tables):
     return latest.newest(total, ["c_mktsegment"], [F.col("votes").desc(), F.col("city")]).select("c_mktsegment", "city", "votes")
 
 
-@query("""select c_custkey, c_nationkey, c_mktsegment, row_number() over (partition by c_nationkey, c_mktsegment order by c_acctbal desc, c_custkey) as place from customer qualify place <= 12""")
+@query("""select o_custkey as creator, c_custkey, c_acctbal, row_number() over (partition by o_custkey order by coalesce(c_acctbal, 0) desc, c_custkey) as place
+  from (select distinct o_custkey, l_suppkey from orders join lineitem on l_orderkey = o_orderkey) join customer on c_custkey = l_suppkey qualify place <= 12""")
 def similar_top12(t: Tables):
-    own = latest.ranked(t.customer, ["c_nationkey", "c_mktsegment"], [F.col("c_acctbal").desc(), F.col("c_custkey")], "place")
-    return own.where("place <= 12").select("c_custkey", "c_nationkey", "c_mktsegment", "place")
+    """Of the keys found by way of each creator, those that have been captured: the best 12 by rate."""
+    found = posts(t).select(F.col("o_custkey").alias("creator"), F.col("l_suppkey").alias("c_custkey")).distinct()
+    own = found.join(t.customer.select("c_custkey", "c_acctbal"), "c_custkey")
+    order = [F.coalesce("c_acctbal", F.lit(0)).desc(), F.col("c_custkey")]
+    return latest.ranked(own, ["creator"], order, "place").where("place <= 12").select("creator", "c_custkey", "c_acctbal", "place")
 
 
 @query(f"""with r as (select o_custkey, l_orderkey, l_linenumber, l_discount, row_number() over (partition by o_custkey order by o_orderdate desc, l_orderkey, l_linenumber) as recency, row_number() over (partition by o_custkey order by l_quantity desc, l_orderkey, l_linenumber) as likes from ({POSTS}))

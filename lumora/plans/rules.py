@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumora.operators import latest, rules, signals
+from lumora.operators import eligibility, latest, rules, signals
 from lumora.plans.registry import Tables, query
 from lumora.plans.text import sql_values, values
 from lumora.sources import records
@@ -141,15 +141,41 @@ def stem_dictionary(t: Tables):
     return t.nation.select(F.explode(F.transform(F.array(F.lit("food"), F.lit("travel")), lambda x: F.concat_ws(" ", "n_name", x))).alias("q"))
 
 
-PROFILES = [(1, "AI Muse", "virtual model", None), (2, "Daily Reposts", "credit to owners", "creator"), (3, "Ann", "chef in Pune +91 98", "business"), (4, None, None, None), (5, "Aisha", "travels with train", "creator")]
-
-
-@query(f"""select id, case when regexp_matches(lower(coalesce(name, '') || ' ' || coalesce(bio, '')), '\\b(ai|virtual)\\b') then 'ai persona' when regexp_matches(lower(coalesce(name, '') || ' ' || coalesce(bio, '')), 'repost|credit to') then 'repost page' end as excluded,
-  case when label = 'business' then 'business' else 'creator' end as kind, regexp_matches(coalesce(bio, ''), '\\+91|₹|\\b(Pune|Mumbai)\\b') as local from {sql_values(PROFILES, 'id, name, bio, label')}""")
+PROFILES = [
+    (1, "ai.muse", "Muse", "virtual model, midjourney", None, None, None, 9000, False, None, None),
+    (2, "daily_reposts", "Daily", "ᴅᴍ ꜰᴏʀ ᴄʀᴇᴅɪᴛ", None, "creator", None, 400, True, None, "en"),
+    (3, "ann.eats", "Ann", "Chef, cafe in Pune +91 98 #punefood #DelhiDiaries", "Restaurant", "Business", "Pune", 60000, False, None, "hi,en,ta"),
+    (4, None, None, None, None, None, None, None, None, None, None),
+    (5, "aisha", "Aisha Media", "travels with train, south indian food", None, "creator", "Goa", 500, False, None, ""),
+    (6, "cityline", "City Line", "Official page of the food magazine", None, "Media", None, 1000001, False, None, "mr"),
+    (7, "neha", "Neha", "मुंबई ₹ tamil telugu hindi kannada marathi", None, "AI-generated", None, 1000000, False, "ai_dominant", None),
+]
+PROFILE_NAMES = "id, handle, name, bio, category, label, location, followers, private, ai_label, langs"
+_PROFILE_SQL = sql_values(PROFILES, PROFILE_NAMES)
+
+
+def _in(xs: list[str]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+
+
+@query(rf"""with p as (select *, concat_ws(' ', coalesce(handle, ''), coalesce(name, ''), coalesce(bio, '')) as own, translate(coalesce(bio, ''), '{eligibility.SMALL_CAPS}', '{eligibility.SMALL_CAPS_PLAIN}') as plain, coalesce(handle, '') || ' ' || coalesce(name, '') as who, lower(coalesce(label, '')) as l from {_PROFILE_SQL}),
+  w as (select *, regexp_extract_all(lower(own || ' ' || coalesce(category, '')), '{eligibility.WORD_RE.replace("'", "''")}', 1) as words, regexp_extract_all(lower(own), '{eligibility.WORD_RE.replace("'", "''")}', 1) as own_words, lower(own || ' ' || coalesce(location, '')) as said from p),
+  s as (select *, list_concat(list_filter(list_sort({_in(eligibility.PUBLISHER_TERMS)}), lambda x: list_contains(words, x)), list_filter([nullif(lower(regexp_extract(own || ' ' || coalesce(category, ''), '{eligibility.PAGE_PHRASE_RE}', 1)), ''),
+      case when lower(regexp_extract(coalesce(name, ''), '{eligibility.PAGE_NAME_RE}', 1)) in ('network', 'media', 'news', 'official') then 'page name: ' || lower(regexp_extract(name, '{eligibility.PAGE_NAME_RE}', 1)) end, case when l in ('organization', 'media') then 'label: ' || l end], lambda x: x is not null)) as publisher,
+    case when {" or ".join(f"regexp_matches(who, '{x}') or regexp_matches(plain, '{x}')" for x in eligibility.AI_RES)} or false then 'AI-generated persona' when {" or ".join(f"regexp_matches(plain, '{x}')" for x in eligibility.REPOST_RES)} or regexp_matches(coalesce(handle, ''), '{eligibility.COLLECTIVE_RE}') then 'repost/aggregator page' when ai_label = 'ai_dominant' or l like '%ai-generated%' then 'AI-generated persona' end as special,
+    case when l = 'business' or list_has_any(words, {_in(eligibility.BUSINESS_TERMS)}) then 'business' else 'creator' end as kind, case when l = 'business' or list_has_any(own_words, {_in(eligibility.BUSINESS_TERMS)}) then 'small business' else 'creator' end as shown_kind,
+    list_concat(list_filter(list_sort({_in(eligibility.PLACE_TERMS)}), lambda x: list_contains(regexp_extract_all(said, '{eligibility.WORD_RE.replace("'", "''")}', 1), x)), list_filter({_in(eligibility.PLACE_PHRASES)}, lambda x: contains(said, x))) as places,
+    list_filter(list_sort({_in(eligibility.PLACE_TERMS)}), lambda x: length(x) >= 4 and len(list_filter(regexp_extract_all(said, '{eligibility.TAG_RE}', 1), lambda g: contains(g, x))) > 0) as tagged from w)
+  select id, kind, shown_kind, array_to_string(list_filter([case when private then 'private account' end, case when followers is null then 'follower count unavailable' when followers not between 500 and 1000000 then 'outside follower range (500-1M)' end,
+      case when len(publisher) > 0 then 'publisher/media page: ' || array_to_string(publisher, ', ') end, special, case when len(publisher) = 0 and kind = 'business' and followers > 50000 then 'big business (over 50K followers)' end], lambda x: x is not null), '; ') as reasons,
+    array_to_string(list_concat(list_transform(list_filter(list_sort({_in(eligibility.LANGUAGES)}), lambda x: list_contains(string_split(coalesce(langs, ''), ','), x)), lambda x: 'language: ' || x), list_filter([case when regexp_matches(said, '[\x{{0900}}-\x{{0d7f}}]') then 'indic script' end, case when regexp_matches(said, '{eligibility.RUPEE_RE}') then 'rupee/+91' end,
+      case when len(places) > 0 then 'terms: ' || array_to_string(places[1:4], ', ') end, case when len(tagged) > 0 then 'hashtags: ' || array_to_string(tagged[1:4], ', ') end], lambda x: x is not null)), '; ') as evidence from s""")
 def persona_and_evidence_rules(t: Tables):
-    said = F.lower(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("bio", F.lit(""))))
-    out = F.when(said.rlike(r"\b(ai|virtual)\b"), "ai persona").when(said.rlike("repost|credit to"), "repost page")
-    return values(t, PROFILES, "id int, name string, bio string, label string").select("id", out.alias("excluded"), F.when(F.col("label") == "business", "business").otherwise("creator").alias("kind"), F.coalesce("bio", F.lit("")).rlike(r"\+91|₹|\b(Pune|Mumbai)\b").alias("local"))
+    """Reasons against a profile, its kind (for rules and as shown), and the evidence of its place."""
+    own = values(t, PROFILES, "id int, handle string, name string, bio string, category string, label string, location string, followers long, private boolean, ai_label string, langs string")
+    own = own.withColumn("languages", F.split("langs", ","))
+    shown = eligibility.account_kind("small business", ("handle", "name", "bio"))
+    return own.select("id", eligibility.account_kind().alias("kind"), shown.alias("shown_kind"), F.array_join(eligibility.rejections(), "; ").alias("reasons"), F.array_join(eligibility.place_signals(), "; ").alias("evidence"))
 
 
 TASKS = [(1, "leased", "r1", "r1", 1, "done"), (2, "leased", "r2", "r1", 1, "done"), (3, "leased", "r1", "r1", 5, "retry"), (4, "leased", "r1", "r1", 2, "retry"), (5, "leased", "r1", "r1", 2, "offline"), (6, "queued", None, "r1", 0, "done"), (7, "leased", "r1", "r1", 0, "auth_blocked"), (8, "leased", "r1", "r1", 1, "skip")]
@@ -183,10 +209,17 @@ def versioned_backfill(t: Tables):
     return done.union(t.documents.join(stale, "doc_id", "left_semi").select("doc_id", F.lit("v2").alias("version"), n))
 
 
-@query("select o_custkey, count(*) as posts, max(o_totalprice) as top_price from orders where o_orderstatus = 'F' group by 1 having count(*) > 1")
+@query("""with p as (select o_custkey, l_partkey, min(o_orderdate) as first_seen, max(o_orderdate) as last_seen, count(distinct l_orderkey) as observations, arg_max(l_returnflag, (o_orderdate, l_orderkey, l_linenumber)) as kind, arg_max(l_extendedprice, (o_orderdate, l_orderkey, l_linenumber)) as price
+    from orders join lineitem on l_orderkey = o_orderkey where o_orderstatus = 'F' group by 1, 2)
+  select o_custkey, c_name, count(*) as posts, sum(observations)::bigint as observations, count(*) filter (kind = 'R') as reels, min(first_seen) as first_seen, max(last_seen) as last_seen, max(price) as top_price from p join customer on c_custkey = o_custkey group by 1, 2""")
 def materialise_capture(t: Tables):
-    """Finished captures to one silver row a creator."""
-    return t.orders.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("posts"), F.max("o_totalprice").alias("top_price")).where("posts > 1")
+    """Finished captures to posts (first and last seen, observations, latest values), and posts to one row a creator."""
+    done = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
+    seen = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_extendedprice").join(done, "l_orderkey")
+    captures = seen.groupBy("o_custkey", "l_partkey", "l_orderkey").agg(F.max("o_orderdate").alias("at"), F.max(F.struct("o_orderdate", "l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")).alias("last"))
+    posts = captures.groupBy("o_custkey", "l_partkey").agg(F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.count(F.lit(1)).alias("observations"), F.max("last").alias("last"))
+    gold = posts.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("posts"), F.sum("observations").alias("observations"), F.count_if(F.col("last.l_returnflag") == "R").alias("reels"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("last.l_extendedprice").alias("top_price"))
+    return gold.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
 
 
 UPSERT_OLD = [("a", "captured", 5, "s1"), ("b", "discovered", None, "s1"), ("c", "quarantined", 7, "s2")]

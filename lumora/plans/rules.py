@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumora.operators import eligibility, latest, rules, signals
+from lumora.operators import eligibility, fit, latest, rules, signals
 from lumora.plans.registry import Tables, query
 from lumora.plans.text import sql_values, values
 from lumora.sources import records
@@ -135,10 +135,34 @@ def content_hash(t: Tables):
     return t.documents.select("doc_id", F.sha2(F.concat_ws("\x1f", "lang", "source", "text"), 256).alias("input_hash"))
 
 
-@query("select n_name || ' ' || term as q from nation, (select unnest(['food', 'travel']) as term)")
+STEMS = [(0, "food", "foodie"), (1, "food", "street food"), (2, "food", "chef"), (3, "travel", "travel"), (4, "travel", "hotel"), (5, "pets", "dogs"), (6, "lifestyle", "foodie"), (7, "lifestyle", "life")]
+TAGGED = [(1, "#delhifoodie #DogsOfInstagram x"), (2, "no tags"), (3, None), (4, "#travellife #hotel #abc #chefs")]
+_OWNERS = f"(select stem, arg_min(niche, position) as niche from {sql_values(STEMS, 'position, niche, stem')} group by 1)"
+
+
+@query(f"select niche, stem as phrase, 'stem' as kind from {_OWNERS} union all select term, n_name || ' ' || term, 'request' from nation, (select unnest(['food', 'travel']) as term)")
 def stem_dictionary(t: Tables):
-    """Search phrases of two bounded lists: places and terms."""
-    return t.nation.select(F.explode(F.transform(F.array(F.lit("food"), F.lit("travel")), lambda x: F.concat_ws(" ", "n_name", x))).alias("q"))
+    """The dictionary's stems with the first niche that has each, and search requests of two bounded lists: places and terms."""
+    owners = fit.stem_owners(values(t, STEMS, "position int, niche string, stem string"))
+    terms = t.nation.select("n_name", F.explode(F.array(F.lit("food"), F.lit("travel"))).alias("niche"))
+    return owners.select("niche", F.col("stem").alias("phrase"), F.lit("stem").alias("kind")).union(terms.select("niche", F.concat_ws(" ", "n_name", "niche"), F.lit("request")))
+
+
+@query(f"""with g as (select id, unnest(range(len(tags))) as nth, unnest(tags) as tag from (select id, regexp_extract_all(lower(text), '#([a-z0-9_]+)', 1) as tags from {sql_values(TAGGED, 'id, text')})),
+  b as (select id, nth, niche from g join {_OWNERS} o on contains(tag, stem) and length(stem) >= 4 qualify row_number() over (partition by id, nth order by length(stem) desc, stem desc) = 1)
+  select id, niche, count(*) as score from b group by 1, 2""")
+def niche_tag_scores(t: Tables):
+    owners = fit.stem_owners(values(t, STEMS, "position int, niche string, stem string"))
+    return fit.tag_scores(values(t, TAGGED, "id int, text string"), "id", "text", owners)
+
+
+ASKED = [(1, "food", "Street food & chefs"), (2, "food", "cooking"), (3, "pets", "Pets"), (4, "pets", "dogs"), (5, None, "x"), (6, "food", None), (7, "food", "chef life")]
+
+
+@query(f"select id, coalesce(category, '') = '' or coalesce(niche, '') = '' or list_has_any(regexp_extract_all(lower(niche), '([a-z]+)', 1), case when category = 'food' then ['food', 'chef'] else [category] end) as matches from {sql_values(ASKED, 'id, category, niche')}")
+def category_request_match(t: Tables):
+    own = values(t, ASKED, "id int, category string, niche string")
+    return own.select("id", fit.niche_matches(F.col("category"), F.col("niche"), {"food": ["food", "chef"]}).alias("matches"))
 
 
 PROFILES = [
@@ -245,13 +269,28 @@ def metrics_replace_retention(t: Tables):
     return own.groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
 
 
-@query("select c_custkey, case when c_acctbal > 5000 and c_nationkey < 5 then 'strong' when c_acctbal > 2000 then 'good' else 'worth a look' end as label, row_number() over (partition by c_nationkey order by (c_acctbal > 5000)::int * 2 + (c_mktsegment = 'BUILDING')::int desc, c_custkey) as place from customer qualify place <= 3")
+@query("""with e as (select o_custkey, count(*) as n from orders join lineitem on l_orderkey = o_orderkey where l_returnflag = 'R' and l_discount >= 0.09 group by 1)
+  select c_custkey, case when c_acctbal >= 0 and c_acctbal <= 9000 and n >= 2 then 'strong' when c_acctbal >= 0 and n >= 1 then 'good' else 'worth a look' end as label from customer left join e on o_custkey = c_custkey""")
 def fit_labels(t: Tables):
+    """Labels from evidence (posts that show the brief) and misses: hard below the range, soft above it."""
+    shown = t.lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09)).select("l_orderkey")
+    evidence = shown.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"))
+    own = t.customer.select("c_custkey", "c_acctbal").join(evidence, "c_custkey", "left")
     bal = F.col("c_acctbal")
-    label = F.when((bal > 5000) & (F.col("c_nationkey") < 5), "strong").when(bal > 2000, "good").otherwise("worth a look")
-    weight = (bal > 5000).cast("int") * 2 + (F.col("c_mktsegment") == "BUILDING").cast("int")
-    own = latest.ranked(t.customer.withColumn("w", weight), ["c_nationkey"], [F.col("w").desc(), F.col("c_custkey")], "place")
-    return own.where("place <= 3").select("c_custkey", label.alias("label"), "place")
+    return own.select("c_custkey", fit.fit_label(F.col("n"), (~F.coalesce(bal >= 0, F.lit(False))).cast("int"), (bal > 9000).cast("int")).alias("label"))
+
+
+@query("""with e as (select max(o_orderdate) as last from orders), p as (select o_custkey, count(*) as posts, date_diff('day', max(o_orderdate), any_value(last)) as days, count(*) filter (o_orderstatus = 'P') as matching, count(*) filter (date_diff('day', o_orderdate, last) <= 90) as recent from orders, e group by 1),
+  c as (select c_nationkey, c_custkey, posts, days, matching, recent, c_mktsegment <> 'BUILDING' as near, case when c_acctbal >= 0 then c_acctbal end as price from p join customer on c_custkey = o_custkey where posts >= 3 and days <= 180)
+  select c_nationkey, c_custkey, coalesce(price > 8000, false) as above_budget, row_number() over (partition by c_nationkey order by coalesce(price > 8000, false), matching desc, near, recent desc, coalesce(price <= 8000, false) desc, c_custkey) as place from c qualify place <= 10""")
+def local_rank(t: Tables):
+    """The ten best of each place for a request, by hard filters and then by signals in order of weight."""
+    end = F.broadcast(t.orders.agg(F.max("o_orderdate").alias("end")))  # one row
+    days = F.date_diff("end", "o_orderdate")
+    own = t.orders.select("o_custkey", "o_orderdate", "o_orderstatus").crossJoin(end).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("posts"), F.min(days).alias("days"), F.count_if(F.col("o_orderstatus") == "P").alias("matching"), F.count_if(days <= 90).alias("recent"))
+    near, price = (F.col("c_mktsegment") != "BUILDING").alias("near"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("price")
+    own = own.join(t.customer.select("c_custkey", "c_nationkey", near, price), "c_custkey")
+    return fit.local_rank(own, "c_nationkey", "c_custkey", 8000, 10, most_days=180).select("c_nationkey", "c_custkey", "above_budget", "place")
 
 
 @query()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import chat, decontam, embedding_graph, html, ngram_join, packing, quality, sharding, substring_dedup, tokenfile
+from lumora.llm import chat, decontam, embedding_graph, exact_dedup, html, ngram_join, packing, quality, sharding, substring_dedup, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +64,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_rows(rows.union(spark.sql(PROBE)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_decontamination, op4_token_files, op5_ring_sharding, op6_html_text, op7_embedding_graph, op8_ngram_jaccard_join, op9_quality, op10_chat_format)}
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_decontamination, op4_token_files, op5_ring_sharding, op6_html_text, op7_embedding_graph, op8_ngram_jaccard_join, op9_quality, op10_chat_format, op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontam.oracle_sql()}
+    return {"op3_decontamination": decontam.oracle_sql(), "op13_exact_dedup": exact_dedup.SQL}

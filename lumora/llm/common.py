@@ -168,12 +168,15 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of a batch of texts: byte spans, 64-bit hashes and the first word of each text."""
+    """The words of a batch of texts: byte spans, 64-bit hashes and the first word of each text.
 
-    def __init__(self, column, lower: bool = False):
+    blank: by byte, whether it lies between words.
+    """
+
+    def __init__(self, column, lower: bool = False, blank: np.ndarray = SPACE):
         data, off = utf8(column)
         self.data, self.off = (_LOWER[data] if lower else data), off
-        word = ~SPACE[data]
+        word = ~blank[data]
         begin = np.zeros(len(data) + 1, bool)
         begin[off] = True
         before = np.zeros(len(data), bool)
@@ -187,12 +190,12 @@ class Words:
         self.counts = np.diff(self.first)
         self._word = word
 
-    def hashes(self, most: int = 1 << 20) -> np.ndarray:
-        """64-bit hashes of the words; `most` bytes at a time, as each byte takes several 8-byte numbers."""
+    def hashes(self, most: int = 1 << 20, base: np.uint64 = _B) -> np.ndarray:
+        """64-bit hashes of the words; `most` bytes at a time, as each byte takes several 8-byte numbers. base: odd."""
         lens = self.ends - self.starts
         if not len(lens):
             return np.zeros(0, np.uint64)
-        letters, powers = self.data[self._word], np.cumprod(np.full(int(lens.max()), _B, np.uint64))
+        letters, powers = self.data[self._word], np.cumprod(np.full(int(lens.max()), base, np.uint64))
         end = np.cumsum(lens)
         out, a = np.empty(len(lens), np.uint64), 0
         while a < len(lens):
@@ -207,6 +210,14 @@ class Words:
             a = b
         return out
 
+    def strings(self, at: np.ndarray) -> pa.Array:
+        """The words of these indices."""
+        lens = self.ends[at] - self.starts[at]
+        off = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(lens, out=off[1:])
+        letters = self.data[np.arange(off[-1]) + np.repeat(self.starts[at] - off[:-1], lens)]
+        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(off), pa.py_buffer(letters))
+
     def texts(self) -> np.ndarray:
         """By word, the text that it is in."""
         return np.repeat(np.arange(len(self.counts)), self.counts)

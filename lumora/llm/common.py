@@ -218,6 +218,21 @@ class Words:
         letters = self.data[np.arange(off[-1]) + np.repeat(self.starts[at] - off[:-1], lens)]
         return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(off), pa.py_buffer(letters))
 
+    def equal(self, at: np.ndarray, other: Words, to: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+        """Whether each word of `at` is, byte by byte, the word of `to` in other; some `most` bytes at a time."""
+        lens = self.ends[at] - self.starts[at]
+        same = lens == other.ends[to] - other.starts[to]
+        i = np.flatnonzero(same)
+        part = np.cumsum(lens[i]) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(i)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                own, begin = lens[i[a:b]], np.cumsum(lens[i[a:b]]) - lens[i[a:b]]
+                pos = np.arange(own.sum()) - np.repeat(begin, own)
+                x = self.data[np.repeat(self.starts[at[i[a:b]]], own) + pos]
+                same[i[a:b]] = np.logical_and.reduceat(x == other.data[np.repeat(other.starts[to[i[a:b]]], own) + pos], begin)
+        return same
+
     def texts(self) -> np.ndarray:
         """By word, the text that it is in."""
         return np.repeat(np.arange(len(self.counts)), self.counts)

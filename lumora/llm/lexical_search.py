@@ -67,15 +67,7 @@ class Terms:
         to = np.minimum(np.searchsorted(self.sorted, h), len(self.terms) - 1)
         at = np.flatnonzero(self.sorted[to] == h)
         term = self.order[to[at]]
-        q, lens = self.words, w.ends[at] - w.starts[at]
-        same = lens == (q.ends - q.starts)[term]
-        at, term, lens = at[same], term[same], lens[same]
-        if not len(at):
-            return at, term
-        begin = np.cumsum(lens) - lens
-        pos = np.arange(lens.sum()) - np.repeat(begin, lens)
-        equal = w.data[np.repeat(w.starts[at], lens) + pos] == q.data[np.repeat(q.starts[term], lens) + pos]
-        ok = np.logical_and.reduceat(equal, begin)
+        ok = w.equal(at, self.words, term)
         return at[ok], term[ok]
 
 

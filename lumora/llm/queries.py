@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import chat, decontam, embedding_graph, exact_dedup, html, lexical_search, ngram_join, packing, quality, sharding, substring_dedup, tokenfile
+from lumora.llm import chat, collocations, decontam, embedding_graph, exact_dedup, html, lexical_search, ngram_join, packing, quality, sharding, substring_dedup, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,12 +68,16 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_decontamination, op4_token_files, op5_ring_sharding, op6_html_text, op7_embedding_graph, op8_ngram_jaccard_join, op9_quality, op10_chat_format, op11_ranked_search, op13_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_decontamination, op4_token_files, op5_ring_sharding, op6_html_text, op7_embedding_graph, op8_ngram_jaccard_join, op9_quality, op10_chat_format, op11_ranked_search, op12_collocations, op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontam.oracle_sql(), "op11_ranked_search": lexical_search.SQL, "op13_exact_dedup": exact_dedup.SQL}
+    return {"op3_decontamination": decontam.oracle_sql(), "op11_ranked_search": lexical_search.SQL, "op12_collocations": collocations.SQL, "op13_exact_dedup": exact_dedup.SQL}

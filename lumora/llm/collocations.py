@@ -11,7 +11,7 @@
    pass over the places where prefixes end). Prefixes of dealt first words are partial counts. Spark adds them up.
 4. The counts of the phrases' parts are joined to them afterwards, on written tables, so that adaptive execution can split keys.
 
-Words are known by 64-bit hashes; should two words of a language share one, the counts are made anew with another hash.
+Words are known by 63-bit hashes; should two words of a language share one, the counts are made anew with another hash.
 
 Nulls: a null text is empty, a null lang is `und`. Repeated rows count each. Texts of any length are taken whole. An empty
 table, or one without frequent phrases, gives no rows. Columns other than text and lang are not read, whatever their names.
@@ -48,6 +48,11 @@ def _read(batch: pa.RecordBatch) -> tuple[common.Words, np.ndarray, list[str]]:
     return w, np.repeat(langs.indices.to_numpy(zero_copy_only=False).astype(np.uint64), w.counts), langs.dictionary.to_pylist()
 
 
+def _hashes(w: common.Words, base: np.uint64) -> np.ndarray:
+    """Hashes of 63 bits."""
+    return w.hashes(base=base) & ~_OTHER
+
+
 def _runs(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
     """Where runs of equal rows begin in this order."""
     new = np.zeros(len(order), bool)
@@ -64,7 +69,7 @@ def vocabulary(docs: DataFrame, base: np.uint64) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.by_bytes(batches, "text", PIECE):
             w, lang, langs = _read(batch)
-            h = w.hashes(base=base)
+            h = _hashes(w, base)
             order = np.argsort(h + lang * base, kind="stable")
             begin = _runs(order, h, lang)
             n = np.diff(np.append(begin, len(order)))
@@ -97,7 +102,7 @@ class Dictionary:
     def names(self, keys: np.ndarray) -> np.ndarray:
         """Hashes of the words, as signed numbers; 0 stays."""
         known = np.concatenate([np.zeros(1, np.uint64), self.hashes])
-        return np.where(keys >= _OTHER, keys, known[np.where(keys >= _OTHER, 0, keys)]).view(np.int64)
+        return np.where(keys >= _OTHER, keys & ~_OTHER, known[np.where(keys >= _OTHER, 0, keys)]).view(np.int64)
 
 
 def dictionary(words: DataFrame, least: int, base: np.uint64) -> Dictionary:
@@ -135,7 +140,7 @@ def suffixes(docs: DataFrame, words: Dictionary, max_n: int, parts: int) -> Data
         for batch in common.by_bytes(batches, "text", PIECE):
             w, lang, langs = _read(batch)
             n = len(w.starts)
-            own = words.keys(w.hashes(base=words.base))
+            own = words.keys(_hashes(w, words.base))
             piece = np.cumsum(_BREAK[w.data], dtype=np.int64)[w.starts] if n else np.zeros(0, np.int64)
             text = w.texts()
             columns, whole = [own], own != 0
@@ -230,7 +235,7 @@ def mine(docs: DataFrame, least: int = 10, max_n: int = 3, top: int = 2000, cont
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     base = np.uint64(0x9E3779B97F4A7C15)
     while not (every := vocabulary(docs, base)).where("word <> word2").isEmpty():
-        base = common.mix(base) | np.uint64(1)
+        base = common.mix(np.array([base]))[0] | np.uint64(1)
     total = every.groupBy("lang").agg(F.sum("f").alias("n"))
     n_words = every.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
     parts = max(common.partitions(docs.sparkSession), n_words // PART + 1)

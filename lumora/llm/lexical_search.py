@@ -57,7 +57,7 @@ class Terms:
         self.words = common.Words(pa.array(terms, pa.large_string()), blank=GAP)
         self.base = np.uint64(0x9E3779B97F4A7C15)
         while len(np.unique(h := self.words.hashes(base=self.base))) < len(terms):
-            self.base = common.mix(self.base) | np.uint64(1)
+            self.base = common.mix(np.array([self.base]))[0] | np.uint64(1)
         self.order = np.argsort(h)
         self.sorted = h[self.order]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumora.operators import quantiles
+
 #: Audience bands: upper bound (exclusive) and name.
 BANDS = [(1_000, "nano"), (3_000, "micro"), (6_000, "mid"), (9_000, "macro")]
 
@@ -30,33 +32,14 @@ def median(x: Column) -> Column:
     return F.percentile(x, F.lit(0.5))
 
 
-def upper_median(x: Column) -> Column:
-    """The middle value or the upper of the two middle ones."""
-    values = F.sort_array(F.collect_list(x))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
-
-
 def lift(value: Column, base: Column) -> Column:
     """value / base - 1; null without a base."""
     return F.try_divide(value, F.nullif(base, F.lit(0.0))) - 1
 
 
-def peer_percentile(df: DataFrame, group: str, value: str, name: str, slices: int = 256) -> DataFrame:
-    """Share of peers in the group with at most the row's value, itself included.
-
-    A group's range of values is cut in slices: rows are ranked inside their slice, and a small table adds what lies in lower
-    slices. So a group that holds most of the rows is no single task.
-    """
-    v, own = F.col(value), df.where(F.col(value).isNotNull())
-    span = own.groupBy(F.col(group).alias("_g")).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    share = F.coalesce(F.try_divide(v - F.col("_low"), F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))), F.lit(0.0))
-    cut = own.join(span, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_slice", F.floor(share * slices).cast("int"))
-    sizes = cut.groupBy("_g", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    by_slice = Window.partitionBy("_g").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # `slices` rows a group
-    below = sizes.select(F.col("_g").alias("_g2"), F.col("_slice").alias("_s2"), F.coalesce(F.sum("_n").over(by_slice), F.lit(0)).alias("_below"), F.sum("_n").over(Window.partitionBy("_g")).alias("_total"))
-    inside = F.count(F.lit(1)).over(Window.partitionBy("_g", "_slice").orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
-    out = cut.withColumn("_inside", inside).join(below, F.col("_g").eqNullSafe(F.col("_g2")) & (F.col("_slice") == F.col("_s2")))
-    return out.withColumn(name, (F.col("_below") + F.col("_inside")) / F.col("_total")).drop("_g", "_g2", "_s2", "_low", "_high", "_slice", "_inside", "_below", "_total")
+def peer_percentile(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """Share of peers in the group with at most the row's value, itself included; a hot group is no single task."""
+    return quantiles.share_below(df, [group], value, name)
 
 
 def cadence(df: DataFrame, key: str, day: str, recent: int | None = None, least: int = 2) -> DataFrame:

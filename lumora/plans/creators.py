@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumora.functions import scalars
-from lumora.operators import index, latest, metrics
+from lumora.operators import index, latest, metrics, quantiles
 from lumora.plans.registry import Tables, query
 
 LATEST = "select * from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1"
@@ -82,7 +82,10 @@ def band_distribution(t: Tables):
 
 @query("select l_returnflag, count(*) as posts, median(l_quantity) as median_likes, round(median(l_extendedprice), 4) as median_views from lineitem group by 1")
 def format_performance(t: Tables):
-    return t.lineitem.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("posts"), metrics.median(F.col("l_quantity")).alias("median_likes"), F.round(metrics.median(F.col("l_extendedprice")), 4).alias("median_views"))
+    likes = quantiles.quantile(t.lineitem, ["l_returnflag"], "l_quantity", name="median_likes")
+    views = quantiles.quantile(t.lineitem, ["l_returnflag"], "l_extendedprice", name="median_views")
+    posts_ = t.lineitem.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("posts"))
+    return posts_.join(likes, "l_returnflag", "left").join(views, "l_returnflag", "left").select("l_returnflag", "posts", "median_likes", F.round("median_views", 4).alias("median_views"))
 
 
 @query(f"""select o_custkey, count(*) filter (where l_discount > 0.05) as sponsored,
@@ -111,9 +114,9 @@ def cadence_recent12_distinct(t: Tables):
   select tag, count(*) as posts, median(l_quantity) as median_likes, round(median(l_quantity) / any_value(m) - 1, 6) as lift from tags, a group by 1 having count(*) >= 2""")
 def tag_lift(t: Tables):
     tags = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey").select("l_quantity", F.explode(F.array_distinct(F.split("p_type", " "))).alias("tag"))
-    all_ = F.broadcast(t.lineitem.agg(metrics.median(F.col("l_quantity")).alias("m")))  # one row
-    m = metrics.median(F.col("l_quantity"))
-    return tags.crossJoin(all_).groupBy("tag").agg(F.count(F.lit(1)).alias("posts"), m.alias("median_likes"), F.round(metrics.lift(m, F.first("m")), 6).alias("lift")).where("posts >= 2")
+    all_ = F.broadcast(quantiles.quantile(t.lineitem, [], "l_quantity", name="m"))  # one row
+    own = quantiles.quantile(tags, ["tag"], "l_quantity", name="median_likes", rows="posts").where("posts >= 2")
+    return own.crossJoin(all_).select("tag", "posts", "median_likes", F.round(metrics.lift(F.col("median_likes"), F.col("m")), 6).alias("lift"))
 
 
 @query(f"""with r as (select *, row_number() over (partition by o_custkey order by l_quantity desc, l_orderkey, l_linenumber) as n from ({POSTS}))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumora.functions import scalars
-from lumora.operators import latest, metrics, tasklog
+from lumora.operators import latest, quantiles, tasklog
 from lumora.plans.registry import Tables, query
 from lumora.streaming import activity
 
@@ -123,7 +123,30 @@ def latest_nonnull_value(t: Tables):
 
 @query("select event_type, list_sort(list(value))[count(*) // 2 + 1] as upper_median from events group by 1")
 def upper_median_duration(t: Tables):
-    return t.events.groupBy("event_type").agg(metrics.upper_median(F.col("value")).alias("upper_median"))
+    return quantiles.quantile(t.events, ["event_type"], "value", upper="upper_median").select("event_type", "upper_median")
+
+
+@query("""select 'lineitem' as what, median(l_extendedprice) as median, list_sort(list(l_extendedprice))[count(*) // 2 + 1] as upper_median, count(*) as n from lineitem
+  union all select 'lineitem ' || l_returnflag, median(l_extendedprice), list_sort(list(l_extendedprice))[count(*) // 2 + 1], count(*) from lineitem group by l_returnflag
+  union all select 'events ' || event_type, median(value), list_sort(list(value))[count(*) // 2 + 1], count(*) from events group by event_type""")
+def exact_medians(t: Tables):
+    """Median and upper median of all prices, by kind of line and by kind of event, by selection over slices."""
+    price = {"value": "l_extendedprice", "upper": "upper_median", "rows": "n"}
+    whole = quantiles.quantile(t.lineitem, [], **price).withColumn("what", F.lit("lineitem"))
+    lines = quantiles.quantile(t.lineitem, ["l_returnflag"], **price).withColumn("what", F.concat(F.lit("lineitem "), "l_returnflag"))
+    kinds = quantiles.quantile(t.events, ["event_type"], "value", upper="upper_median", rows="n").withColumn("what", F.concat(F.lit("events "), "event_type"))
+    names = ["what", "median", "upper_median", "n"]
+    return whole.select(names).union(lines.select(names)).union(kinds.select(names))
+
+
+@query("""with r as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events),
+  q as (select unnest([0.1, 0.9, 0.99])::double as share),
+  e as (select event_type, share, any_value(share * (n - 1)) as place, max(case when i = floor(share * (n - 1)) then value end) as low, max(case when i = ceil(share * (n - 1)) then value end) as high from r, q group by 1, 2)
+  select event_type, share, round(low + (high - low) * (place - floor(place)), 9) as q from e""")
+def duration_quantiles(t: Tables):
+    """The first and last tenth and the last hundredth of durations by kind of event."""
+    parts = [quantiles.quantile(t.events, ["event_type"], "value", at, "q").select("event_type", F.lit(at).alias("share"), F.round("q", 9).alias("q")) for at in (0.1, 0.9, 0.99)]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("""select strftime(ts, '%Y-%m-%d') as day, count(*) filter (where event_type = 'click') as click, count(*) filter (where event_type = 'error') as error, count(*) filter (where event_type = 'view') as view from events group by 1""")

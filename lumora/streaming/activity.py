@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -12,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lumora.operators import tables
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -60,13 +60,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", **options:
     The stream's own checkpoint is beside it. In complete and update mode each batch replaces the table.
     """
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="lumora-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    folder = f"{shared.rstrip('/')}/lumora-stream-{name}-{uuid.uuid4().hex}"
+    folder = tables.shared_folder(spark, f"stream-{name}")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).options(**options)
     if mode == "append":
         writer = writer.format("parquet").option("path", f"{folder}/table")

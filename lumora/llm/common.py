@@ -82,8 +82,11 @@ def by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
     The ids are broadcast up to a bound, so that texts are not shuffled; else both sides are.
     """
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID)))).join(ids, "_id", how).select(df.columns)
+    key = "_id"
+    while key in df.columns:
+        key += "_"
+    ids = (F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids).withColumnRenamed("_id", key)
+    return df.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID)))).join(ids, key, how).select(df.columns)
 
 
 def partitions(spark: SparkSession) -> int:

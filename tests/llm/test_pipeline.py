@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lumora.llm import substring_dedup
 from tests.llm.test_ngram_join import brute as near
@@ -55,3 +57,17 @@ def test_empty(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_result_outlives_the_next_run(spark, tmp_path):
+    """Nulls, repeated ids, clashing columns and a long text; the first result is read after another run has begun."""
+    rows, labels, items = fixture()
+    rows = rows[:60] + [(3, rows[3][1], None, None, None), (3, rows[3][1], "en", "s9", 1), (None, rows[5][1] + " end", "en", "s1", 2), (900, None, "en", "s1", 0), (901, "", None, "s1", 0), (902, " ".join(f"w{i % 997}x{i}" for i in range(30_000)), "en", "s1", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.withColumn("component_id", F.lit("x")).withColumn("_id", F.lit(1)).withColumn("score", F.lit(2.0)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    first = corpus_pipeline.run(spark, str(tmp_path))
+    corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    got = [r.doc_id for r in first.collect()]
+    assert got and set(got) <= {r[0] for r in rows}

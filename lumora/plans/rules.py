@@ -165,41 +165,53 @@ def category_request_match(t: Tables):
     return own.select("id", fit.niche_matches(F.col("category"), F.col("niche"), {"food": ["food", "chef"]}).alias("matches"))
 
 
-PROFILES = [
-    (1, "ai.muse", "Muse", "virtual model, midjourney", None, None, None, 9000, False, None, None),
-    (2, "daily_reposts", "Daily", "ᴅᴍ ꜰᴏʀ ᴄʀᴇᴅɪᴛ", None, "creator", None, 400, True, None, "en"),
-    (3, "ann.eats", "Ann", "Chef, cafe in Pune +91 98 #punefood #DelhiDiaries", "Restaurant", "Business", "Pune", 60000, False, None, "hi,en,ta"),
-    (4, None, None, None, None, None, None, None, None, None, None),
-    (5, "aisha", "Aisha Media", "travels with train, south indian food", None, "creator", "Goa", 500, False, None, ""),
-    (6, "cityline", "City Line", "Official page of the food magazine", None, "Media", None, 1000001, False, None, "mr"),
-    (7, "neha", "Neha", "मुंबई ₹ tamil telugu hindi kannada marathi", None, "AI-generated", None, 1000000, False, "ai_dominant", None),
-]
-PROFILE_NAMES = "id, handle, name, bio, category, label, location, followers, private, ai_label, langs"
-_PROFILE_SQL = sql_values(PROFILES, PROFILE_NAMES)
-
-
 def _in(xs: list[str]) -> str:
     return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
 
-@query(rf"""with p as (select *, concat_ws(' ', coalesce(handle, ''), coalesce(name, ''), coalesce(bio, '')) as own, translate(coalesce(bio, ''), '{eligibility.SMALL_CAPS}', '{eligibility.SMALL_CAPS_PLAIN}') as plain, coalesce(handle, '') || ' ' || coalesce(name, '') as who, lower(coalesce(label, '')) as l from {_PROFILE_SQL}),
-  w as (select *, regexp_extract_all(lower(own || ' ' || coalesce(category, '')), '{eligibility.WORD_RE.replace("'", "''")}', 1) as words, regexp_extract_all(lower(own), '{eligibility.WORD_RE.replace("'", "''")}', 1) as own_words, lower(own || ' ' || coalesce(location, '')) as said from p),
-  s as (select *, list_concat(list_filter(list_sort({_in(eligibility.PUBLISHER_TERMS)}), lambda x: list_contains(words, x)), list_filter([nullif(lower(regexp_extract(own || ' ' || coalesce(category, ''), '{eligibility.PAGE_PHRASE_RE}', 1)), ''),
-      case when lower(regexp_extract(coalesce(name, ''), '{eligibility.PAGE_NAME_RE}', 1)) in ('network', 'media', 'news', 'official') then 'page name: ' || lower(regexp_extract(name, '{eligibility.PAGE_NAME_RE}', 1)) end, case when l in ('organization', 'media') then 'label: ' || l end], lambda x: x is not null)) as publisher,
-    case when {" or ".join(f"regexp_matches(who, '{x}') or regexp_matches(plain, '{x}')" for x in eligibility.AI_RES)} or false then 'AI-generated persona' when {" or ".join(f"regexp_matches(plain, '{x}')" for x in eligibility.REPOST_RES)} or regexp_matches(coalesce(handle, ''), '{eligibility.COLLECTIVE_RE}') then 'repost/aggregator page' when ai_label = 'ai_dominant' or l like '%ai-generated%' then 'AI-generated persona' end as special,
-    case when l = 'business' or list_has_any(words, {_in(eligibility.BUSINESS_TERMS)}) then 'business' else 'creator' end as kind, case when l = 'business' or list_has_any(own_words, {_in(eligibility.BUSINESS_TERMS)}) then 'small business' else 'creator' end as shown_kind,
-    list_concat(list_filter(list_sort({_in(eligibility.PLACE_TERMS)}), lambda x: list_contains(regexp_extract_all(said, '{eligibility.WORD_RE.replace("'", "''")}', 1), x)), list_filter({_in(eligibility.PLACE_PHRASES)}, lambda x: contains(said, x))) as places,
-    list_filter(list_sort({_in(eligibility.PLACE_TERMS)}), lambda x: length(x) >= 4 and len(list_filter(regexp_extract_all(said, '{eligibility.TAG_RE}', 1), lambda g: contains(g, x))) > 0) as tagged from w)
+#: What the tables lack for profiles: handles, names, words of a bio, labels and languages, dealt to customers by their key.
+HANDLES = ["ann.eats", "ai.muse_art", "daily_reposts", "foodie.hub", "neha", "", "city_updates", "travel.aigirl", "official_page9", "mainart", "rohan-ai", "media.girl", "world_of_tea"]
+NAMES = ["Ann", "Aisha Media", "City News", "Muse", "", "Official Ravi", "Pvt Kitchen"]
+BIOS = ["Chef, cafe in Pune +91 98 #punefood #DelhiDiaries", "virtual model, midjourney", "dm for credit", "travels, south indian food", "official page of the food magazine", "", "₹ tamil telugu hindi kannada marathi", "credits to the respective owners", "our bakery and academy", "nothing else, Goa #goadesi", "all rights reserved to the original", "मुंबई girl"]
+LABELS = ["", "creator", "Business", "Media", "AI-generated label"]
+SPOKEN = ["", "hi,en,ta", "en", "mr,xx,bn"]
+
+_PROFILE_SQL = f"""(select c_custkey as id, {_in(HANDLES)}[1 + c_custkey % 13] as handle, {_in(NAMES)}[1 + c_custkey % 7] as name, concat_ws(' ', {_in(BIOS)}[1 + c_custkey % 12], text) as bio, lower(c_mktsegment) as category,
+    {_in(LABELS)}[1 + c_custkey % 5] as label, n_name as location, case when c_acctbal >= 0 then floor(c_acctbal * 200)::bigint end as followers, c_custkey % 17 = 0 as private, case when c_custkey % 19 = 0 then 'ai_dominant' end as ai_label, {_in(SPOKEN)}[1 + c_custkey % 4] as langs
+    from customer left join documents on doc_id = c_custkey left join nation on n_nationkey = c_nationkey)"""
+
+
+def _profiles(t: Tables):
+    texts, places = t.documents.select(F.col("doc_id").alias("c_custkey"), "text"), t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    own = t.customer.join(texts, "c_custkey", "left").join(places, "c_nationkey", "left")
+    pick = lambda xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (1 + F.col("c_custkey") % len(xs)).cast("int"))
+    followers = F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_acctbal") * 200))
+    return own.select(F.col("c_custkey").alias("id"), pick(HANDLES).alias("handle"), pick(NAMES).alias("name"), F.concat_ws(" ", pick(BIOS), "text").alias("bio"), F.lower("c_mktsegment").alias("category"), pick(LABELS).alias("label"),
+        F.col("n_name").alias("location"), followers.alias("followers"), (F.col("c_custkey") % 17 == 0).alias("private"), F.when(F.col("c_custkey") % 19 == 0, "ai_dominant").alias("ai_label"), F.split(pick(SPOKEN), ",").alias("languages"))
+
+
+@query(r"""with p as (select *, concat_ws(' ', handle, name, bio) as own, handle || ' ' || name as who, translate(bio, 'ᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘǫʀꜱᴛᴜᴠᴡʏᴢ', 'abcdefghijklmnopqrstuvwyz') as plain, lower(label) as l from PROFILES),
+  w as (select *, regexp_extract_all(lower(own || ' ' || category), '[a-z][a-z&''-]+') as words, regexp_extract_all(lower(own), '[a-z][a-z&''-]+') as shown, lower(own || ' ' || coalesce(location, '')) as said,
+    lower(regexp_extract(own || ' ' || category, '(?i)\bofficial (page|channel)\b|\bmedia (channel|house|company|page|network)\b|\bnews (portal|channel|page)\b|\b(food|travel|fashion) (network|portal|magazine)\b')) as phrase,
+    lower(regexp_extract(name, '(?i)\b(network|media|news|official|pvt|ltd)\b')) as title from p),
+  s as (select *, list_concat(list_filter(['agency', 'foundation', 'magazine', 'news', 'organisation', 'organization'], lambda x: list_contains(words, x)),
+      list_filter([nullif(phrase, ''), case when title in ('network', 'media', 'news', 'official') then 'page name: ' || title end, case when l in ('organization', 'media') then 'label: ' || l end], lambda x: x is not null)) as page,
+    list_max(list_transform([who, plain], lambda x: (regexp_matches(x, '(?i)(^|[._\s-])ai([._\s-]|$).*(creator|art|girl|boy|model|influencer|generated|world|studio|universe|baby|beauty|queen|diaries|vibes|visuals|lens)')
+      or regexp_matches(x, '(?i)(creator|art|girl|model|influencer)[._\s-]?ai\b|\bvirtual (influencer|creator|model|human)\b|\bai[- ]?(generated|influencer|model|girl|art|artist|creator)\b|\bdigital human\b|\bmidjourney\b|\bstable ?diffusion\b|\bai ?(girl|babe|beauty)s?\b'))::int)) = 1 as persona,
+    regexp_matches(plain, '(?i)dm (for|4) (credit|removal|remove)|credits? (go(es)? )?to (the )?(respective|original)|(all )?rights? (belong|reserved) to (the )?(respective|original)|respective owners|no copyright infringement|not (my|our) (content|videos)|\bfan ?page\b|\brepost(s|ing)? (page|account)\b')
+      or regexp_matches(handle, '(?i)bloggers|influencers|creators|community|magazine|updates|feature[sd]?|reposts?|network|official_?page|\bhub\b|_hub|hub_|\.hub|daily_?news|_news\b|world_?of_|club_?official') as repost,
+    case when l = 'business' or list_has_any(words, ['restaurant', 'cafe', 'bakery', 'academy', 'pvt', 'ltd', 'llp']) then 'business' else 'creator' end as kind, case when l = 'business' or list_has_any(shown, ['restaurant', 'cafe', 'bakery', 'academy', 'pvt', 'ltd', 'llp']) then 'small business' else 'creator' end as shown_kind,
+    list_concat(list_filter(list_sort(PLACES), lambda x: list_contains(regexp_extract_all(said, '[a-z][a-z&''-]+'), x)), list_filter(['south indian', 'north indian'], lambda x: contains(said, x))) as places,
+    list_filter(list_sort(PLACES), lambda x: length(x) >= 4 and not contains(x, ' ') and len(list_filter(regexp_extract_all(said, '#([a-z0-9_]+)', 1), lambda g: contains(g, x))) > 0) as tagged from w)
   select id, kind, shown_kind, array_to_string(list_filter([case when private then 'private account' end, case when followers is null then 'follower count unavailable' when followers not between 500 and 1000000 then 'outside follower range (500-1M)' end,
-      case when len(publisher) > 0 then 'publisher/media page: ' || array_to_string(publisher, ', ') end, special, case when len(publisher) = 0 and kind = 'business' and followers > 50000 then 'big business (over 50K followers)' end], lambda x: x is not null), '; ') as reasons,
-    array_to_string(list_concat(list_transform(list_filter(list_sort({_in(eligibility.LANGUAGES)}), lambda x: list_contains(string_split(coalesce(langs, ''), ','), x)), lambda x: 'language: ' || x), list_filter([case when regexp_matches(said, '[\x{{0900}}-\x{{0d7f}}]') then 'indic script' end, case when regexp_matches(said, '{eligibility.RUPEE_RE}') then 'rupee/+91' end,
-      case when len(places) > 0 then 'terms: ' || array_to_string(places[1:4], ', ') end, case when len(tagged) > 0 then 'hashtags: ' || array_to_string(tagged[1:4], ', ') end], lambda x: x is not null)), '; ') as evidence from s""")
+      case when len(page) > 0 then 'publisher/media page: ' || array_to_string(page, ', ') end, case when persona then 'AI-generated persona' when repost then 'repost/aggregator page' when ai_label = 'ai_dominant' or contains(l, 'ai-generated') then 'AI-generated persona' end,
+      case when len(page) = 0 and kind = 'business' and followers > 50000 then 'big business (over 50K followers)' end], lambda x: x is not null), '; ') as reasons,
+    array_to_string(list_concat(list_transform(list_filter(['bn', 'gu', 'hi', 'kn', 'ml', 'mr', 'pa', 'ta', 'te'], lambda x: list_contains(string_split(langs, ','), x)), lambda x: 'language: ' || x), list_filter([case when regexp_matches(said, '[\x{0900}-\x{0d7f}]') then 'indic script' end,
+      case when contains(said, '₹') or regexp_matches(said, '\+91[\s-]?[0-9]') then 'rupee/+91' end, case when len(places) > 0 then 'terms: ' || array_to_string(places[1:4], ', ') end, case when len(tagged) > 0 then 'hashtags: ' || array_to_string(tagged[1:4], ', ') end], lambda x: x is not null)), '; ') as evidence from s""".replace("\\\\", "\\").replace("PROFILES", _PROFILE_SQL).replace("PLACES", _in(eligibility.PLACE_TERMS)))
 def persona_and_evidence_rules(t: Tables):
-    """Reasons against a profile, its kind (for rules and as shown), and the evidence of its place."""
-    own = values(t, PROFILES, "id int, handle string, name string, bio string, category string, label string, location string, followers long, private boolean, ai_label string, langs string")
-    own = own.withColumn("languages", F.split("langs", ","))
-    shown = eligibility.account_kind("small business", ("handle", "name", "bio"))
-    return own.select("id", eligibility.account_kind().alias("kind"), shown.alias("shown_kind"), F.array_join(eligibility.rejections(), "; ").alias("reasons"), F.array_join(eligibility.place_signals(), "; ").alias("evidence"))
+    """Reasons against each creator's profile, its kind (for rules and as shown), and the evidence of its place."""
+    out = eligibility.judged(_profiles(t))
+    return out.select("id", "kind", "shown_kind", F.array_join("reasons", "; ").alias("reasons"), F.array_join("evidence", "; ").alias("evidence"))
 
 
 TASKS = [(1, "leased", "r1", "r1", 1, "done"), (2, "leased", "r2", "r1", 1, "done"), (3, "leased", "r1", "r1", 5, "retry"), (4, "leased", "r1", "r1", 2, "retry"), (5, "leased", "r1", "r1", 2, "offline"), (6, "queued", None, "r1", 0, "done"), (7, "leased", "r1", "r1", 0, "auth_blocked"), (8, "leased", "r1", "r1", 1, "skip")]

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumora.functions import scalars
-from lumora.operators import latest, quantiles, tasklog
+from lumora.operators import latest, pacing, quantiles, tasklog
 from lumora.plans.registry import Tables, query
-from lumora.streaming import activity
+from lumora.streaming import activity, alerts
 
 def k_of_props():
     return F.from_json("props", "k long")["k"]
@@ -212,15 +212,24 @@ def backoff_schedule(t: Tables):
     return t.spark.range(13).select(F.col("id").alias("attempts"), scalars.backoff_seconds(F.col("id")).alias("seconds"))
 
 
-@query("""with recursive e as (select user_id, event_type = 'error' as bad, row_number() over (partition by user_id order by ts, event_id) as n from events),
-  f(user_id, n, pace) as (select user_id, 0::bigint, 1.0::double from (select distinct user_id from events) union all
-    select f.user_id, e.n, case when e.bad then least(30.0, f.pace * 2) else greatest(1.0, f.pace * 0.85) end from f join e on e.user_id = f.user_id and e.n = f.n + 1)
-  select user_id, round(arg_max(pace, n), 6) as pace from f group by 1""")
+@query("""with recursive e as (select user_id, epoch_us(ts) as s, event_type = 'error' as bad, row_number() over (partition by user_id order by ts, event_id) as n from events),
+  f(user_id, n, pace, since, paused) as (select user_id, 0::bigint, 2.0::double, min(s), null::bigint from e group by 1 union all
+    select f.user_id, e.n, case when e.bad then least(30.0, greatest(f.pace * 2, 1.0)) when e.s - f.since >= 300000000 then greatest(0.5, f.pace * 0.85) else f.pace end,
+      case when e.bad or e.s - f.since >= 300000000 then e.s else f.since end, case when e.bad then e.s + 120000000 else f.paused end from f join e on e.user_id = f.user_id and e.n = f.n + 1)
+  select user_id, round(arg_max(pace, n), 6) as pace, max(paused) as paused_until from f group by 1""")
 def pacer_fold(t: Tables):
-    """Pace of each worker: doubled by an error up to 30, eased by each success down to 1; a fold in order of time."""
-    own = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("event_type") == "error").alias("bad")))).alias("e"))
-    pace = F.aggregate("e", F.lit(1.0), lambda a, x: F.when(x["bad"], F.least(F.lit(30.0), a * 2)).otherwise(F.greatest(F.lit(1.0), a * 0.85)))
-    return own.select("user_id", F.round(pace, 6).alias("pace"))
+    """Pace of each worker after its last request and when its pause ends; slices of time are folded apart."""
+    return pacing.pace(t.events, "user_id", "ts", F.col("event_type") == "error", "event_id").withColumn("pace", F.round("pace", 6))
+
+
+@query("""with e as (select user_id, epoch_us(ts) as s, event_type = 'error' as bad, row_number() over (partition by user_id order by ts, event_id) as n from events),
+  p as (select *, coalesce(lag(bad) over (partition by user_id order by n), false) as bad_before, min(case when not bad then s end) over (partition by user_id order by n rows between 1 following and unbounded following) as gone from e),
+  i as (select user_id, s as since_us, coalesce(gone, (select max(s) from e)) as gone from p where bad and not bad_before)
+  select user_id, since_us, unnest(generate_series(since_us + 1800000000, gone - 1, 3600000000)) as at_us from i""")
+def stream_alerts(t: Tables):
+    """Alerts on errors of a user that last for half an hour, hourly at most, by a stream with event-time timers."""
+    with alerts.rocksdb(t.spark):
+        return activity.run_to_table(alerts.persistent(activity.read_events(t.spark, t.sf_dir, "events.parquet")), "alerts")
 
 
 @query("""select epoch(date_trunc('hour', ts))::bigint as hour_s, event_type, count(*) as n from events group by 1, 2""")

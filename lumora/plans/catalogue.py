@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumora.functions import posts as p
-from lumora.operators import metrics
+from lumora.operators import inverted, metrics
 from lumora.plans.creators import POSTS, posts
 from lumora.plans.registry import Tables, query
 
@@ -80,26 +80,18 @@ def newest_owner(t: Tables):
     return t.part.select("p_partkey").join(found, "p_partkey", "left")
 
 
-TERMS = r"[a-z\p{L}]{3,}"
-
-
-@query(f"""with said as (select text from conversations where role = 'user' order by conv_id, turn limit 1),
-  m as (select unnest(list_distinct(regexp_extract_all(lower(text), '{TERMS}'))) as w from said),
-  d as (select doc_id, n_chars, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{TERMS}')) as ws from documents),
-  s as (select doc_id, any_value(n_chars) as n_chars, count(*) as score from (select doc_id, n_chars, unnest(ws) as w from d) join m using (w) group by 1),
-  r as (select *, row_number() over (order by score desc, n_chars, doc_id) as place, count(*) over () as matches from s)
-  select place, doc_id, score, matches, place <= 5 as in_chat, 'shares ' || score || ' words of the message' as why from r where place <= 8""")
+@query(f"""with q as (select conv_id, turn, unnest(list_distinct(regexp_extract_all(lower(text), '{inverted.WORD}'))) as w from conversations where role = 'user'),
+  d as (select doc_id, w, least(3, count(*)) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '{inverted.WORD}')) as w from documents) group by 1, 2),
+  f as (select w, floor(1000000 * ln(1 + (select count(*) from documents) / (1.0 + count(*))))::bigint as weight from d group by 1),
+  s as (select conv_id, turn, doc_id, sum(weight * tf)::bigint as score, list_sort(list(w)) as ws from q join d using (w) join f using (w) group by 1, 2, 3),
+  r as (select *, row_number() over (partition by conv_id, turn order by score desc, doc_id) as place, count(*) over (partition by conv_id, turn) as matches from s)
+  select conv_id, turn, place, doc_id, score, matches, place <= 5 as in_chat, 'shares ' || len(ws) || ' words: ' || array_to_string(ws[1:5], ', ') as why from r where place <= 8""")
 def retrieval_answer(t: Tables):
-    """The 8 best of all matches to the first message asked, each with a reason, and the number of matches."""
-    said = t.conversations.where("role = 'user'").orderBy("conv_id", "turn").select("text").first()
-    terms = lambda text: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERMS), F.lit(0)))
-    score = F.size(F.array_intersect(terms(F.col("text")), terms(F.lit(said["text"] if said else None).cast("string"))))
-    found = t.documents.select("doc_id", "n_chars", score.cast("long").alias("score")).where("score > 0")
-    matches = found.count()
-    best = found.orderBy(F.col("score").desc(), "n_chars", "doc_id").limit(8)
-    place = F.row_number().over(Window.orderBy(F.col("score").desc(), "n_chars", "doc_id"))  # of 8 rows
-    out = best.withColumn("place", place)
-    return out.select("place", "doc_id", "score", F.lit(matches).alias("matches"), (F.col("place") <= 5).alias("in_chat"), F.concat(F.lit("shares "), "score", F.lit(" words of the message")).alias("why"))
+    """The 8 best documents for every message of a user, each with a reason, and the number of matches."""
+    asked = t.conversations.where("role = 'user'").select("conv_id", "turn", "text")
+    found = inverted.answer(inverted.index(t.documents, "doc_id", "text"), asked, ["conv_id", "turn"], "text", 8)
+    why = F.concat(F.lit("shares "), F.size("words"), F.lit(" words: "), F.array_join(F.slice("words", 1, 5), ", "))
+    return found.select("conv_id", "turn", "place", F.col("key").alias("doc_id"), "score", "matches", (F.col("place") <= 5).alias("in_chat"), why.alias("why"))
 
 
 @query(f"""with p as ({POSTS}),

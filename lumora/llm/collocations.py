@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from lumora.llm import common
 
 DICTIONARY = 1 << 20  # words that tasks are sent at most
-PART = 1_500_000  # suffixes that a part sorts in memory, about
-PIECE = 8 << 20  # bytes of text whose suffixes are added up at once
+PART = 1_000_000  # suffixes that a part sorts in memory, about
+PIECE = 4 << 20  # bytes of text whose suffixes are added up at once
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumora.functions import scalars
-from lumora.operators import latest, pacing, quantiles, tasklog
+from lumora.operators import latest, lineage, pacing, quantiles, tables, tasklog, variants
 from lumora.plans.registry import Tables, query
-from lumora.streaming import activity, alerts
+from lumora.streaming import activity, alerts, materialise
 
 def k_of_props():
     return F.from_json("props", "k long")["k"]
@@ -244,3 +244,53 @@ def stream_hourly(t: Tables):
 def stream_activity(t: Tables):
     stream = activity.feed(activity.read_events(t.spark, t.sf_dir, "events.parquet"), "60 days")
     return activity.run_to_table(stream, "feed").select("event_id", "event_type")
+
+
+@query("select o_custkey, count(*) as captures, count(*) filter (where o_orderstatus = 'F') as kept, min(o_orderdate) as first, max(o_orderdate) as last, sum(round(o_totalprice * 100)::bigint)::bigint as cents from orders group by 1")
+def incremental_gold(t: Tables):
+    """Creators from captures that arrive in two halves, one of them replayed and the first folded into a base."""
+    folder = tables.shared_folder(t.spark, "gold")
+    gold = materialise.by_creator(t.spark, folder)
+    for half in range(2):
+        t.orders.where(F.col("o_orderkey") % 2 == half).write.mode("append").parquet(f"{folder}/arrivals")
+        gold.follow(t.spark.readStream.schema(t.orders.schema).parquet(f"{folder}/arrivals"))
+        if not half:
+            gold.compact()
+    gold.merge(t.orders.where("o_orderkey % 2 = 1"), 1)  # the second batch once more
+    gold.merge(t.orders.where("o_orderkey % 2 = 0"), 0)  # and the first
+    return gold.read()
+
+
+@query("""with recursive e as (select c_custkey as node, case when c_custkey % 7 > 0 then (c_custkey * 3 + 1) % (select count(*) from customer) end as up from customer),
+  n as (select e.node, x.node as up from e left join e x on x.node = e.up),
+  w(node, spot, depth, path) as (select node, node, 0::bigint, [node] from n union all select w.node, n.up, w.depth + 1, list_append(w.path, n.up) from w join n on n.node = w.spot where n.up is not null and not list_contains(w.path, n.up)),
+  f as (select node, arg_max(spot, depth) as spot, max(depth) as depth from w group by 1)
+  select f.node as c_custkey, case when n.up is null then f.spot end as origin, case when n.up is null then f.depth end as depth, n.up is not null as cyclic from f join n on n.node = f.spot""")
+def origins_any_depth(t: Tables):
+    """Where each creator's chain of sources ends, of any depth; chains that run in a circle are told."""
+    total = t.customer.agg(F.count(F.lit(1)).alias("n"))
+    own = t.customer.crossJoin(F.broadcast(total)).select("c_custkey", F.when(F.col("c_custkey") % 7 > 0, (F.col("c_custkey") * 3 + 1) % F.col("n")).alias("up"))  # one row
+    return lineage.origins(own, "c_custkey", "up")
+
+
+NESTED = """to_json(named_struct('id', o_orderkey, 'meta', named_struct('status', nullif(o_orderstatus, 'P'), 'day', null), 'lines', lines), map('ignoreNullFields', 'false'))"""
+
+
+@query("""select l_orderkey as o_orderkey, count(*) * 3 + 3 + sum(2 * (l_quantity > 25)::int)::bigint as leaves, (count(*) filter (where l_returnflag = 'N') + 1 + any_value((o_orderstatus = 'P')::int))::bigint as nulls,
+    sum(2 * (l_quantity > 25)::int)::bigint as refs, count(distinct case when l_quantity > 25 then l_suppkey end) as suppliers from lineitem join orders on o_orderkey = l_orderkey group by 1""")
+def nested_walk(t: Tables):
+    """Leaves, null leaves and references of nested texts made of orders and their lines."""
+    refs = F.when(F.col("l_quantity") > 25, F.array(F.concat(F.lit("s:"), "l_suppkey"), F.lit("p:x"))).otherwise(F.array().cast("array<string>"))
+    line = F.struct(F.col("l_linenumber").alias("n"), F.nullif("l_returnflag", F.lit("N")).alias("flag"), F.struct(F.col("l_tax").alias("tax"), refs.alias("refs")).alias("cited"))
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("lines"))  # of one order
+    texts = tables.written(t.orders.join(lines, "o_orderkey").select("o_orderkey", F.expr(NESTED).alias("text")), "nested")
+    cited = variants.references(texts, "o_orderkey", "text", "refs").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("refs"), F.count_distinct(F.when(F.col("value").startswith("s:"), F.col("value"))).alias("suppliers"))
+    none = F.lit(0).cast("long")
+    return variants.null_rates(texts, "o_orderkey", "text").join(cited, "o_orderkey", "left").select("o_orderkey", "leaves", "nulls", F.coalesce("refs", none).alias("refs"), F.coalesce("suppliers", none).alias("suppliers"))
+
+
+@query("select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k, 1 as leaves from events")
+def event_props_walk(t: Tables):
+    """The leaves of the payloads of all events."""
+    found = variants.leaves(t.events, "event_id", "props")
+    return found.groupBy("event_id").agg(F.max(F.when(F.col("path") == "$.k", F.col("value").cast("long"))).alias("k"), F.count(F.lit(1)).cast("int").alias("leaves"))

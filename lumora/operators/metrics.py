@@ -32,14 +32,22 @@ def median(x: Column) -> Column:
     return F.percentile(x, F.lit(0.5))
 
 
+def upper_median(x: Column) -> Column:
+    """The middle value or the upper of the two middle ones.
+
+    For groups of bounded size; quantiles.quantile takes groups of any size.
+    """
+    return F.element_at(F.sort_array(F.collect_list(x)), (F.floor(F.count(x) / 2) + 1).cast("int"))
+
+
 def lift(value: Column, base: Column) -> Column:
     """value / base - 1; null without a base."""
     return F.try_divide(value, F.nullif(base, F.lit(0.0))) - 1
 
 
-def peer_percentile(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
+def peer_percentile(df: DataFrame, group: str, value: str, name: str, slices: int = quantiles.SLICES, large: int = quantiles.LARGE) -> DataFrame:
     """Share of peers in the group with at most the row's value, itself included; a hot group is no single task."""
-    return quantiles.share_below(df, [group], value, name)
+    return quantiles.share_below(df, [group], value, name, large, slices)
 
 
 def cadence(df: DataFrame, key: str, day: str, recent: int | None = None, least: int = 2) -> DataFrame:

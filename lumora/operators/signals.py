@@ -20,15 +20,15 @@ def term_counts(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFra
 
 
 def best_topic(df: DataFrame, key: str, text: str, topics: dict[str, list[str]]) -> DataFrame:
-    own = df.select(key, plain_words(F.col(text)).alias("_w"))
-
-
-    def count(place: int, name: str) -> Column:
-        return F.struct(F.size(F.filter("_w", lambda w: w.isin(topics[name]))).cast("long").alias("n"), F.lit(-place).alias("place"), F.lit(name).alias("topic"))
-
-    # each topic's words are counted once; of equal counts the first topic's wins, as its place is the largest
-    best = own.select(key, F.array_max(F.array(*(count(i, name) for i, name in enumerate(topics)))).alias("b"))
-    return best.where("b.n > 0").select(key, "b.topic", "b.n")
+    """key, topic, n: the topic with the most words of a row, the first of equal ones; rows without any are left out."""
+    place = {name: i for i, name in enumerate(topics)}
+    owner = df.sparkSession.createDataFrame([(w, name, -place[name]) for name, words in topics.items() for w in words], "word string, topic string, place int")
+    # each text is split once; of its words only those of some topic go on
+    every = sorted({w for words in topics.values() for w in words})
+    own = df.select(key, F.explode(F.filter(plain_words(F.col(text)), lambda w: w.isin(every))).alias("word"))
+    counts = own.join(F.broadcast(owner), "word").groupBy(key, "topic", "place").agg(F.count(F.lit(1)).alias("n"))  # a parameter, so bounded
+    best = counts.groupBy(key).agg(F.max(F.struct("n", "place", "topic")).alias("b"))
+    return best.select(key, "b.topic", "b.n")
 
 
 def contacts(df: DataFrame, text: str) -> DataFrame:

@@ -14,12 +14,6 @@ def dense_hours(df: DataFrame, ts: str, counts: dict) -> DataFrame:
     return spine.join(hours, "hour", "left").fillna(0, list(counts))
 
 
-def rolling(df: DataFrame, key: list[str], ts: str, seconds: int, agg, name: str) -> DataFrame:
-    """agg over the rows of the last `seconds`, for each row."""
-    w = Window.partitionBy(*key).orderBy(F.unix_seconds(F.col(ts).cast("timestamp"))).rangeBetween(-seconds, 0)
-    return df.withColumn(name, agg.over(w))
-
-
 def episodes(df: DataFrame, key: list[str], ts: str, gap_seconds: int) -> DataFrame:
     """Runs of rows with at most gap_seconds between neighbours: first, last and number of rows."""
     s = F.unix_seconds(F.col(ts).cast("timestamp"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumora.functions import scalars
-from lumora.operators import latest, lineage, pacing, quantiles, tables, tasklog, variants
+from lumora.operators import latest, lineage, pacing, quantiles, ranges, tables, tasklog, variants
 from lumora.plans.registry import Tables, query
 from lumora.streaming import activity, alerts, materialise
 
@@ -44,7 +44,9 @@ def quarter_hour_avg(t: Tables):
 
 @query("""select event_id, count(*) over (partition by event_type order by floor(epoch(ts))::bigint range between 3600 preceding and current row) as last_hour from events""")
 def rolling_hour(t: Tables):
-    return tasklog.rolling(t.events, ["event_type"], "ts", 3600, F.count(F.lit(1)), "last_hour").select("event_id", "last_hour")
+    counts = ranges.trailing(t.events, ["event_type"], "ts", 3600, F.lit(1), "last_hour")
+    second = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    return t.events.select("event_id", "event_type", second.alias("second")).join(counts, ["event_type", "second"]).select("event_id", "last_hour")
 
 
 @query("""select coalesce(event_type, 'all') as source, coalesce(user_id, -1) as seed, count(*) as found, count(*) filter (where value > 50) as kept, round(count(*) filter (where value > 50) / count(*), 3) as yield

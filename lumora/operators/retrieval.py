@@ -3,41 +3,67 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STOP = {"of", "in", "and", "with", "for", "a", "an", "to", "who", "are", "is"}
 CITIES = ["new delhi", "mumbai", "pune", "delhi", "bengaluru", "chennai"]
 NICHES = ["food", "fitness", "travel", "fashion", "beauty", "tech"]
-_UNITS = {"k": 1_000, "m": 1_000_000, "lakh": 100_000, "lac": 100_000, "l": 100_000}
+# Units of amounts
+UNITS = {"k": 1_000, "m": 1_000_000, "lakh": 100_000, "lac": 100_000, "l": 100_000}
 _AMOUNT = r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(k|m|lakh|lac|l)?\b(?!\s*%)"
 
 
-def _number(m: re.Match, i: int = 1) -> int:
-    return round(float(m[i].replace(",", "")) * _UNITS.get(m[i + 1] or "", 1))
-
-
-def criteria(request: str, current: dict | None = None) -> dict:
-    """Criteria that a request adds to the current ones."""
-    t, out = request.lower(), dict(current or {})
-    if re.search(r"\b(reset|start over|clear)\b", t):
-        out = {}
-    if m := re.search(rf"between {_AMOUNT}\s*(?:and|to|-)\s*{_AMOUNT}", t):
-        out |= {"min_followers": _number(m), "max_followers": _number(m, 3)}
-    elif m := re.search(rf"\b(?:under|below|less than)\s+{_AMOUNT}", t):
-        out["max_followers"] = _number(m)
-    elif m := re.search(rf"\b(?:over|above|more than|at least)\s+{_AMOUNT}", t):
-        out["min_followers"] = _number(m)
-    if m := re.search(r"([0-9]+(?:\.[0-9]+)?)\s*%", t):
-        out["min_engagement"] = float(m[1]) / 100
-    for key, names in (("city", CITIES), ("niche", NICHES)):
-        found = [n for n in names if re.search(rf"\b{n}\b", t)]
-        if found:
-            out[key] = max(found, key=len)
-    if "brand" in t:
-        out["brand_ready"] = True
-    return out
+class Hint(NamedTuple):
+    """What a request says when the pattern is in it; value: a Column of its text, and the pattern."""
+
+    criterion: str
+    pattern: str
+    value: Callable[[Column, str], Column]
+
+
+def amount(place: int) -> Callable[[Column, str], Column]:
+    """The number in the pattern's group `place` times the unit in the group behind it."""
+
+    def run(text: Column, pattern: str) -> Column:
+        number = F.replace(F.regexp_extract(text, pattern, place), F.lit(","), F.lit("")).cast("double")
+        units = F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv))
+        return F.round(number * F.coalesce(units[F.regexp_extract(text, pattern, place + 1)], F.lit(1))).cast("long").cast("string")
+
+    return run
+
+
+def longest(text: Column, pattern: str) -> Column:
+    """Of all that the pattern finds, the longest; of equal ones the first."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.array_max(F.transform(found, lambda x, i: F.struct(F.length(x), -i, x.alias("x"))))["x"]
+
+
+_BETWEEN = rf"between {_AMOUNT}\s*(?:and|to|-)\s*{_AMOUNT}"
+#: Of the hints for a criterion the first that is in the request holds.
+HINTS = [
+    Hint("min_followers", _BETWEEN, amount(1)),
+    Hint("min_followers", rf"\b(?:over|above|more than|at least)\s+{_AMOUNT}", amount(1)),
+    Hint("max_followers", _BETWEEN, amount(3)),
+    Hint("max_followers", rf"\b(?:under|below|less than)\s+{_AMOUNT}", amount(1)),
+    Hint("min_engagement", r"([0-9]+(?:\.[0-9]+)?)\s*%", lambda t, p: (F.regexp_extract(t, p, 1).cast("double") / 100).cast("string")),
+    Hint("city", rf"\b({'|'.join(CITIES)})\b", longest),
+    Hint("niche", rf"\b({'|'.join(NICHES)})\b", longest),
+    Hint("brand_ready", "brand", lambda t, p: F.lit("true")),
+]
+
+
+def criteria(request: Column, hints: list[Hint] = HINTS) -> Column:
+    """A map of the criteria in a plain-language request; a null request has none."""
+    text = F.lower(F.coalesce(request, F.lit("")))
+    said = []
+    for name in dict.fromkeys(h.criterion for h in hints):
+        values = [F.when(text.rlike(h.pattern), h.value(text, h.pattern)) for h in hints if h.criterion == name]
+        said.append(F.struct(F.lit(name).alias("key"), F.coalesce(*values, F.lit(None).cast("string")).alias("value")))
+    return F.map_from_entries(F.filter(F.array(*said), lambda x: x["value"].isNotNull()))
 
 
 def terms(request: str) -> list[str]:

@@ -32,9 +32,12 @@ def leaves(df: DataFrame, key: str, text: str) -> DataFrame:
         level = inner.select(key, F.concat("path", F.when(F.col("_name").isNull(), "[]").otherwise(F.concat(F.lit("."), "_name"))).alias("path"), F.col("_inner").alias("v"))
 
 
-def null_rates(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, leaves, nulls: by text, how many leaves there are and how many are null."""
-    return leaves(df, key, text).groupBy(key).agg(F.count(F.lit(1)).alias("leaves"), F.count_if(F.col("kind") == "VOID").alias("nulls"))
+def null_rates(df: DataFrame, key: str, text: str, skip: tuple[str, ...] = ()) -> DataFrame:
+    """key, leaves, nulls: by text, how many leaves there are and how many are null, without those below fields named in skip."""
+    found = leaves(df, key, text)
+    for name in skip:
+        found = found.where(~F.concat("path", F.lit(".")).rlike(rf"\.{name}(\[\])*\."))
+    return found.groupBy(key).agg(F.count(F.lit(1)).alias("leaves"), F.count_if(F.col("kind") == "VOID").alias("nulls"))
 
 
 def references(df: DataFrame, key: str, text: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumora.functions import posts as p
-from lumora.operators import inverted, metrics
+from lumora.operators import inverted, metrics, variants
 from lumora.plans.creators import POSTS, posts
 from lumora.plans.registry import Tables, query
 
@@ -213,7 +213,7 @@ LEAVES = """'{"id":' || o_orderkey || ',"state":' || case when o_orderstatus = '
 def null_rate(t: Tables):
     """Null and all leaves of nested results of any shape, without evidence and unknowns."""
     doc = t.orders.select("o_orderkey", F.expr(LEAVES).alias("doc"))
-    return doc.select("o_orderkey", p.null_leaves(F.col("doc")).alias("r")).select("o_orderkey", "r.nulls", "r.leaves")
+    return variants.null_rates(doc, "o_orderkey", "doc", ("evidence", "unknowns")).select("o_orderkey", "nulls", "leaves")
 
 
 @query("""with f as (select item_id, case when item_id % 2 = 0 then '{"items":[{"id":' || item_id || '},{"id":' || item_id + 1000 || '}]}' else '[{"id":' || item_id || '}]' end as doc from benchmark),

@@ -150,13 +150,27 @@ def chat_history_terms(t: Tables):
     return said.select("conv_id", F.size(F.array_distinct(F.filter(F.regexp_extract_all("t", F.lit("[a-z]{3,}"), 0), lambda x: ~x.isin("the", "and", "for")))).cast("long").alias("terms"))
 
 
-REQUESTS = ["food creators in Pune between 10k and 50k", "under 2 lakh, fitness, above 3% engagement", "brand ready travel over 5,000 in new delhi", "reset"]
+#: Requests that messages of users end with, dealt by conversation.
+REQUESTS = ["food creators in Pune between 10k and 50k", "under 2 lakh, fitness, above 3% engagement", "brand ready travel over 5,000 in new delhi", "reset", "at least 1.5m, beauty or tech", "below 900"]
 
 
-@query()
+_SAID = "[" + ", ".join(f"'{x}'" for x in REQUESTS) + "][1 + conv_id % 6]"
+
+
+@query(r"""with r as (select conv_id, turn, lower(coalesce(text, '') || ' ' || SAID) as s from conversations where role = 'user' and conv_id >= 0),
+  m as (select *, regexp_extract(s, 'between ([0-9][0-9,]*(?:\.[0-9]+)?)\s*(k|m|lakh|lac|l)?\b\s*(?:and|to|-)\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(k|m|lakh|lac|l)?\b', ['a', 'ua', 'b', 'ub']) as x,
+    regexp_extract(s, '\b(?:over|above|more than|at least)\s+([0-9][0-9,]*(?:\.[0-9]+)?)\s*(k|m|lakh|lac|l)?\b(\s*%)?', ['a', 'ua', 'pct']) as y, regexp_extract(s, '\b(?:under|below|less than)\s+([0-9][0-9,]*(?:\.[0-9]+)?)\s*(k|m|lakh|lac|l)?\b(\s*%)?', ['a', 'ua', 'pct']) as z from r),
+  n as (select conv_id, turn, 'min_followers' as criterion, case when x.a <> '' then x.a when y.pct = '' then y.a end as num, case when x.a <> '' then x.ua else y.ua end as unit from m
+    union all select conv_id, turn, 'max_followers', case when x.b <> '' then x.b when z.pct = '' then z.a end, case when x.b <> '' then x.ub else z.ua end from m),
+  w as (select conv_id, turn, 'city' as criterion, unnest(regexp_extract_all(s, '\b(new delhi|mumbai|pune|delhi|bengaluru|chennai)\b', 1)) as word from r union all select conv_id, turn, 'niche', unnest(regexp_extract_all(s, '\b(food|fitness|travel|fashion|beauty|tech)\b', 1)) from r)
+  select conv_id, turn, criterion, round(replace(num, ',', '')::double * case unit when 'k' then 1000 when 'm' then 1000000 when 'lakh' then 100000 when 'lac' then 100000 when 'l' then 100000 else 1 end)::bigint::varchar as value from n where num <> ''
+  union all select conv_id, turn, 'min_engagement', (regexp_extract(s, '([0-9]+(?:\.[0-9]+)?)\s*%', 1)::double / 100)::varchar from r where regexp_matches(s, '[0-9]\s*%')
+  union all select conv_id, turn, criterion, arg_max(word, length(word)) from w group by 1, 2, 3 union all select conv_id, turn, 'brand_ready', 'true' from r where contains(s, 'brand')""".replace("SAID", _SAID))
 def nl_criteria(t: Tables):
-    """Criteria of plain-language requests."""
-    return values(t, [(i, k, str(v)) for i, r in enumerate(REQUESTS) for k, v in sorted(retrieval.criteria(r).items())], "request int, criterion string, value string")
+    """Criteria of plain-language requests, one row a criterion, for every message of a user."""
+    request = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.element_at(F.array(*(F.lit(x) for x in REQUESTS)), (1 + F.col("conv_id") % len(REQUESTS)).cast("int")))
+    asked = t.conversations.where("role = 'user' and conv_id >= 0").select("conv_id", "turn", retrieval.criteria(request).alias("c"))
+    return asked.select("conv_id", "turn", F.explode("c").alias("criterion", "value"))
 
 
 @query("select doc_id, n_chars from documents where lower(text) like '%license%' and lang = 'en' and n_chars between 500 and 5000")

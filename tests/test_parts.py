@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumora.functions import posts, scalars
-from lumora.operators import index, latest, metrics, retrieval, tasklog
+from lumora.operators import index, latest, metrics, retrieval, tasklog, variants
 from lumora.sources import records
 from lumora.streaming import activity
 
@@ -47,9 +47,9 @@ def test_empty_series(spark):
     assert tasklog.episodes(none, ["k"], "ts", 10).count() == 0
 
 
-@pytest.mark.parametrize(("text", "want"), [("between 10k and 2 lakh", {"min_followers": 10_000, "max_followers": 200_000}), ("under 1,500 food", {"max_followers": 1500, "niche": "food"}), ("above 3% engagement in New Delhi", {"min_engagement": 0.03, "city": "new delhi"}), ("reset", {}), ("", {})])
-def test_criteria(text, want):
-    assert retrieval.criteria(text) == want
+@pytest.mark.parametrize(("text", "want"), [("between 10k and 2 lakh", {"min_followers": "10000", "max_followers": "200000"}), ("under 1,500 food", {"max_followers": "1500", "niche": "food"}), ("above 3% engagement in New Delhi", {"min_engagement": "0.03", "city": "new delhi"}), ("reset", {}), ("", {}), (None, {}), ("brand, over 1.5m tech or travel", {"brand_ready": "true", "min_followers": "1500000", "niche": "travel"})])
+def test_criteria(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(retrieval.criteria(F.col("t")).alias("c")).first().c == want
 
 
 def test_sources(spark, tmp_path):
@@ -92,4 +92,5 @@ def test_posts(spark):
     assert c(posts.needs_login, "Login here", None) and c(posts.needs_login, None, "please log in to Instagram") and not c(posts.needs_login, None, None)
     assert c(posts.normal, " A_b \t c\n") == "a b c" and c(lambda t: posts.fenced("X", t), "a>>>b<<<") == "<<<X\na›››b‹‹‹\nX>>>"
     assert c(posts.words, "A b-c it's d&co it's") == ["b-c", "it's", "d&co"]
-    assert tuple(c(posts.null_leaves, '{"a":null,"b":[1,null,{"evidence":[null]}]}')) == (2, 3) and tuple(c(posts.null_leaves, "{")) == (None, None)
+    df = spark.createDataFrame([(1, '{"a":null,"b":[1,null,{"evidence":[null]}]}'), (2, "{"), (3, '{"unknowns":null,"x":{"evidence":{"y":null}},"evidences":null}')], "id int, t string")
+    assert {r.id: (r.nulls, r.leaves) for r in variants.null_rates(df, "id", "t", ("evidence", "unknowns")).collect()} == {1: (2, 3), 3: (1, 1)}

@@ -5,6 +5,9 @@ tokens, and is served whole grains of GRAIN tokens while its credit lasts; what
 round. Served grains in a row are one stream, cut every WINDOW tokens: so every window holds the target shares to within a
 grain for each source, and only the last one is padded.
 
+Shares are exact: the corpus's own are its numbers of tokens, and targets are rounded to 2^-40. Sources without a target follow
+after all others.
+
 Rounds need no loop: the credit of a queue after r rounds is r times its share, so the place of any grain in the stream
 follows from the lengths and shares of the queues. A document therefore only needs its place in its queue: tasks count
 tokens by source as they encode, and a table of (partition, source) totals carries these counts, and with them
@@ -31,7 +34,8 @@ WINDOW = 2048
 GRAIN = 128
 MOST_SOURCES = 200_000  # a documented bound: more are refused, never merged
 ROUNDS_QUEUES = 1 << 20  # numbers held at once for rounds times queues
-UNIT = 1 << 16  # shares are whole numbers that add up to about this
+UNIT = 1 << 40  # target shares are whole numbers that add up to about this; the corpus's own are its numbers of tokens
+MOST_ROUNDS = 1 << 60
 
 
 def _encode(path: str, kind: str, end_id: int | None):
@@ -54,21 +58,56 @@ def _encode(path: str, kind: str, end_id: int | None):
     return run
 
 
+def ratio(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """floor(a * b / c) exactly, for products beyond 64 bits and quotients within them, where c and |a * b| / 2^50 are below 2^62.
+
+    The estimate in doubles is off by less than 2^-50 of itself, so what is left of the product fits in 64 bits, where
+    products that wrap differ by the right number.
+    """
+    guess = np.floor(a.astype(float) * (b / c)).astype(np.int64)
+    return guess + (a * b - guess * c) // c
+
+
 class Schedule:
-    """Places of grains in the stream, for queues of given lengths and shares."""
+    """Places of grains in the stream, for queues of given lengths and shares (whole numbers, at most 2^50 together).
+
+    Queues without a share, and such as would outlast MOST_ROUNDS, follow after all others, by shares of their lengths.
+    """
 
     def __init__(self, lengths: list[int], shares: list[int], grain: int, window: int):
-        self.lengths, self.shares = np.array(lengths, np.int64), np.array(shares, np.int64)
-        self.grain, self.window, self.unit = grain, window, int(self.shares.sum())
-
-    def served(self, rounds: np.ndarray) -> np.ndarray:
-        """Tokens of each queue (columns) that are served in so many rounds (rows)."""
-        # rounds * shares * window may exceed 64 bits; whole turns of `unit` rounds give whole credits
-        turns, rest = rounds[:, None] // self.unit, rounds[:, None] % self.unit
-        each = self.shares[None, :] * self.window
-        credit = turns * each + rest * each // self.unit
-        whole = -(-self.lengths // self.grain) * self.grain
-        return np.minimum(np.minimum(credit // self.grain * self.grain, whole[None, :]), self.lengths[None, :])
+        self.lengths, self.grain, self.window = np.array(lengths, np.int64), grain, window
+        unit = sum(shares)
+        last = np.array([s <= 0 or n * unit >= s * window * MOST_ROUNDS for n, s in zip(lengths, shares, strict=True)], bool)
+        own = np.where(last, self.lengths, np.array(shares, np.int64))
+        self.turns = [(q, own[q], before) for q, before in ((np.flatnonzero(~last), 0), (np.flatnonzero(last & (self.lengths > 0)), int(self.lengths[~last].sum()))) if len(q)]
+
+    def served(self, rounds: np.ndarray, queues: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        """Tokens of each queue (columns) that are served in so many rounds (rows): whole grains, and the rest with the last of them."""
+        length, unit, each = self.lengths[queues][None, :], shares.sum(), (shares * self.window)[None, :]
+        ended = rounds[:, None] * (each / unit) > 2.0 * length + self.window  # far beyond it, where a product has too many bits
+        credit = ratio(np.where(ended, 0, rounds[:, None]), each, unit)
+        return np.where(ended | (credit >= length), length, credit // self.grain * self.grain)
+
+    def places(self, queue: np.ndarray, grain: np.ndarray) -> np.ndarray:
+        """Where the grains of the given numbers of their queues start."""
+        place = grain * self.grain
+        for queues, shares, before in self.turns:
+            column = np.full(len(self.lengths), -1)
+            column[queues] = np.arange(len(queues))
+            mine = np.flatnonzero(column[queue] >= 0)
+            if not len(mine):
+                continue
+            q = column[queue[mine]]
+            # served in the first round r after which the credit r * share * window / unit reaches the grain's end
+            end = np.minimum((grain[mine] + 1) * self.grain, self.lengths[queue[mine]])
+            distinct, at = np.unique(-ratio(-end, shares.sum(), shares[q] * self.window), return_inverse=True)
+            step, order = max(1, ROUNDS_QUEUES // len(queues)), np.argsort(at, kind="stable")
+            for a in range(0, len(distinct), step):
+                after, until = (self.served(distinct[a : a + step] - x, queues, shares) for x in (0, 1))
+                left, right = np.cumsum(after, 1) - after, until[:, ::-1].cumsum(1)[:, ::-1] - until
+                own = order[np.searchsorted(at, a, sorter=order) : np.searchsorted(at, a + step, sorter=order)]
+                place[mine[own]] += before + left[at[own] - a, q[own]] + right[at[own] - a, q[own]]
+        return place
 
     def pieces(self, queue: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For runs of tokens at `start` of their queues: (run, start in the run, length, place in the stream) of each piece."""
@@ -76,17 +115,7 @@ class Schedule:
         first, last = start // g, (start + size - 1) // g
         run = np.repeat(np.arange(len(size)), last - first + 1)
         grain = np.arange(len(run)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[run]
-        q = queue[run]
-        # served in the first round r after which the credit r * share * window / unit reaches the grain's end
-        rounds = -(-(grain + 1) * g * self.unit // (self.shares[q] * self.window))
-        distinct, at = np.unique(rounds, return_inverse=True)
-        place = grain * g
-        step, order = max(1, ROUNDS_QUEUES // len(self.shares)), np.argsort(at, kind="stable")
-        for a in range(0, len(distinct), step):
-            after, before = self.served(distinct[a : a + step]), self.served(distinct[a : a + step] - 1)
-            left, right = np.cumsum(after, 1) - after, before[:, ::-1].cumsum(1)[:, ::-1] - before
-            own = order[np.searchsorted(at, a, sorter=order) : np.searchsorted(at, a + step, sorter=order)]
-            place[own] += left[at[own] - a, q[own]] + right[at[own] - a, q[own]]
+        place = self.places(queue[run], grain)
         a, b = np.maximum(grain * g, start[run]), np.minimum((grain + 1) * g, (start + size)[run])
         place, begin, n = place + a - grain * g, a - start[run], b - a
         # neighbours in the stream are one piece
@@ -138,8 +167,11 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int | None
         raise ValueError(f"more than {MOST_SOURCES} sources")
     if mixture and not any(mixture.get(q["queue"], 0) > 0 for q in queues):
         raise ValueError("the mixture names none of the sources")
-    wanted = [float(mixture.get(q["queue"], 0)) if mixture else float(q["tokens"]) for q in queues]
-    shares = [max(1, round(UNIT * x / max(sum(wanted), 1e-300))) for x in wanted]
+    if mixture:
+        wanted = [max(0.0, float(mixture.get(q["queue"], 0))) for q in queues]
+        shares = [max(1, round(UNIT * (x / sum(wanted)))) if x else 0 for x in wanted]
+    else:
+        shares = [q["tokens"] for q in queues]
     schedule = Schedule([q["tokens"] for q in queues], shares, grain, window)
     number = {q["queue"]: i for i, q in enumerate(queues)}
     key = (F.col("e.part") == F.col("b.part")) & F.col("e.queue").eqNullSafe(F.col("b.queue"))

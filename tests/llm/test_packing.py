@@ -100,3 +100,41 @@ def test_windows_hold_the_shares():
         run, begin, n, place = s.pieces(np.array([q]), np.array([0]), s.lengths[[q]])
         np.add.at(got[:, q], place // 1000, n)
     assert (got.sum(1) == 1000).all() and (np.abs(got - [100, 300, 600]) <= 48).all()
+
+
+def test_ratio_is_exact_beyond_64_bits():
+    r = random.Random(3)
+    a, b, c = ([r.randrange(1, 1 << k) for _ in range(4000)] for k in (50, 50, 60))
+    a[:2000] = [-x for x in a[:2000]]
+    c[1000:3000] = [r.randrange(1 << 40, 1 << 50) for _ in range(2000)]
+    want = [x * y // z for x, y, z in zip(a, b, c, strict=True)]
+    ok = [i for i, w in enumerate(want) if abs(w) < 1 << 61 and abs(a[i] * b[i]) < 1 << 111]
+    got = packing.ratio(*(np.array(x, np.int64)[ok] for x in (a, b, c)))
+    assert len(ok) > 3000 and got.tolist() == [want[i] for i in ok]
+
+
+def test_many_small_sources_leave_a_large_one_its_share():
+    small = np.random.default_rng(1).integers(1, 400, 100_000)
+    large = 9 * int(small.sum())  # 0.90 of all tokens
+    total = large + int(small.sum())
+    s = packing.Schedule([large, *small.tolist()], [large, *small.tolist()], 128, 2048)
+    # the large queue's place lags behind its share by what small queues were served; all queues end in the last round
+    grain = np.arange(0, large // 128, 997)
+    place = s.places(np.zeros(len(grain), np.int64), grain)
+    rounds = place // 2048 + 1
+    assert (grain * 128 >= (rounds - 1) * 2048 * 0.9 - 2048 - 128).all()
+    q = np.arange(1, 100_001)
+    ends = s.places(q, (small - 1) // 128) + small - (small - 1) // 128 * 128
+    assert ends.max() <= total and len(np.unique(ends)) == len(ends)
+    last = s.served(np.array([-(-total // 2048) - 1, -(-total // 2048)]), np.arange(100_001), s.turns[0][1])
+    assert last[1].sum() == total and (last[0] < s.lengths).all()
+
+
+def test_sources_without_a_target_follow():
+    s = packing.Schedule([1000, 5000, 300, 0], [0, 7, 0, 0], 16, 100)
+    queue, start = np.array([0, 1, 2]), np.zeros(3, np.int64)
+    run, begin, n, place = s.pieces(queue, start, np.array([1000, 5000, 300]))
+    used = np.zeros(6300, int)
+    for a, m in zip(place.tolist(), n.tolist(), strict=True):
+        used[a : a + m] += 1
+    assert (used == 1).all() and place[run == 1].max() < 5000 <= place[run != 1].min()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumora.functions import scalars
-from lumora.operators import retrieval, signals
+from lumora.operators import dictionary, pagelines, retrieval, signals
 from lumora.plans.registry import Tables, query
 
 
@@ -182,3 +182,53 @@ def search_documents(t: Tables):
 def ai_evidence(t: Tables):
     low = F.lower("text")
     return t.documents.select("doc_id", F.when(low.rlike("ai[- ]generated|midjourney|synthetic"), "high").when(low.rlike(r"\btoken\b"), "low").otherwise("none").alias("label"), F.col("text").rlike(r"#ad\b|sponsored").alias("disclosed"))
+
+
+@query(r"""with w as (select item_id, word, lead(word) over (partition by item_id order by nth) as next from (select item_id, unnest(range(len(ws))) as nth, unnest(ws) as word from (select item_id, regexp_extract_all(lower(text), '[a-z]+') as ws from benchmark))),
+  o as (select stem, arg_min(niche, (place, niche)) as niche from (select word as stem, 'topic ' || item_id % 8 as niche, item_id as place from w where length(word) > 2 union all select word || ' ' || next, 'topic ' || item_id % 8, item_id from w where next is not null union all select lower(p_name), 'goods', 1099511627776 from part) group by 1),
+  d as (select doc_id, lower(coalesce(text, '')) || ' #' || regexp_replace(lower(coalesce(substr(text, 1, 24), '')), '[^a-z0-9_]+', '', 'g') as t from documents),
+  k as (select doc_id, unnest(range(len(ts))) as nth, unnest(ts) as tok from (select doc_id, regexp_extract_all(t, '[a-z]+|[^a-z]+') as ts from d)),
+  x as (select doc_id, nth // 2 as nth, tok, case when lead(tok) over (partition by doc_id order by nth) = ' ' then tok || ' ' || lead(tok, 2) over (partition by doc_id order by nth) end as two from k qualify regexp_matches(tok, '^[a-z]')),
+  p as (select doc_id, nth, niche, nth - row_number() over (partition by doc_id order by nth) as run from x join o on o.stem = x.two),
+  y as (select doc_id, nth, niche from (select *, min(nth) over (partition by doc_id, run) as head from p) where (nth - head) % 2 = 0),
+  one as (select x.doc_id, o.niche from x join o on o.stem = x.tok anti join (select doc_id, nth from y union all select doc_id, nth + 1 from y) z on z.doc_id = x.doc_id and z.nth = x.nth),
+  g as (select doc_id, unnest(range(len(tags))) as nth, unnest(tags) as tag from (select doc_id, regexp_extract_all(t, '#([a-z0-9_]+)', 1) as tags from d)),
+  b as (select doc_id, niche from g join o on contains(tag, stem) and length(stem) >= 4 and not contains(stem, ' ') qualify row_number() over (partition by doc_id, nth order by length(stem) desc, stem) = 1),
+  f as (select doc_id, niche, count(*) as n from (select doc_id, niche from y union all select * from one union all select * from b) group by 1, 2)
+  select doc_id, niche, coalesce(n, 0) as score from documents cross join (select distinct niche from o) left join f using (doc_id, niche)""")
+def niche_dictionary_scan(t: Tables):
+    """Scores of all niches of a dictionary for every document and a hashtag of its first words.
+
+    The dictionary has the words of benchmark items and their neighbours, an item's topic each, and the names of parts.
+    """
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, F.when(b.isNotNull(), b)))
+    topic = F.concat(F.lit("topic "), F.col("item_id") % 8)
+    items = t.benchmark.select("item_id", topic.alias("niche"), words.alias("w")).select(F.col("item_id").alias("place"), "niche", F.explode(F.array_distinct(F.concat(F.filter("w", lambda x: F.length(x) > 2), F.filter(pairs, lambda x: x.contains(" "))))).alias("stem"))
+    goods = t.part.select(F.lit(1 << 40).alias("place"), F.lit("goods").alias("niche"), F.lower("p_name").alias("stem")).distinct()
+    owners = items.union(goods).groupBy("stem").agg(F.min_by("niche", F.struct("place", "niche")).alias("niche"))
+    terms = dictionary.Dictionary(tuple(r) for r in owners.select("stem", "niche").limit(dictionary.MOST_STEMS + 1).collect())  # a bounded parameter
+    tag = F.regexp_replace(F.lower(F.coalesce(F.substring("text", 1, 24), F.lit(""))), "[^a-z0-9_]+", "")
+    return terms.scores(t.documents.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" #"), tag).alias("text")), "doc_id", "text")
+
+
+@query(r"""with a as (select page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) as handle, nullif(trim(split_part(regexp_extract(html, '<title>([^<]*)</title>', 1), '(', 1)), '') as name,
+    len(regexp_extract_all(html, '<p>')) as posts, length(html) as size, len(regexp_extract_all(html, '<a ')) as links, replace(html, '<footer', chr(10) || url || chr(10) || '<footer') as html from pages),
+  b as (select *, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head.*?</head>|<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '(?i)</?(address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') as plain from a),
+  c as (select *, [x for x in [regexp_replace(y, '^\s+|\s+$', '', 'g') for y in string_split(handle || chr(10) || coalesce(name, '') || chr(10) || format('{:,}', posts) || ' posts' || chr(10) || format('{:,}', size) || ' followers' || chr(10) || links || ' following' || chr(10) || plain, chr(10))] if x <> ''] as lines from b),
+  d as (select *, lines[coalesce(list_max([i for x, i in lines if regexp_matches(x, '(?i)^[0-9][0-9.,]*\s*[km]?\s*(posts?|followers?|following)$')]), 0) + 1:] as rest from c),
+  e as (select *, [lower(x) in (lower(handle), lower(coalesce(name, ''))) or regexp_matches(x, '(?i)^(follow|following|message|contact|email|call|directions|book now|order food|view shop|edit profile|share profile|options|follow back|subscribe|see translation|more)$') for x in rest] as skip from d),
+  f as (select *, case when len(rest) > 0 and not skip[1] and not regexp_matches(lower(rest[1]), '^(followed by|threads)') and regexp_matches(rest[1], '^[A-Z][A-Za-z &/,()''.-]{2,40}$') then rest[1] end as label from e),
+  g as (select *, list_min([case when regexp_matches(lower(x), '^(followed by|threads)') then i - 1 else i end for x, i in rest if not skip[i] and not (i = 1 and label is not null) and (regexp_matches(lower(x), '^(followed by|threads)|^(https?://|www\.|[a-z0-9_-]+\.(com|in|me|link|ee|bio)\b)') or regexp_matches(x, '\band [0-9]+ more$'))]) as until from f),
+  h as (select *, nullif(regexp_replace(array_to_string([regexp_replace(x, '\s*\.\.\.\s*$', '') for x, i in rest if not skip[i] and not (i = 1 and label is not null) and i <= coalesce(until, len(rest))], chr(10)), '^\s+|\s+$', '', 'g'), '') as bio from g)
+  select page_id, handle, name as display_name, bio, label as category_label, business as is_business, size as followers, links as following, posts, contains(lower(coalesce(bio, '') || ' ' || array_to_string(lines, ' ')), 'verified') as is_verified,
+    contains(lower(coalesce(bio, '') || ' ' || array_to_string(lines, ' ')), 'private account') as is_private, case when business then 'business' else label end as account_type from (select *, coalesce(regexp_matches(lower(label), 'restaurant|cafe|café|bakery|\bbar\b|pub|brewery|hotel|resort|store|shop|retail|brand|company|product/service|local business|agency|advertising|marketing|media|news|school|college|university|academy|education|clinic|hospital|salon|spa\b|boutique|caterer|catering|event planner|organization|nonprofit|community|e-commerce|real estate|travel company|tour agency|gym/physical fitness center|food & beverage|grocery|supermarket'), false) as business from h)""")
+def profile_header_fields(t: Tables):
+    """Profile fields from the lines of every page below its host, title and counts (paragraphs, characters, links); the page's address ends the text about it, before the footer."""
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    count = lambda n, what: F.concat(F.format_number(n, 0), F.lit(f" {what}"))
+    html = F.replace("html", F.lit("<footer"), F.concat(F.lit("\n"), F.col("url"), F.lit("\n<footer")))
+    top = [host, pagelines.display_name(title), count(F.regexp_count("html", F.lit("<p>")), "posts"), count(F.length("html"), "followers"), F.concat(F.regexp_count("html", F.lit("<a ")).cast("string"), F.lit(" following"))]
+    own = t.pages.select("page_id", host.alias("handle"), pagelines.display_name(title).alias("display_name"), pagelines.lines(F.concat_ws("\n", *top, pagelines.plain(html))).alias("lines"))
+    return pagelines.profiles(own)

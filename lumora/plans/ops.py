@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumora.functions import scalars
 from lumora.operators import latest, lineage, pacing, quantiles, ranges, tables, tasklog, variants
 from lumora.plans.registry import Tables, query
+from lumora.sources import byteranges, records
 from lumora.streaming import activity, alerts, materialise
 
 def k_of_props():
@@ -296,3 +297,28 @@ def event_props_walk(t: Tables):
     """The leaves of the payloads of all events."""
     found = variants.leaves(t.events, "event_id", "props")
     return found.groupBy("event_id").agg(F.max(F.when(F.col("path") == "$.k", F.col("value").cast("long"))).alias("k"), F.count(F.lit(1)).cast("int").alias("leaves"))
+
+
+@query("""with r as (select doc_id, source || doc_id as username, doc_id % 10 = 3 as cut, doc_id % 10 = 7 as private, doc_id % 10 = 9 as other, coalesce(text, '') as text, n_chars from documents)
+  select case when not cut then username end as username, case when not cut then length(text) end as chars, case when not cut then n_chars end as followers, list_filter([case when cut then 'not_json' end, case when cut then 'no_platform' end, case when cut or private then 'not_public' end,
+    case when other then 'url_is_not_username' end, case when cut or other then 'no_zone' end], lambda x: x is not null) as reasons, count(*) as n from r group by all""")
+def resumed_ingest(t: Tables):
+    """Documents as JSON lines, some cut or wrong, read in batches by byte offset: half of them, then, by a new run of the stream, the rest."""
+    folder = tables.shared_folder(t.spark, "lines")
+    rest = F.col("doc_id") % 10
+    name = F.concat("source", F.col("doc_id").cast("string"))
+    record = F.struct(F.lit("p").alias("platform"), name.alias("username"), F.concat(F.lit("https://x.example/"), F.when(rest == 9, "other").otherwise(name)).alias("profile_url"), (rest == 7).alias("is_private"), F.when(rest == 9, "2024-01-01").otherwise("2024-01-01T00:00:00Z").alias("observed_at"), F.col("n_chars").cast("int").alias("follower_count"), F.coalesce("text", F.lit("")).alias("category"))
+    json = F.to_json(record)
+    line = F.when(rest == 3, F.substring(json, 1, 40)).otherwise(json)
+    for half in range(2):
+        t.documents.where(F.col("doc_id") % 2 == half).select(line.alias("value")).write.mode("append").text(f"{folder}/in")
+        size = sum(byteranges.sizes(f"{folder}/in").values())
+        # a few batches a run
+        stream = byteranges.follow(t.spark, f"{folder}/in", min(byteranges.RANGE_BYTES, max(1, size // 16)), min(byteranges.BATCH_BYTES, max(1, size // 2)))
+        run = stream.writeStream.format("parquet").option("path", f"{folder}/lines").option("checkpointLocation", f"{folder}/checkpoint").start()
+        try:
+            run.processAllAvailable()
+        finally:
+            run.stop()
+    read = records.candidates(t.spark.read.schema(byteranges.LINES).parquet(f"{folder}/lines"), "line")
+    return read.select("username", F.length("category").cast("long").alias("chars"), F.col("follower_count").cast("long").alias("followers"), "reasons").groupBy("username", "chars", "followers", "reasons").agg(F.count(F.lit(1)).alias("n"))

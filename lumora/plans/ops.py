@@ -300,8 +300,8 @@ def event_props_walk(t: Tables):
 
 
 @query("""with r as (select doc_id, source || doc_id as username, doc_id % 10 = 3 as cut, doc_id % 10 = 7 as private, doc_id % 10 = 9 as other, coalesce(text, '') as text, n_chars from documents)
-  select case when not cut then username end as username, case when not cut then length(text) end as chars, case when not cut then n_chars end as followers, list_filter([case when cut then 'not_json' end, case when cut then 'no_platform' end, case when cut or private then 'not_public' end,
-    case when other then 'url_is_not_username' end, case when cut or other then 'no_zone' end], lambda x: x is not null) as reasons, count(*) as n from r group by all""")
+  select case when not cut then username end as username, case when not cut then length(text) end as chars, case when not cut then n_chars end as followers, coalesce(array_to_string(list_filter([case when cut then 'not_json' end, case when cut then 'no_platform' end, case when cut or private then 'not_public' end,
+    case when other then 'url_is_not_username' end, case when cut or other then 'no_zone' end], lambda x: x is not null), ';'), '') as reasons, count(*) as n from r group by all""")
 def resumed_ingest(t: Tables):
     """Documents as JSON lines, some cut or wrong, read in batches by byte offset: half of them, then, by a new run of the stream, the rest."""
     folder = tables.shared_folder(t.spark, "lines")
@@ -321,4 +321,4 @@ def resumed_ingest(t: Tables):
         finally:
             run.stop()
     read = records.candidates(t.spark.read.schema(byteranges.LINES).parquet(f"{folder}/lines"), "line")
-    return read.select("username", F.length("category").cast("long").alias("chars"), F.col("follower_count").cast("long").alias("followers"), "reasons").groupBy("username", "chars", "followers", "reasons").agg(F.count(F.lit(1)).alias("n"))
+    return read.select("username", F.length("category").cast("long").alias("chars"), F.col("follower_count").cast("long").alias("followers"), F.array_join("reasons", ";").alias("reasons")).groupBy("username", "chars", "followers", "reasons").agg(F.count(F.lit(1)).alias("n"))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumora.llm.common import by_bytes, staged
+from lumora.llm.common import by_bytes, release, staged
 from lumora.llm.tokens import encoder
 
 WINDOW = 2048
@@ -40,8 +40,9 @@ MOST_ROUNDS = 1 << 60
 
 def _encode(path: str, kind: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what the worker has freed since its last task; the encoder's own memory stays
         e, part, place, row = encoder(path, kind), TaskContext.get().partitionId(), {}, 0
-        for batch in by_bytes(batches, "text", 4 << 20, give_back=False):
+        for batch in by_bytes(batches, "text", 2 << 20, give_back=False):
             ids, n = e.encode(batch.column("text"))
             ids, cuts, out, starts, sizes = ids.astype("<u4"), np.concatenate([[0], np.cumsum(n)]).tolist(), [], [], []
             tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()

@@ -33,6 +33,32 @@ def test_slices_fold_like_the_whole_log(spark, slice_s):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("few", [0, 200, pacing.FEW])
+def test_workers_of_many_requests_are_sliced(spark, few):
+    """All workers in slices, the larger ones only, none; slices that go on over Arrow batches."""
+    rng, rows = random.Random(few), []
+    for w, n in enumerate([450, 30, 1, 201, 200]):
+        t = 0
+        for i in range(n):
+            t += rng.choice([0, 1, 40, 290, 310])
+            rows.append((f"w{w}", t, rng.random() < 0.05, i))
+    df = spark.createDataFrame(rows, "w string, s long, bad boolean, i long").repartition(5).withColumn("ts", F.timestamp_seconds("s"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {r.w: (r.pace, r.paused_until) for r in pacing.pace(df, "w", "ts", F.col("bad"), "i", 3600, few).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute(rows)
+
+
+def test_a_call_is_not_made_for_each_slice(spark):
+    """Thousands of workers with few requests, as in a large log, meet in few summaries."""
+    df = spark.range(60_000).select((F.col("id") % 3000).alias("w"), (F.col("id") * 1000).alias("s"), (F.col("id") % 7 == 0).alias("bad"), F.col("id").alias("i")).withColumn("ts", F.timestamp_seconds("s"))
+    out = pacing.pace(df, "w", "ts", F.col("bad"), "i")
+    assert out.count() == 3000
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_maps_compose():
     rng = random.Random(1)
     for _ in range(200):

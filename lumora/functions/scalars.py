@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Base-64 alphabet of short codes.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
 
+#: Pattern of the edges of words of A-Z, a-z, 0-9 and _, whatever letters are beside them: what \b is differs by engine.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
 
 def parse_count(text: Column) -> Column:
     """"1.2K", "3M", "12,345", "2 lakh" to a number; null if it is none."""

@@ -1,6 +1,6 @@
 """Inverted index with impact-ordered posting lists, and the k best texts of each of many requests.
 
-The index is written once, in segments of some thousand texts: for each word the texts that hold it in tiers by impact, those
+The index is written once, in segments of some ten thousand texts: for each word the texts that hold it in tiers by impact, those
 that repeat it most first. A word's impact is its weight times min(repeats, TIERS); weights are whole numbers that fall with the
 number of texts that hold the word, so sums are exact. A request reads its tiers by falling impact into the scores of a segment.
 Once the largest impacts of what is unread add up to less than the k-th best score, no new text can enter: texts seen so far
@@ -14,6 +14,7 @@ Nulls: a null text or request has no words. Equal scores go by ascending key, nu
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from math import floor, log
@@ -28,7 +29,7 @@ from lumora.operators import tables
 TIERS = 3  # repeats beyond it do not count
 WORD = "[a-zà-öø-ÿऀ-ൿ]{3,}"
 BLOCK = 20_000  # requests at once
-SEGMENT = 4 << 20  # characters of text of a segment, about
+SEGMENT = 64 << 20  # characters of text of a segment, about: each request has a cost for each segment, whatever it holds
 _NONE = np.iinfo(np.int64).max
 _INDEX = pa.schema([("keys", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), *((f"n{i}", pa.list_(pa.int32())) for i in range(TIERS)), ("places", pa.list_(pa.int32()))])
 INDEX = f"keys array<bigint>, words array<string>, {', '.join(f'n{i} array<int>' for i in range(TIERS))}, places array<int>"
@@ -41,11 +42,15 @@ def words(text: str | None) -> list[str]:
 def index(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Segments, written: keys of the texts; words; by word and tier (most repeats first) how many texts; their places in keys."""
 
-    def segment(keys: list, lists: dict[str, list[list[int]]]) -> pa.RecordBatch:
+    def segment(keys: list, lists: dict[str, list[array]]) -> pa.RecordBatch:
         own = sorted(lists)
         tiers = [[len(lists[w][i]) for w in own] for i in range(TIERS)]
-        places = [p for w in own for tier in lists[w] for p in tier]
-        return pa.RecordBatch.from_pydict({"keys": [keys], "words": [own], **{f"n{i}": [n] for i, n in enumerate(tiers)}, "places": [places]}, schema=_INDEX)
+        places = array("i")
+        for w in own:
+            for tier in lists[w]:
+                places.extend(tier)
+        places = pa.ListArray.from_arrays(pa.array([0, len(places)], pa.int32()), pa.array(np.frombuffer(places, np.int32) if places else [], pa.int32()))
+        return pa.RecordBatch.from_pydict({"keys": [keys], "words": [own], **{f"n{i}": [n] for i, n in enumerate(tiers)}, "places": places}, schema=_INDEX)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, lists, size = [], {}, 0
@@ -53,7 +58,7 @@ def index(texts: DataFrame, key: str, text: str) -> DataFrame:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = t.as_py() or ""
                 for w, n in Counter(words(t)).items():
-                    lists.setdefault(w, [[] for _ in range(TIERS)])[TIERS - min(n, TIERS)].append(len(keys))
+                    lists.setdefault(w, [array("i") for _ in range(TIERS)])[TIERS - min(n, TIERS)].append(len(keys))
                 keys.append(k)
                 size += len(t)
                 if size >= SEGMENT:
@@ -101,17 +106,17 @@ class Segment:
         turn = sorted(((weight * (TIERS - i), j, i) for j, (weight, _, _) in enumerate(own) for i in range(TIERS)), key=lambda x: (-x[0], x[1]))
         least = -heap[-1][0] if len(heap) == k else 1
         unread = [weight * TIERS for weight, _, _ in own]  # the most that each word can still add to a text
-        score, done = np.zeros(len(self.keys), np.int64), 0
+        score, done, left = np.zeros(len(self.keys), np.int64), 0, sum(unread)
         for impact, j, i in turn:
-            if sum(unread) < least:
+            if left < least:
                 break
             at = self.tier(own[j][1], i)
             score[at] += impact
-            unread[j] = own[j][0] * (TIERS - i - 1)
+            left -= own[j][0]
             done += 1
-            if done % 8 == 0 and np.count_nonzero(score) >= k:
+            if done % 8 == 0 and left < score.max() and np.count_nonzero(score) >= k:
                 least = max(least, int(np.partition(score, len(score) - k)[-k]))  # scores so far are bounds from below
-        some = np.flatnonzero((score > 0) & (score + sum(unread) >= least))
+        some = np.flatnonzero((score > 0) & (score + left >= least))
         for impact, j, i in turn[done:] if len(some) else []:
             at = self.tier(own[j][1], i)
             if len(at):
@@ -119,12 +124,21 @@ class Segment:
                 score[some] += np.where(at[place] == some, impact, 0)
         some = some[score[some] >= least]
         order = some[np.lexsort((self.keys[some], -score[some]))][:k]
-        found = [(-int(score[p]), int(self.keys[p]), self._held(own, p)) for p in order]
-        return sorted(heap + found, key=lambda x: x[:2])[:k]
-
-    def _held(self, own: list, place: int) -> list[str]:
-        lists = ((w, [self.tier(j, i) for i in range(TIERS)]) for _, j, w in own)
-        return sorted(w for w, tiers in lists if any(len(t) and t[min(np.searchsorted(t, place), len(t) - 1)] == place for t in tiers))
+        found = [(-int(score[p]), int(self.keys[p]), int(p)) for p in order]
+        kept = sorted(heap + found, key=lambda x: x[:2])[:k]
+        held = self._held(own, [x[2] for x in kept if isinstance(x[2], int)])
+        return [(s, key, held[x] if isinstance(x, int) else x) for s, key, x in kept]
+
+    def _held(self, own: list, places: list[int]) -> dict[int, list[str]]:
+        """By place of a text: the request's words in it."""
+        out: dict[int, list[str]] = {p: [] for p in places}
+        some = np.array(places, np.int32)
+        for w, j in sorted((w, j) for _, j, w in own) if places else []:
+            for i in range(TIERS):
+                if len(at := self.tier(j, i)):
+                    for p in some[at[np.minimum(np.searchsorted(at, some), len(at) - 1)] == some]:
+                        out[int(p)].append(w)
+        return out
 
 
 def answer(segments: DataFrame, requests: DataFrame, ids: list[str], text: str, k: int = 8, block: int = BLOCK) -> DataFrame:

@@ -51,3 +51,17 @@ def test_lists_are_left_unread(spark):
     read.clear()
     assert segment.best([("rare", 1), ("word", 1)], [(-10, -i, []) for i in range(8)][::-1], 8)[0][0] == -10
     assert read == []
+
+
+def test_one_segment_of_many_texts(spark):
+    """Requests meet few large segments; a text's words are looked up once it has entered the best."""
+    texts = [(i, f"word w{'abcdefghij'[i % 10] * 3} w{'abcdefghij'[i // 10 % 10] * 4}" + " filler" * 300) for i in range(3000)]
+    segments = inverted.index(spark.createDataFrame(texts, "id long, t string").coalesce(1), "id", "t")
+    assert segments.count() == 1
+    segment = inverted.Segment(segments.toArrow().to_batches()[0])
+    asked: list[int] = []
+    held = segment._held
+    segment._held = lambda own, places: (asked.append(len(places)), held(own, places))[1]
+    best = segment.best([("waaa", 5), ("wbbbb", 4), ("word", 1)], [(-100, -1, ["x"]), (-99, -2, ["y"])], 4)
+    assert best == [(-100, -1, ["x"]), (-99, -2, ["y"]), (-10, 10, ["waaa", "wbbbb", "word"]), (-10, 110, ["waaa", "wbbbb", "word"])]
+    assert asked == [2]

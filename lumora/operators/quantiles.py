@@ -10,6 +10,8 @@ Nulls of the value are skipped; a null group is a group. Nothing is interpolated
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +29,21 @@ def _slices(df: DataFrame, group: list[str], value: str, large: int, slices: int
     own = counts.groupBy("_g").agg(F.count(F.lit(1)).alias("_values"))
     points = F.percentile_approx("_v", [i / slices for i in range(1, slices)], 10 * slices).alias("_cuts")
     cuts = tables.written(counts.join(own.where(F.col("_values") > large), "_g", "left_semi").groupBy("_g").agg(points), "cuts")
-    # how many cut points lie below the value
-    cut = counts.join(cuts, "_g", "left").withColumn("_slice", F.coalesce(F.size(F.filter("_cuts", lambda x: x < F.col("_v"))), F.lit(0))).drop("_cuts")
+    step = isqrt(slices) or 1
+    heads = F.filter("_cuts", lambda x, i: i % step == step - 1).alias("_heads")
+    cut = tables.written(counts.join(F.broadcast(cuts.select("_g", "_cuts", heads)), "_g", "left").withColumn("_slice", F.coalesce(_below(step), F.lit(0))).drop("_cuts", "_heads"), "cut")  # a row a large group
     sums = cut.groupBy("_g", "_slice").agg(F.sum("_n").alias("_rows"))
     by_group = Window.partitionBy("_g")  # `slices` rows a group
     before = F.coalesce(F.sum("_rows").over(by_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return cut, sums.withColumn("_begin", before).withColumn("_total", F.sum("_rows").over(by_group))
 
 
+def _below(step: int) -> Column:
+    """How many of _cuts lie below _v: by every step-th of them, _heads, then by those behind the last such one that does."""
+    head = F.size(F.filter("_heads", lambda x: x < F.col("_v"))) * step
+    return F.when(F.col("_cuts").isNotNull(), head + F.size(F.filter(F.slice("_cuts", head + 1, F.lit(step)), lambda x: x < F.col("_v"))))
+
+
 def _ranked(cut: DataFrame, slices: DataFrame) -> DataFrame:
     """Counts with _below, the rows of the group with a smaller value."""
     inside = Window.partitionBy("_g", "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)

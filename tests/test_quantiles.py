@@ -40,3 +40,13 @@ def test_slices_of_a_hot_group_are_even(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "g string, v double")
     assert quantiles.quantile(df, ["g"], "v").collect() == quantiles.share_below(df, ["g"], "v", "s").collect() == []
+
+
+@pytest.mark.parametrize("cuts", [[], [3.0], [1.0, 1.0, 2.0], [float(i // 2) for i in range(31)], [float(i) for i in range(511)]])
+def test_slices_by_few_comparisons(spark, cuts):
+    """As many cut points below each value as a look at all of them counts, by about twice the root of their number."""
+    step = 22
+    df = spark.createDataFrame([(v / 2,) for v in range(-1, 1100)], "_v double").crossJoin(spark.createDataFrame([(cuts, cuts[step - 1 :: step])], "_cuts array<double>, _heads array<double>"))
+    assert all(r.n == sum(c < r._v for c in cuts) for r in df.withColumn("n", quantiles._below(step)).collect())
+    plan = quantiles._slices(df.select("_v"), [], "_v", 10, 512)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # slices are written once, not found anew by each reader

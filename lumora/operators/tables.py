@@ -24,3 +24,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+ROWS = 500_000  # of a task, about
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df of about `rows` rows, by keys in as many partitions as keep a task's sorts small; a small table as it is.
+
+    Spark's own number of partitions is fixed, and it merges them by their compressed size, which says little of rows in memory.
+    """
+    n = -(-rows // ROWS)
+    return df.repartition(n, *keys) if n > 4 else df

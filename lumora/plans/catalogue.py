@@ -9,8 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumora.functions import posts as p
-from lumora.operators import inverted, metrics, variants
-from lumora.plans.creators import POSTS, posts
+from lumora.operators import inverted, metrics, tables, variants
+from lumora.plans.creators import POSTS, posts, posts_by_creator
 from lumora.plans.registry import Tables, query
 
 # Event types stand for task kinds: profiles kept and dropped, searches, similar-account look-ups, post fetches.
@@ -132,7 +132,7 @@ FIRST_SEEN = f"select o_custkey, l_partkey, min(grid) as grid, arg_min(l_quantit
 def first_seen(t: Tables):
     """Each creator's reels with their place in the grid (newest capture first, then place in it), the first observation kept."""
     w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("l_orderkey").desc(), "l_linenumber", "l_partkey", F.col("l_quantity").desc())
-    grid = posts(t).withColumn("grid", F.row_number().over(w) - 1)
+    grid = posts_by_creator(t).withColumn("grid", F.row_number().over(w) - 1)
     return grid.groupBy("o_custkey", "l_partkey").agg(F.min("grid").alias("grid"), F.min_by("l_quantity", "grid").alias("likes"))
 
 
@@ -152,8 +152,9 @@ def top_posts(t: Tables):
   qualify row_number() over (partition by o_custkey order by count(*) desc, min(grid)) <= 15""")
 def top_tags_first_seen(t: Tables):
     """The 15 tags that a creator uses most; of equally frequent ones those seen first."""
-    tags = first_seen(t).join(t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("tag")), "l_partkey")
-    n = tags.groupBy("o_custkey", "tag").agg(F.count(F.lit(1)).alias("n"), F.min("grid").alias("first"))
+    n = t.lineitem.count()
+    tags = tables.dealt(first_seen(t), n, "l_partkey").join(t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("tag")), "l_partkey")
+    n = tables.dealt(tags, n, "o_custkey").groupBy("o_custkey", "tag").agg(F.count(F.lit(1)).alias("n"), F.min("grid").alias("first"))
     w = Window.partitionBy("o_custkey").orderBy(F.col("n").desc(), "first")
     return n.withColumn("place", F.row_number().over(w)).where("place <= 15").select("o_custkey", "tag", "n")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumora.functions import scalars
-from lumora.operators import index, latest, metrics, quantiles
+from lumora.operators import index, latest, metrics, quantiles, tables
 from lumora.plans.registry import Tables, query
 
 LATEST = "select * from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1"
@@ -17,7 +17,13 @@ POSTS = "select l.*, o.o_custkey, o.o_orderdate from lineitem l join orders o on
 
 
 def posts(t: Tables):
-    return t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"), "l_orderkey")
+    own = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
+    return tables.dealt(t.lineitem, t.lineitem.count(), "l_orderkey").join(own, "l_orderkey")
+
+
+def posts_by_creator(t: Tables):
+    """Posts with those of a creator in one partition, for windows over creators."""
+    return tables.dealt(posts(t), t.lineitem.count(), "o_custkey")
 
 
 def latest_capture(t: Tables):
@@ -250,7 +256,7 @@ def similar_top12(t: Tables):
 @query(f"""with r as (select o_custkey, l_orderkey, l_linenumber, l_discount, row_number() over (partition by o_custkey order by o_orderdate desc, l_orderkey, l_linenumber) as recency, row_number() over (partition by o_custkey order by l_quantity desc, l_orderkey, l_linenumber) as likes from ({POSTS}))
   select o_custkey, l_orderkey, l_linenumber, 'recent' as reason from r where recency <= 8 union all select o_custkey, l_orderkey, l_linenumber, 'top' from r where likes <= 4 union all select o_custkey, l_orderkey, l_linenumber, 'sponsored' from r where l_discount > 0.09""")
 def reel_selection_quota(t: Tables):
-    own = latest.ranked(posts(t), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("l_orderkey"), F.col("l_linenumber")], "recency")
+    own = latest.ranked(posts_by_creator(t), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("l_orderkey"), F.col("l_linenumber")], "recency")
     own = latest.ranked(own, ["o_custkey"], [F.col("l_quantity").desc(), F.col("l_orderkey"), F.col("l_linenumber")], "likes")
     reasons = F.array_compact(F.array(F.when(F.col("recency") <= 8, "recent"), F.when(F.col("likes") <= 4, "top"), F.when(F.col("l_discount") > 0.09, "sponsored")))
     return own.select("o_custkey", "l_orderkey", "l_linenumber", F.explode(reasons).alias("reason"))

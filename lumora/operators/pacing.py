@@ -72,7 +72,9 @@ def summary(at: np.ndarray, bad: np.ndarray) -> dict:
     step, since = Clamped(), None
     for i, j in pairwise([*throttled, len(at)]):
         k, since = _chain(at, int(at[i]), i + 1, int(j))
-        step = step.then(DOUBLE).then(eased(k))
+        step = step.then(DOUBLE)
+        for _ in range(k):  # as one request after the other rounds
+            step = step.then(eased(1))
     paused = int(at[throttled[-1]]) + COOLDOWN * _US if len(throttled) else None
     return {"entries": entries, "factor": step.factor, "low": step.low, "high": step.high, "since": since, "paused": paused}
 

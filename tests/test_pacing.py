@@ -59,6 +59,13 @@ def test_a_call_is_not_made_for_each_slice(spark):
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_easings_round_like_single_steps():
+    """Five throttled requests reach the cap; four easings from there are 15.6601875, where the last bit decides a rounding."""
+    at, bad = [*range(5), *(10_000 * i for i in range(1, 5))], [True] * 5 + [False] * 4
+    found = pacing.summary(pacing.np.array(at) * 1_000_000, pacing.np.array(bad))
+    assert found["high"] == max(0.5, 30.0 * 0.85 * 0.85 * 0.85 * 0.85)
+
+
 def test_maps_compose():
     rng = random.Random(1)
     for _ in range(200):

@@ -26,14 +26,14 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from lumora.llm.common import NULL_ID, Words, by_bytes, by_ids, ids_of, joined, next_prime, partitions, release, split_by, staged, text_size, utf8, windows
 
 K = 13
 BATCH = 2 << 20  # bytes of text whose windows are hashed at once
-GROUP_BYTES, SHARD_BYTES = 16 << 20, 4 << 20  # of text whose windows meet in a group, and that makes a shard, at most about
+GROUP_BYTES, LIST_BYTES, SHARD_BYTES = 8 << 20, 16 << 20, 4 << 20  # of text whose windows meet in a group, and that makes a list or a shard, at most about
 
 
 def _keys(h: np.ndarray, text: np.ndarray, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,6 +88,18 @@ def _blocks(groups: int, shards: int, lists: int, k: int, bits: int):
 
 
 BLOCKS = ["bucket", "keys", "docs", "again", "dests"]
+
+
+def _dealt(blocks: DataFrame, n: int) -> GroupedData:
+    """Blocks by bucket in n partitions, each with as many key groups: dealt by the hash of the bucket, some would hold several times the mean.
+
+    A bucket goes by a number that Spark's hash deals to the partition of the bucket modulo n.
+    """
+    to = blocks.sparkSession.range(64 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("to")).groupBy("to").agg(F.min("id").alias("id")).orderBy("to").collect()
+    number = F.array(*(F.lit(r["id"]).cast("long") for r in to))[F.pmod("bucket", F.lit(len(to)))]
+    return blocks.withColumn("_part", number).repartition(n, "_part").groupBy("_part", "bucket")
+
+
 CONFIRMED = "list int, owner boolean, docs binary, keys binary, dests binary"
 
 
@@ -309,9 +321,9 @@ def dedup(docs: DataFrame, k: int = K, clean: bool = False, bits: int = 64) -> D
     n = partitions(docs.sparkSession)
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     _, size = text_size(pairs)
-    groups, shards, lists = max(n, -(-size // GROUP_BYTES)), next_prime(max(2 * n, size // SHARD_BYTES)), next_prime(max(n, size // GROUP_BYTES))
+    groups, shards, lists = n * max(1, -(-size // (n * GROUP_BYTES))), next_prime(max(2 * n, size // SHARD_BYTES)), next_prime(max(n, size // LIST_BYTES))
     blocks = pairs.mapInArrow(_blocks(groups, shards, lists, k, bits), "bucket int, keys binary, docs binary, again binary, dests binary")
-    confirmed = staged(blocks.groupBy("bucket").applyInArrow(_confirm(shards, lists), CONFIRMED), "confirmed")
+    confirmed = staged(_dealt(blocks, n).applyInArrow(_confirm(shards, lists), CONFIRMED), "confirmed")
     owners, later = (staged(confirmed.where(F.col("owner") == o).select("list", "docs").groupBy("list").applyInArrow(_ids, "_id long"), "ids") for o in (True, False))
 
     def part(id_: Column, parts: int) -> Column:

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from lumora.llm import substring_dedup
 
 
@@ -67,3 +69,11 @@ def test_automata():
 
 def test_empty(spark):
     assert substring_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_key_groups_are_dealt_evenly(spark):
+    """A task's memory is that of its groups; by their hash some tasks of 16 would get 4 or more of 32 groups."""
+    buckets = spark.range(-9, 32).selectExpr("cast(id as int) as bucket")
+    out = substring_dedup._dealt(buckets, 16).applyInArrow(lambda t: t.select(["bucket"]), "bucket int")
+    assert sorted(r.bucket for r in out.collect()) == list(range(-9, 32))
+    assert {r["count"] for r in out.where("bucket >= 0").groupBy(F.spark_partition_id()).count().collect()} == {2}

@@ -285,11 +285,14 @@ def nested_walk(t: Tables):
     """Leaves, null leaves and references of nested texts made of orders and their lines."""
     refs = F.when(F.col("l_quantity") > 25, F.array(F.concat(F.lit("s:"), "l_suppkey"), F.lit("p:x"))).otherwise(F.array().cast("array<string>"))
     line = F.struct(F.col("l_linenumber").alias("n"), F.nullif("l_returnflag", F.lit("N")).alias("flag"), F.struct(F.col("l_tax").alias("tax"), refs.alias("refs")).alias("cited"))
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("lines"))  # of one order
-    texts = tables.written(t.orders.join(lines, "o_orderkey").select("o_orderkey", F.expr(NESTED).alias("text")), "nested")
-    cited = variants.references(texts, "o_orderkey", "text", "refs").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("refs"), F.count_distinct(F.when(F.col("value").startswith("s:"), F.col("value"))).alias("suppliers"))
-    none = F.lit(0).cast("long")
-    return variants.null_rates(texts, "o_orderkey", "text").join(cited, "o_orderkey", "left").select("o_orderkey", "leaves", "nulls", F.coalesce("refs", none).alias("refs"), F.coalesce("suppliers", none).alias("suppliers"))
+    dealt = tables.dealt(t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey"), 4 * t.lineitem.count(), "o_orderkey")  # a line makes some four leaves
+    lines = dealt.groupBy("o_orderkey").agg(F.collect_list(line).alias("lines"))  # of one order
+    texts = t.orders.join(lines, "o_orderkey").select("o_orderkey", F.expr(NESTED).alias("text"))
+    found = variants.leaves(texts, "o_orderkey", "text")  # walked once for both
+    ref = variants.referring("refs")
+    rates = found.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("leaves"), F.count_if(variants.void()).alias("nulls"), F.count_if(ref).alias("refs"))
+    cited = found.where(ref & F.col("value").startswith("s:")).groupBy("o_orderkey").agg(F.count_distinct("value").alias("suppliers"))
+    return rates.join(cited, "o_orderkey", "left").select("o_orderkey", "leaves", "nulls", "refs", F.coalesce("suppliers", F.lit(0).cast("long")).alias("suppliers"))
 
 
 @query("select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k, 1 as leaves from events")

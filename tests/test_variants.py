@@ -36,3 +36,12 @@ def test_random_nested_texts(spark):
     assert rates == {i: (len([w for w in want if w[0] == i]), sum(w[2] for w in want if w[0] == i)) for i in {w[0] for w in want}}
     refs = sorted((r.id, r.value) for r in variants.references(df, "id", "t", "refs").collect())
     assert refs == sorted((i, x) for i, _ in own for x in (f"r{i}", "in"))
+
+
+def test_a_shallow_text_is_one_table(spark, monkeypatch):
+    """Every level a table, and the kind of all that is nested, took most of the time."""
+    made = []
+    monkeypatch.setattr(variants.tables, "written", lambda df, name, f=variants.tables.written: made.append(name) or f(df, name))
+    df = spark.createDataFrame([(1, '{"a": [{"b": {"c": [1, null]}}], "d": {}, "e": []}')], "id long, t string")
+    assert sorted((r.path, r.kind) for r in variants.leaves(df, "id", "t").collect()) == [("$.a[].b.c[]", "BIGINT"), ("$.a[].b.c[]", "VOID")]
+    assert len(made) == 1

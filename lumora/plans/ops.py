@@ -231,8 +231,9 @@ def pacer_fold(t: Tables):
   select user_id, since_us, unnest(generate_series(since_us + 1800000000, gone - 1, 3600000000)) as at_us from i""")
 def stream_alerts(t: Tables):
     """Alerts on errors of a user that last for half an hour, hourly at most, by a stream with event-time timers."""
+    buckets = max(alerts.BUCKETS, t.events.count() // 20_000)
     with alerts.rocksdb(t.spark):
-        return activity.run_to_table(alerts.persistent(activity.read_events(t.spark, t.sf_dir, "events.parquet")), "alerts")
+        return activity.run_to_table(alerts.persistent(activity.read_events(t.spark, t.sf_dir, "events.parquet"), buckets=buckets), "alerts")
 
 
 @query("""select epoch(date_trunc('hour', ts))::bigint as hour_s, event_type, count(*) as n from events group by 1, 2""")

@@ -2,8 +2,11 @@
 
 An issue of a key begins with an error when none is open, and is gone with the key's next other event. While it lasts, an alert
 is due AFTER it began and every REPEAT from then on. Events of a batch may go past the time of a timer, so they are kept in
-state until a timer fires; then they are folded, in order, up to the watermark, before which nothing is missing. A key without an open
-issue and without events to come has no state.
+state until a timer fires; then they are folded, in order, up to the watermark, before which nothing is missing.
+
+Users are dealt to buckets, and a bucket is a key of the state: its calls to the store and its timer are few, whatever its users. State is
+packed arrays: the events of each batch that wait, and the issues that are open. A user without an open issue and without
+events to come has no state once a timer of the bucket has fired, and one without errors never wakes it.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +23,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 AFTER, REPEAT = 30 * 60 * 1_000_000, 60 * 60 * 1_000_000  # microseconds
 ALERT = "user_id long, since_us long, at_us long"
+BUCKETS = 256
+NULL_USER = -(1 << 63)  # stands for a null user_id in arrays
+EVENT = np.dtype([("user", "<i8"), ("at", "<i8"), ("turn", "<i8"), ("error", "?")])
+ISSUE = np.dtype([("user", "<i8"), ("since", "<i8"), ("given", "<i8")])
 
 
 def fold(events: list[tuple[int, int, bool]], state: tuple[int, int], until: int) -> tuple[list[tuple[int, int]], tuple[int, int], list[tuple[int, int, bool]]]:
@@ -47,53 +55,88 @@ def fold(events: list[tuple[int, int, bool]], state: tuple[int, int], until: int
     return alerts, (since, given), later
 
 
+def fold_users(events: np.ndarray, issues: np.ndarray, until: int) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+    """fold() for each user of EVENT and ISSUE rows: alerts with their user, the issues that stay open, and the events that come later."""
+    state = {u: (s, g) for u, s, g in issues.tolist()}
+    due = events["at"] <= until
+    own = events[due]
+    own = own[np.lexsort((own["turn"], own["at"], own["user"]))]
+    user, error = own["user"], own["error"]
+    # of errors that follow each other only the first can begin an issue, and of other events only the first can end it
+    new = np.ones(len(own), bool)
+    new[1:] = (user[1:] != user[:-1]) | (error[1:] != error[:-1])
+    own = own[new]
+    rows: dict[int, list[tuple[int, int, bool]]] = {u: [] for u in state}
+    for u, at, turn, bad in own.tolist():
+        rows.setdefault(u, []).append((at, turn, bad))
+    alerts, still = [], []
+    for u, mine in rows.items():
+        found, (since, given), _ = fold(mine, state.get(u, (-1, 0)), until)
+        alerts += [(u, s, a) for s, a in found]
+        if since >= 0:
+            still.append((u, since, given))
+    return alerts, np.array(still, ISSUE), events[~due]
+
+
 class Persistent(StatefulProcessor):
-    """The timers and state around fold()."""
+    """The timers and state of a bucket of users around fold_users()."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, turn long, error boolean")
-        self.issue = handle.getValueState("issue", "since long, given long")
+        self.waiting = handle.getListState("waiting", "events binary")
+        self.issues = handle.getValueState("issues", "issues binary")
 
     def _wake(self, at_us: int) -> None:
         self.handle.registerTimer(-(-at_us // 1000))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        first = None
+        first, packed = None, []
         for batch in rows:
-            self.waiting.appendList([(int(a), int(t), bool(e)) for a, t, e in zip(batch["at"], batch["turn"], batch["error"], strict=True)])
-            if batch["error"].any():
-                low = int(batch["at"][batch["error"]].min())
+            own = np.empty(len(batch), EVENT)
+            for name, column in (("user", "user_id"), ("at", "at"), ("turn", "turn"), ("error", "error")):
+                own[name] = batch[column].to_numpy()
+            packed.append((own.tobytes(),))
+            if own["error"].any():
+                low = int(own["at"][own["error"]].min())
                 first = low if first is None else min(first, low)
+        self.waiting.appendList(packed)
         if first is not None:
             self._wake(first + AFTER)
         yield pd.DataFrame({"user_id": pd.Series(dtype="int64"), "since_us": pd.Series(dtype="int64"), "at_us": pd.Series(dtype="int64")})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000  # all events up to it are there, and timers up to it fire once a batch
-        state = tuple(self.issue.get()) if self.issue.exists() else (-1, 0)
-        alerts, (since, given), later = fold([tuple(x) for x in self.waiting.get()], state, until)
-        if since >= 0:
-            self.issue.update((since, given))
-            self._wake(since + AFTER + given * REPEAT)
+        events = np.frombuffer(b"".join(bytes(x[0]) for x in self.waiting.get()), EVENT)
+        issues = np.frombuffer(bytes(self.issues.get()[0]) if self.issues.exists() else b"", ISSUE)
+        alerts, issues, later = fold_users(events, issues, until)
+        wake = (issues["since"] + AFTER + issues["given"] * REPEAT).tolist()
+        if len(issues):
+            self.issues.update((issues.tobytes(),))
         else:
-            self.issue.clear()
-        if later:
-            self.waiting.put(later)
-            if errors := [at for at, _, error in later if error]:
-                self._wake(min(errors) + AFTER)
+            self.issues.clear()
+        if len(later):
+            self.waiting.put([(later.tobytes(),)])
+            wake += (later["at"][later["error"]] + AFTER).tolist()
         else:
             self.waiting.clear()
-        yield pd.DataFrame({"user_id": [key[0]] * len(alerts), "since_us": [a for a, _ in alerts], "at_us": [b for _, b in alerts]}, dtype="int64")
+        if wake:
+            self._wake(min(wake))
+        yield pd.DataFrame(alerts, columns=["user_id", "since_us", "at_us"], dtype="int64")
 
     def close(self) -> None:
         pass
 
 
-def persistent(events: DataFrame, late: str = "0 seconds") -> DataFrame:
-    """user_id, since_us, at_us of the alerts on errors, each given once all events up to its time are there."""
-    own = events.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("at"), F.col("event_id").alias("turn"), (F.col("event_type") == "error").alias("error"))
-    return own.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Persistent(), outputStructType=ALERT, outputMode="append", timeMode="EventTime")
+def persistent(events: DataFrame, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
+    """user_id, since_us, at_us of the alerts on errors, each given once all events up to its time are there.
+
+    buckets: fixed while a stream lives; a bucket's waiting events and open issues are to fit a task.
+    """
+    user = F.coalesce("user_id", F.lit(NULL_USER))
+    own = events.where("ts is not null").withWatermark("ts", late)  # an event at no time neither begins nor ends an issue
+    own = own.select(F.pmod(F.hash("user_id"), F.lit(buckets)).alias("bucket"), user.alias("user_id"), "ts", F.unix_micros("ts").alias("at"), F.coalesce("event_id", F.lit(-NULL_USER - 1)).alias("turn"), F.coalesce(F.col("event_type") == "error", F.lit(False)).alias("error"))
+    out = own.groupBy("bucket").transformWithStateInPandas(statefulProcessor=Persistent(), outputStructType=ALERT, outputMode="append", timeMode="EventTime")
+    return out.withColumn("user_id", F.nullif("user_id", F.lit(NULL_USER)))
 
 
 @contextmanager

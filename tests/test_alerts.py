@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lumora.streaming import activity, alerts
@@ -44,3 +45,16 @@ def test_stream_over_several_batches(spark, tmp_path):
         got = activity.run_to_table(stream, "alerts_test", "append").collect()
     want = [(u, s, t) for u in range(3) for s, t in brute([(ms * 1000, i, bad) for i, v, ms, bad in rows if v == u], end * 1000)]
     assert sorted(map(tuple, got)) == sorted(want) and want
+
+
+def test_a_bucket_is_folded_at_once():
+    """Users of a bucket share their state; each is folded for itself, in any steps. The state was kept a user, at some calls each."""
+    rng = random.Random(5)
+    for _ in range(30):
+        rows = [(rng.randrange(4), rng.randrange(600) * MINUTE, i, rng.random() < 0.7) for i in range(rng.randrange(60))]
+        got, issues, waiting = [], np.array([], alerts.ISSUE), np.array(rows, alerts.EVENT)
+        for until in sorted(rng.randrange(600) * MINUTE for _ in range(4)) + [700 * MINUTE]:
+            found, issues, waiting = alerts.fold_users(waiting, issues, until)
+            got += found
+        want = [(u, s, t) for u in range(4) if (own := [r[1:] for r in rows if r[0] == u]) for s, t in brute(own, 700 * MINUTE + 1)]
+        assert sorted(got) == sorted(want)

@@ -9,10 +9,10 @@ Two documents link when their sets of shingles have 100 * intersection >= SIMILA
    of its shingles by rising number of classes, the first n - T + 1 (the short lists) hold one that the partner has too.
 3. A short list belongs to the cell of its smallest class. Classes that share a short list share its cell, so all links lie
    inside cells; near copies have the same smallest class in most of their lists, so a class is in few cells.
-4. Each cell is an index of inverted lists. Its smallest class is searched first; then each class that is not connected with
-   it yet. A search is T-occurrence by DivideSkip: a heap merges the short lists and skips what cannot occur often enough, the
-   long lists are probed by binary search, candidates with the required overlap link. Only links that connect something leave
-   the cell, at most one less than its classes: no pairs are made.
+4. Each cell is an index of inverted lists. The sets whose shingles are most frequent are searched first; then each class that is
+   not connected with the largest group yet. A search is T-occurrence by DivideSkip: short lists are merged and what cannot occur
+   often enough is skipped, long lists are held as bits and probed by counting them, candidates with the required overlap link.
+   Only links that connect something leave the cell, at most one less than its classes: no pairs are made.
 5. A cell of more than CELL_BYTES is dealt by hash to parts, each with the smallest class in it. Afterwards, classes
    of such a cell that are not connected with its smallest one are searched in the other parts too, in blocks.
 
@@ -23,8 +23,6 @@ all its documents have none. Empty tables give empty results.
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +38,13 @@ SIMILARITY = 75  # per cent
 BATCH = 2 << 20  # bytes of text whose shingles are hashed at once: a worker's memory is some 40 times that
 GROUP_BYTES = 8 << 20  # of text whose shingles meet in one key group, at most about
 CELL_BYTES = 32 << 20  # of shingles in one cell or part of a cell
-MU = 0.0085  # weight of a probe against a step of the merge, from the paper on DivideSkip
+LONG = 512  # sets in a list that is probed rather than merged: a probe by binary search costs as much as some hundred steps of the merge
+WIDE = 64  # lists of more than one in so many sets of a cell are held as bits
+FIRST = 4  # sets of a cell that are searched whatever is connected
 
 
-def shingles(column, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, shingle) of a batch, sorted by both."""
+def shingles(column, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, shingle) of a batch in the order of texts, and their order by shingle."""
     words = Words(column, lower=True)
     h, text = words.hashes(), words.texts()
     key, _, at = windows(h, text, k, second=False)
@@ -56,26 +56,36 @@ def shingles(column, k: int) -> tuple[np.ndarray, np.ndarray]:
             for j in range(n):
                 s += h[words.first[few] + j] * _COEF[j]
             key, own = np.concatenate([key, mix(s + _COEF[200 + n])]), np.concatenate([own, few])
-    order = np.lexsort((key, own))
-    key, own = key[order], own[order]
+    if len(own) > len(at):
+        order = np.argsort(own, kind="stable")
+        key, own = key[order], own[order]
+    # one sort for both: equal shingles meet, then those of a text, as texts rise with the place
+    order = np.argsort(key)
+    ordered = key[order]
+    equal = np.zeros(len(key) + 1, bool)
+    equal[1:-1] = ordered[1:] == ordered[:-1]
+    run = np.flatnonzero(equal[1:] | equal[:-1])
+    order[run] = order[run][np.lexsort((order[run], ordered[run]))]
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-    return own[new], key[new]
+    new[1:] = ~(equal[1:-1] & (own[order[1:]] == own[order[:-1]]))
+    order = order[new]
+    kept = np.zeros(len(key), bool)
+    kept[order] = True
+    return own[kept], key[kept], (np.cumsum(kept) - 1)[order]
 
 
 def _blocks(groups: int, shards: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH):
             ids = ids_of(batch.column("doc_id"))
-            text, key = shingles(batch.column("text"), k)
-            order = np.argsort(key, kind="stable")
+            text, key, order = shingles(batch.column("text"), k)
             new = np.ones(len(key), bool)
             new[1:] = key[order][1:] != key[order][:-1]
             size = np.diff(np.append(np.flatnonzero(new), len(key)))
             several, first = np.zeros(len(key), bool), np.zeros(len(key), bool)
             several[order] = np.repeat(size > 1, size)
             first[order[new]] = True
-            group = (mix(key ^ _COEF[7]) % np.uint64(groups)).astype(np.int64)
+            group = (mix(key ^ _COEF[7]) % np.uint64(groups)).astype(np.uint16 if groups <= 1 << 16 else np.int64)  # numpy sorts 16 bits by radix
             # in a group, 32 bits of a key: two keys that agree in them only let a document through that has no partner.
             # Groups grow in number with the data, so their share stays the same. Entries stay in the order of documents, which compresses
             low = key.astype(np.uint32)
@@ -135,7 +145,7 @@ def _sets(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH):
-            text, key = shingles(batch.column("text"), k)
+            text, key, _ = shingles(batch.column("text"), k)
             n = np.bincount(text, minlength=batch.num_rows).astype(np.int64)
             end = np.cumsum(n)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(key ^ _COEF[9]))])
@@ -146,85 +156,115 @@ def _sets(k: int):
     return run
 
 
-def merge_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
-    """(candidate, count) of those that occur in at least `least` of the sorted lists, by a heap that skips the others."""
-    heap = [(x[0], i, 0) for i, x in enumerate(lists) if x]
-    heapq.heapify(heap)
-    found = []
-    while len(heap) >= least:
-        top, popped = heap[0][0], []
-        while heap and heap[0][0] == top:
-            popped.append(heapq.heappop(heap))
-        if len(popped) >= least:
-            found.append((top, len(popped)))
-            target = top + 1
-        else:  # nothing before the least-th head can occur often enough
-            while heap and len(popped) < least - 1:
-                popped.append(heapq.heappop(heap))
-            if not heap:
-                break
-            target = heap[0][0]
-        for _, i, at in popped:
-            x = lists[i]
-            at = bisect_left(x, target, at)
-            if at < len(x):
-                heapq.heappush(heap, (x[at], i, at))
-    return found
-
-
-def t_occurrence(lists: list[np.ndarray], needed: np.ndarray, least: int) -> np.ndarray:
+def merge_skip(lists: list[np.ndarray], least: int) -> list[tuple[int, int]]:
+    """(candidate, count) of those that occur in at least `least` of the sorted lists.
+
+    Such a one is in the shortest of the lists, all but least - 1: these are merged, and whatever the others hold beside is skipped.
+    """
+    if least > len(lists):
+        return []
+    lists = sorted(lists, key=len)
+    doc, count = np.unique(np.concatenate(lists[: len(lists) - least + 1]), return_counts=True)
+    if least > 1 and len(doc):
+        rest = np.concatenate(lists[len(lists) - least + 1 :])
+        at = np.minimum(np.searchsorted(doc, rest), len(doc) - 1)
+        count = count + np.bincount(at[doc[at] == rest], minlength=len(doc))
+    found = count >= least
+    return list(zip(doc[found].tolist(), count[found].tolist(), strict=True))
+
+
+def t_occurrence(lists: list[np.ndarray], needed: np.ndarray, least: int, held: int = 0, bits=None) -> np.ndarray:
     """Candidates that occur in as many of the sorted lists as each needs; `least` is the smallest of these numbers.
 
-    DivideSkip: the longest lists are probed by binary search, the others merged by a heap.
+    DivideSkip: the longest lists are probed, the others merged. `held` lists more are in an index as bits; bits(candidates)
+    counts how many of them each is in. The rest of the long ones is probed by binary search.
     """
-    if len(lists) < least or least < 1:
+    if len(lists) + held < least or least < 1:
         return np.zeros(0, np.int64)
     lists = sorted(lists, key=len)
-    long = min(least - 1, int(least / (MU * np.log2(max(2, len(lists[-1]))) + 1)))
+    long = max(0, min(least - held - 1, sum(len(x) > LONG for x in lists)))
     cut = len(lists) - long
-    merged = merge_skip([x.tolist() for x in lists[:cut]], least - long)
-    doc, count = (np.array(c, np.int64) for c in zip(*merged, strict=True)) if merged else (np.zeros(0, np.int64),) * 2
-    for left, probe in zip(range(long, 0, -1), lists[cut:], strict=True):
+    if held < least:
+        merged = merge_skip(lists[:cut], least - held - long)
+        doc, count = (np.array(c, np.int64) for c in zip(*merged, strict=True)) if merged else (np.zeros(0, np.int64),) * 2
+    else:  # to be in the long lists is enough
+        doc = np.flatnonzero(needed <= held + len(lists))
+        count = np.bincount(np.concatenate(lists), minlength=len(needed))[doc] if lists else np.zeros(len(doc), np.int64)
+    for left, probe in zip(range(long + held, held, -1), lists[cut:], strict=True):
         keep = count + left >= needed[doc]
         if not keep.all():
             doc, count = doc[keep], count[keep]
         if not len(doc):
             return doc
         count = count + (probe[np.minimum(np.searchsorted(probe, doc), len(probe) - 1)] == doc)
+    if held:
+        keep = count + held >= needed[doc]
+        doc, count = doc[keep], count[keep]
+        count = count + bits(doc)
     return doc[count >= needed[doc]]
 
 
 class Index:
-    """Inverted lists of the sets of a cell; `connected` numbers what is linked already."""
+    """Inverted lists of the sets of a cell; `connected` numbers what is linked already.
+
+    A list of more than one in WIDE of the sets is a bit of each set, so that to probe all such lists is to count common bits.
+    Shorter ones are lists of sets. least_df: still shorter lists are not needed.
+    """
 
-    def __init__(self, sets: pa.ChunkedArray, connected: np.ndarray):
+    def __init__(self, sets: pa.ChunkedArray, connected: np.ndarray, least_df: int = 1):
         flat = sets.combine_chunks()
         flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
-        self.key, self.size = flat.flatten().to_numpy(), np.diff(flat.offsets.to_numpy()).astype(np.int64)
-        order = np.argsort(self.key, kind="stable")
-        owner = np.repeat(np.arange(len(self.size)), self.size)[order]
-        ordered = self.key[order]
+        key, self.size = flat.flatten().to_numpy(), np.diff(flat.offsets.to_numpy()).astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
         new = np.ones(len(ordered), bool)
         new[1:] = ordered[1:] != ordered[:-1]
         self.head = np.flatnonzero(new)
-        self.token, self.length, self.owner = ordered[self.head], np.diff(np.append(self.head, len(ordered))), owner
-        self.end, self.connected = np.cumsum(self.size), connected
-
-    def own(self, i: int) -> np.ndarray:
-        return self.key[self.end[i] - self.size[i] : self.end[i]]
-
-    def search(self, query: np.ndarray, skip: np.ndarray, similarity: int, least_df: int = 1) -> np.ndarray:
-        """Sets that link with a query; skip: those that need not be found. least_df: shorter lists hold none of them."""
-        n = len(query)
+        self.token, self.length = ordered[self.head], np.diff(np.append(self.head, len(ordered)))
+        del ordered, key
+        owner = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+        self.owner, self.end, self.connected = owner[order], np.cumsum(self.size), connected
+        self.own = np.empty(len(order), np.int32)  # by set, its tokens
+        self.own[order] = np.repeat(np.arange(len(self.head), dtype=np.int32), self.length)
+        wide = (self.length >= least_df) & (self.length * WIDE > len(self.size))
+        self.bit = np.where(wide, np.cumsum(wide) - 1, -1)
+        self.short = ~wide & (self.length >= least_df)
+        self.words = -(-int(wide.sum()) // 64)
+        self.bits = self._rows(owner, self.own, len(self.size))
+
+    def _rows(self, row: np.ndarray, token: np.ndarray, rows: int) -> np.ndarray:
+        """The bits of each row's tokens."""
+        out = np.zeros(rows * self.words, np.uint64)
+        bit = self.bit[token]
+        some = bit >= 0
+        at = np.sort(row[some].astype(np.int64) * (64 * self.words) + bit[some])
+        if len(at):
+            first = np.flatnonzero(np.concatenate([[True], (at[1:] >> 6) != (at[:-1] >> 6)]))
+            out[at[first] >> 6] = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
+        return out.reshape(rows, self.words)
+
+    def mean_df(self) -> np.ndarray:
+        """By set, how many sets a shingle of it is in on average."""
+        total = np.concatenate([[0], np.cumsum(self.length[self.own])])[self.end]
+        return np.diff(total, prepend=0) / self.size
+
+    def search_own(self, i: int, similarity: int, skip: np.ndarray) -> np.ndarray:
+        """Sets that link with the set i; skip: those that need not be found."""
+        n = int(self.size[i])
+        return self._search(self.own[self.end[i] - n : self.end[i]], self.bits[i], n, similarity, skip)
+
+    def search(self, query: np.ndarray, similarity: int, skip: np.ndarray) -> np.ndarray:
+        """Sets that link with a query; skip: those that need not be found."""
         at = np.minimum(np.searchsorted(self.token, query), len(self.token) - 1)
-        at = at[(self.token[at] == query) & (self.length[at] >= least_df)]
+        at = at[self.token[at] == query]
+        return self._search(at, self._rows(np.zeros(len(at), np.int64), at, 1)[0], len(query), similarity, skip)
+
+    def _search(self, tokens: np.ndarray, row: np.ndarray, n: int, similarity: int, skip: np.ndarray) -> np.ndarray:
         needed = -(-similarity * (n + self.size) // (100 + similarity))
         needed[skip] = np.iinfo(np.int64).max
-        least = -(-similarity * n // 100)
-        if len(at) < least:
-            return np.zeros(0, np.int64)
-        begin, size = self.head[at], self.length[at]
-        return t_occurrence([self.owner[b : b + m] for b, m in zip(begin.tolist(), size.tolist(), strict=True)], needed, least)
+        short, held = tokens[self.short[tokens]], int(np.bitwise_count(row).sum())
+        lists = [self.owner[b : b + m] for b, m in zip(self.head[short].tolist(), self.length[short].tolist(), strict=True)]
+        return t_occurrence(lists, needed, -(-similarity * n // 100), held, lambda doc: np.bitwise_count(self.bits[doc] & row).sum(1, dtype=np.int64))
 
     def connect(self, label: int, found: np.ndarray) -> np.ndarray:
         """Give all that is connected with `found` the label; one of found for each other label."""
@@ -245,18 +285,26 @@ def _search(similarity: int):
     def run(table: pa.Table) -> pa.Table:
         if table.num_rows > 1000:
             release()
-        table = table.sort_by("node")
-        names, index = table.column("node").to_numpy(), Index(table.column("shingles"), np.arange(table.num_rows))
-        lead = int(np.flatnonzero(names == table.column("cell")[0].as_py())[0])
+        names, index = table.column("node").to_numpy(), Index(table.column("shingles"), np.arange(table.num_rows), 2)
         done, u, v = np.zeros(len(names), bool), [], []
-        for i in [lead, *(x for x in range(len(names)) if x != lead)]:
-            if i == lead or index.connected[i] != index.connected[lead]:
-                # those searched before would have found this one
-                found = index.search(index.own(i), done | (index.connected == index.connected[i]), similarity, 2)
-                linked = index.connect(int(index.connected[i]), found)
-                u += [int(names[i])] * len(linked)
-                v += names[linked].tolist()
-                done[i] = True
+
+        def look(i: int) -> None:
+            # those searched before would have found this one
+            found = index.search_own(i, similarity, done | (index.connected == index.connected[i]))
+            linked = index.connect(int(index.connected[i]), found)
+            u.extend([int(names[i])] * len(linked))
+            v.extend(names[linked].tolist())
+            done[i] = True
+
+        # from the middle outwards: what is connected with the largest group by then is found by the others
+        order = np.lexsort((names, -index.mean_df())).tolist()
+        for i in order[:FIRST]:
+            look(i)
+        label, count = np.unique(index.connected, return_counts=True)
+        middle = int(np.flatnonzero(index.connected == label[np.argmax(count)])[0])
+        for i in order[FIRST:]:
+            if index.connected[i] != index.connected[middle]:
+                look(i)
         return _links(u, v)
 
     return run
@@ -272,7 +320,7 @@ def _search_block(similarity: int):
             _, labels = np.unique(np.concatenate([members.column("label").to_numpy(), queries.column("q_label").to_numpy()]), return_inverse=True)
             index = Index(members.column("shingles"), labels[: len(names)].copy())
             for node, x, label in zip(queries.column("q_node").to_pylist(), queries.column("q_shingles"), labels[len(names) :].tolist(), strict=True):
-                found = index.search(x.values.to_numpy(), index.connected == label, similarity)
+                found = index.search(x.values.to_numpy(), similarity, index.connected == label)
                 linked = index.connect(label, found)
                 u += [node] * len(linked)
                 v += names[linked].tolist()

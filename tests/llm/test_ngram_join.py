@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from lumora.llm import ngram_join
 
@@ -64,6 +65,54 @@ def test_cells_in_parts_equal_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == want
 
 
+def test_searches_of_a_hot_cell(monkeypatch):
+    """Near copies of one text that are no near copies of each other: few searches connect them, whichever is the smallest class."""
+    r = random.Random(4)
+    base = [r.randrange(1 << 60) for _ in range(200)]
+    copies = [[r.randrange(1 << 60) if i in at else x for i, x in enumerate(base)] for at in (set(r.sample(range(200), 22)) for _ in range(300))]
+    far = [base[:i] + [r.randrange(1 << 60) for _ in range(40)] + base[i + 40 :] for i in (r.randrange(160) for _ in range(30))]
+    sets = [*copies[:150], base, *copies[150:], *far]
+    asked = []
+    find = ngram_join.t_occurrence
+    monkeypatch.setattr(ngram_join, "t_occurrence", lambda *a: (asked.append(1), find(*a))[1])
+    got = ngram_join._search(75)(pa.table({"cell": [0] * 331, "part": [0] * 331, "node": range(331), "shingles": sets})).to_pydict()
+    up = list(range(331))
+
+    def root(up, i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for u, v in zip(got["u"], got["v"], strict=True):
+        assert root(up, u) != root(up, v)
+        up[root(up, u)] = root(up, v)
+    want, own = list(range(331)), [set(x) for x in sets]
+    for i in range(331):
+        for j in range(i):
+            if 100 * len(own[i] & own[j]) >= 75 * len(own[i] | own[j]):
+                want[root(want, i)] = root(want, j)
+    assert all((root(up, i) == root(up, j)) == (root(want, i) == root(want, j)) for i in range(331) for j in range(i))
+    assert len(asked) < 60
+
+
+def test_lists_and_bits_of_an_index(monkeypatch):
+    """Lists that are held as bits, merged and probed by binary search find what counting finds."""
+    r = random.Random(6)
+    frequent, few = [[r.randrange(1 << 60) for _ in range(n)] for n in (70, 400)]
+    sets = [[*(x for x in frequent if r.random() < 0.6), *r.sample(few, 25), r.randrange(1 << 60)] for _ in range(700)]
+    sets += [[*sets[i][:-3], *r.sample(range(1 << 50), 2)] for i in range(60)]
+    own = [set(x) for x in sets]
+    for wide, long in ((64, 512), (2, 512), (2, 20), (1, 20)):
+        monkeypatch.setattr(ngram_join, "WIDE", wide)
+        monkeypatch.setattr(ngram_join, "LONG", long)
+        index = ngram_join.Index(pa.chunked_array([pa.array(sets, pa.list_(pa.int64()))]), np.arange(len(sets)))
+        for i in (*range(20), *range(700, 720)):
+            want = [j for j in range(len(sets)) if j != i and 100 * len(own[i] & own[j]) >= 60 * len(own[i] | own[j])]
+            skip = np.arange(len(sets)) == i
+            assert index.search_own(i, 60, skip).tolist() == want
+            assert index.search(np.array(sets[i]), 60, skip).tolist() == want
+
+
 def test_t_occurrence():
     r = random.Random(3)
     for _ in range(300):

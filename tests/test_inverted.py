@@ -65,3 +65,29 @@ def test_one_segment_of_many_texts(spark):
     best = segment.best([("waaa", 5), ("wbbbb", 4), ("word", 1)], [(-100, -1, ["x"]), (-99, -2, ["y"])], 4)
     assert best == [(-100, -1, ["x"]), (-99, -2, ["y"]), (-10, 10, ["waaa", "wbbbb", "word"]), (-10, 110, ["waaa", "wbbbb", "word"])]
     assert asked == [2]
+
+
+def test_frequent_words_are_bounded_not_read(spark, monkeypatch):
+    """Once a segment is loaded, requests read no tier of a frequent word; words of several pieces of text are one list."""
+    monkeypatch.setattr(inverted, "PIECE", 500)
+    rng = random.Random(5)
+    name = lambda v: "v" + "abcdefghij"[v % 10] + "klmnopqrst"[v // 10 % 10] + "uvwxyz"[v // 100 % 6]
+    texts = [(i, " ".join(name(int(rng.paretovariate(0.6)) % 500) for _ in range(rng.randrange(80)))) for i in range(900)] + [(None, "vak"), (5000, None)]
+    requests = [(i, " ".join(name(int(rng.paretovariate(0.5)) % 600) for _ in range(rng.randrange(1, 30)))) for i in range(60)]
+    segments = inverted.index(spark.createDataFrame(texts, "id long, t string").coalesce(1), "id", "t")
+    df = {r["word"]: r["df"] for r in inverted.frequencies(segments).collect()}
+    assert df == Counter(w for _, t in texts for w in set(inverted.words(t)))
+    segment, read = inverted.Segment(segments.toArrow().to_batches()[0]), []
+    tier = segment.tier
+    segment.tier = lambda word, i: (read.append((word, i)), tier(word, i))[1]
+    want = brute(texts, requests, 8)
+    for i, text in requests:
+        asked = [(w, floor(1_000_000 * log(1 + len(texts) / (1.0 + df[w])))) for w in sorted(set(inverted.words(text))) if w in df]
+        best = segment.best(asked, [], 8)
+        assert [(-s, None if key == inverted._NONE else key, held) for s, key, held in best] == [(r[3], r[2], r[4]) for r in want if r[0] == i]
+    assert read == []
+
+
+def test_texts_without_words(spark):
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, "12 ab")], "id long, t string").coalesce(1)
+    assert inverted.answer(inverted.index(texts, "id", "t"), spark.createDataFrame([(1, "some words")], "id long, t string"), ["id"], "t").collect() == []
